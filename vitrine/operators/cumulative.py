@@ -146,4 +146,6 @@ def abc_full(df: DataFrame, value: str, tie: Sequence[str], out_cols: Sequence[s
         (F.col("_off_n") + F.col("_lrank")).alias("rank"),
         F.when(F.col("_off_nn") + F.col("_lnn") > 0,
                (F.col("_off_s") + F.col("_lcum")).cast(MONEY_SUM)).alias("_cum"))
-    return _finish(ranked, _total(pinned, value), out_cols, value)
+    # The grand total from the same per-partition rows (NULL if no value).
+    total = stats.agg(F.when(F.sum("_nn") > 0, F.sum("_s")).cast(MONEY_SUM).alias("_total"))
+    return _finish(ranked, total, out_cols, value)

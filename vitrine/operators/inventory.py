@@ -6,7 +6,7 @@ and every sale, then groups; that fans each product out to all of its
 lines before the shuffle. Here the last sale date is aggregated per sku
 first (MAX ignores duplicates and NULLs, so the answer is the same) and one
 left join adds it to the products: the product side is shuffled once, and
-the line side arrives pre-aggregated.
+the line side arrives pre-aggregated (one row per sku).
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ def last_sale_per_key(lines: DataFrame, sales: DataFrame, key: str, sale_key: st
                  .groupBy(key).agg(F.max(day).alias("last_sale")))
 
 
-def dead_stock(products: DataFrame, last_sale: DataFrame, key: str, cutoff) -> DataFrame:
-    """Products with no sale, or a last sale before ``cutoff``."""
-    j = products.join(last_sale, key, "left")
-    return j.where(F.col("last_sale").isNull() | (F.col("last_sale") < F.lit(cutoff)))
+def dead_stock(with_last_sale: DataFrame, cutoff, last_col: str = "last_sale") -> DataFrame:
+    """Rows (products left-joined to their last sale) with no sale, or a
+    last sale before ``cutoff``."""
+    last = F.col(last_col)
+    return with_last_sale.where(last.isNull() | (last < F.lit(cutoff)))

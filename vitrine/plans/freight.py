@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, count_where, first_label, mean, money_sum, not_cancelled, safe_pct
 from ..operators import top_k
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
 from .common import asc, desc, resolve, rows, sales_in
 from .customers import NO_STATE
@@ -57,21 +58,26 @@ def freight_by_state(t: Tables, as_of: dt.date, period=None, limit: int = 27) ->
     return top_k(g, [desc("avg_freight"), asc("state")], limit)
 
 
-def open_shipments(t: Tables, as_of: dt.date | None = None, limit: int = 100) -> DataFrame:
+def open_shipments(t: Tables, as_of: dt.date | None = None, limit: int | None = 100) -> DataFrame:
     """Q27: undelivered parcels, latest check first, with their sale.
 
     The left join keeps every parcel, and each parcel yields at least one
     joined row, so the first ``limit`` joined rows all come from the first
-    ``limit`` parcels: those are picked first (TakeOrderedAndProject), the
-    sales are cut to their ids by a broadcast semi join (``limit`` ids, a
-    bounded broadcast) and only then joined."""
+    ``limit`` parcels: those are picked first (TakeOrderedAndProject) and
+    checkpointed, so the parcel table is scanned once for both uses below;
+    the sales are cut to their ids by a broadcast semi join (``limit`` ids,
+    a bounded broadcast) and only then joined."""
     order = [desc("last_checked"), asc("tracking_code")]
+    ensure_checkpoint_dir(t["shipments"].sparkSession)
     parcels = top_k(t["shipments"].where(F.col("delivered") == 0)
                     .select("tracking_code", "status_text", "last_checked", "due_date",
                             "ship_form", "sale_id"), order, limit)
+    parcels = parcels.checkpoint(eager=True)
     ids = parcels.select("sale_id").where(F.col("sale_id").isNotNull())
+    if limit is not None:          # at most ``limit`` ids: a bounded broadcast
+        ids = F.broadcast(ids)
     sales = (t["sales"].select("sale_id", "customer_name", "state", "total")
-             .join(F.broadcast(ids), "sale_id", "left_semi"))
+             .join(ids, "sale_id", "left_semi"))
     joined = parcels.join(sales, "sale_id", "left").drop("sale_id")
     return top_k(joined, order + [asc("customer_name"), asc("state"), asc("total")], limit)
 

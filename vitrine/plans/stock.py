@@ -57,12 +57,18 @@ def stock_abc(t: Tables, as_of: dt.date | None = None, ranks: int = 80) -> DataF
 
 def dead_stock_report(t: Tables, as_of: dt.date, days: int = 60, limit: int | None = 30) -> DataFrame:
     """Q23: active products in stock without a not-cancelled sale in the
-    last ``days`` days (or never sold), by idle cost."""
-    products = (_active(t).where(F.col("stock") > 0)
-                .select("name", "sku", "stock", "cost").distinct())
+    last ``days`` days (or never sold), by idle cost.
+
+    Products are grouped by (name, sku, stock, cost) after the left join, as
+    the original does; the join leaves the rows hash-partitioned by sku, which
+    already clusters that grouping, so the grouping adds no shuffle."""
+    products = _active(t).where(F.col("stock") > 0).select("name", "sku", "stock", "cost")
     last = last_sale_per_key(t["sale_items"], t["sales"].where(not_cancelled()),
                              "sku", "sale_id", "sale_date")
-    idle = dead_stock(products, last, "sku", minus_days(as_of, days)).select(
+    grouped = (products.join(last, "sku", "left")
+               .groupBy("name", "sku", "stock", "cost")
+               .agg(F.max("last_sale").alias("last_sale")))
+    idle = dead_stock(grouped, minus_days(as_of, days)).select(
         "name", "sku", "stock", "cost",
         F.coalesce(F.col("stock") * F.col("cost"), F.lit(0)).cast(MONEY_SUM).alias("idle_cost"),
         "last_sale",
