@@ -11,7 +11,7 @@ from ..functions import (cancelled, count_where, mean, minus_years, money_sum, n
                          parse_timestamp, weekday)
 from ..operators import bundle, in_period, top_k
 from ..sources.tables import Tables
-from .common import asc, desc, items_of_live_sales, resolve, rows, sales_in
+from .common import asc, desc, items_of_live_sales, resolve, rows, sales_between, sales_in
 
 
 def overview_kpis(t: Tables, as_of: dt.date, period=None) -> DataFrame:
@@ -62,7 +62,7 @@ def monthly_compare(t: Tables, as_of: dt.date, years: int = 2) -> DataFrame:
     years (no upper bound)."""
     nc = not_cancelled()
     d = F.col("sale_date")
-    return (t["sales"].where(d >= F.lit(minus_years(as_of, years)))
+    return (sales_between(t, minus_years(as_of, years))
             .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
             .agg(money_sum("total", nc, zero_if_empty=True).alias("revenue"),
                  count_where(nc).alias("orders"))

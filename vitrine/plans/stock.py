@@ -63,8 +63,14 @@ def dead_stock_report(t: Tables, as_of: dt.date, days: int = 60, limit: int | No
     the original does; the join leaves the rows hash-partitioned by sku, which
     already clusters that grouping, so the grouping adds no shuffle."""
     products = _active(t).where(F.col("stock") > 0).select("name", "sku", "stock", "cost")
-    last = last_sale_per_key(t["sale_items"], t["sales"].where(not_cancelled()),
-                             "sku", "sale_id", "sale_date")
+    items = t["sale_items"]
+    if "sale_status" in items.columns:      # curated lines carry their sale
+        last = (items.where(not_cancelled("sale_status") & F.col("sale_date").isNotNull()
+                            & F.col("sku").isNotNull())
+                .groupBy("sku").agg(F.max("sale_date").alias("last_sale")))
+    else:
+        last = last_sale_per_key(items, t["sales"].where(not_cancelled()),
+                                 "sku", "sale_id", "sale_date")
     grouped = (products.join(last, "sku", "left")
                .groupBy("name", "sku", "stock", "cost")
                .agg(F.max("last_sale").alias("last_sale")))
