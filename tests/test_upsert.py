@@ -89,3 +89,17 @@ def test_stream_sync_drains_landing_folder(spark, tmp_dir):
     q.awaitTermination(120)
     assert [r[4] for r in _table(spark, table)] == [4]
     assert SEARCH_QUERY_KEYS[0] == "day"
+
+
+def test_sync_search_window_and_ensure(spark, tmp_dir):
+    from vitrine.streaming import ensure_table, sync_search
+    ensure_table(spark, f"{tmp_dir}/t/search_pages", "search_pages")
+    ensure_table(spark, f"{tmp_dir}/t/search_pages", "search_pages")      # idempotent
+    from vitrine.schemas import TABLES
+    assert spark.read.schema(TABLES["search_pages"]).parquet(f"{tmp_dir}/t/search_pages").count() == 0
+    _write(f"{tmp_dir}/lq/a.json", [_row("2024-01-30", "q", "/p/1", 1, 10),
+                                    _row("2024-01-20", "old", "/p/1", 1, 10)])
+    _write(f"{tmp_dir}/lp/a.json", [{"keys": ["2024-01-29", "/p/1"], "clicks": 1, "impressions": 5,
+                                     "ctr": 0.2, "position": 1.5}])
+    out = sync_search(spark, f"{tmp_dir}/lq", f"{tmp_dir}/lp", f"{tmp_dir}/t", dt.date(2024, 1, 31))
+    assert out == {"period": "2024-01-24 -> 2024-01-30", "search_queries": 1, "search_pages": 1}

@@ -75,5 +75,21 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
                 .parquet(f"{root}/{name}")
 
 
-def parsed_date_columns() -> dict[str, str]:
-    return {table: parsed for table, (parsed, _) in PARSED_DATES.items()}
+def bad_date_counts(tables: Tables) -> DataFrame:
+    """Rows whose date text is present but not a valid date in either
+    layout (such rows drop out of every period filter), per table: one
+    aggregate per table, unioned."""
+    parts = []
+    for table, (parsed, text) in PARSED_DATES.items():
+        df = tables[table]
+        if text not in df.columns:
+            continue
+        present = F.col(text).isNotNull() & (F.col(text) != "")
+        parts.append(df.agg(
+            F.lit(table).alias("table"), F.lit(text).alias("column"),
+            F.count_if(present).cast("bigint").alias("rows_with_text"),
+            F.count_if(present & F.col(parsed).isNull()).cast("bigint").alias("unparseable")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,5 +1,7 @@
 """Ingest of search statistics: keyed upsert, batch and streaming."""
 
-from .upsert import flatten_landing, merge_newest, stream_sync, sync_table, upsert_window
+from .upsert import (ensure_table, flatten_landing, merge_newest, stream_sync, sync_search, sync_table,
+                     upsert_window)
 
-__all__ = ["flatten_landing", "merge_newest", "stream_sync", "sync_table", "upsert_window"]
+__all__ = ["ensure_table", "flatten_landing", "merge_newest", "stream_sync", "sync_search",
+           "sync_table", "upsert_window"]

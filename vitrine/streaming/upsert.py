@@ -128,3 +128,27 @@ def stream_sync(spark: SparkSession, landing_dir: str, table_path: str, table: s
     return (stream.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint_location)
             .trigger(availableNow=True).start())
+
+
+def ensure_table(spark: SparkSession, table_path: str, table: str) -> None:
+    """Create the table (empty, with its schema, partitioned by day) if
+    it does not exist yet; a no-op otherwise. Key uniqueness is kept by the
+    upsert, as Spark does not enforce keys."""
+    if _read_table(spark, table_path, TABLES[table]) is None:
+        (spark.createDataFrame([], TABLES[table]).write.mode("overwrite")
+         .partitionBy("day").parquet(table_path))
+
+
+def sync_search(spark: SparkSession, landing_queries: str, landing_pages: str, root: str,
+                as_of: dt.date, days: int = 7, start=None, end=None,
+                synced_at: dt.datetime | None = None) -> dict:
+    """One sync run: the J3 window (``days`` days ending the day before
+    ``as_of``, or explicit bounds), then J1 and J2 into ``<root>/<table>``.
+    Returns the window and the rows written per table."""
+    from ..operators.period import sync_window
+    window = sync_window(as_of, days, start, end)
+    out = {"period": f"{window.start.isoformat()} -> {window.end.isoformat()}"}
+    for table, landing in (("search_queries", landing_queries), ("search_pages", landing_pages)):
+        ensure_table(spark, f"{root}/{table}", table)
+        out[table] = sync_table(spark, landing, f"{root}/{table}", table, window, synced_at)
+    return out
