@@ -1,13 +1,13 @@
 """DataFrame -> DataFrame operators shared by the queries."""
 
-from .activity import dormant_count, frequency_bands, repeat_count
+from .activity import activity_summary, dormant_count, frequency_bands, repeat_count
 from .cumulative import abc_full, abc_top
 from .inventory import dead_stock, last_sale_per_key
 from .period import Period, default_period, in_period, previous_period, sync_window
 from .shaping import bundle, top_k
 
 __all__ = [
-    "Period", "abc_full", "abc_top", "bundle", "dead_stock", "default_period",
+    "Period", "abc_full", "activity_summary", "abc_top", "bundle", "dead_stock", "default_period",
     "dormant_count", "frequency_bands", "in_period", "last_sale_per_key",
     "previous_period", "repeat_count", "sync_window", "top_k",
 ]

@@ -64,3 +64,25 @@ def dormant_count(df: DataFrame, entity: str, day: str, cutoff, null_aware: bool
     if null_aware:
         value = F.when(F.col("_null_recent") == 1, F.lit(0)).otherwise(value)
     return counts.select(F.coalesce(value, F.lit(0)).cast("bigint").alias(alias))
+
+
+def activity_summary(df: DataFrame, entity: str, day: str, cutoff, counted: Column,
+                     min_events: int = 2, null_aware: bool = False,
+                     repeat_alias: str = "repeat", dormant_alias: str = "dormant") -> DataFrame:
+    """O13 and O12 from one aggregation per entity (one scan, one shuffle).
+
+    One row: ``repeat`` = entity groups (NULL included) with at least
+    ``min_events`` rows satisfying ``counted``; ``dormant`` = as
+    ``dormant_count`` over every row."""
+    per_entity = df.groupBy(entity).agg(
+        F.count_if(counted).alias("_events"),
+        F.max(day).alias("_latest"))
+    e, latest, cut = F.col(entity), F.col("_latest"), F.lit(cutoff)
+    counts = per_entity.agg(
+        F.count_if(F.col("_events") >= min_events).cast("bigint").alias(repeat_alias),
+        F.count_if(e.isNotNull() & (latest < cut)).alias("_n"),
+        F.max(F.when(e.isNull() & (latest >= cut), F.lit(1)).otherwise(F.lit(0))).alias("_null_recent"))
+    dormant = F.col("_n")
+    if null_aware:
+        dormant = F.when(F.col("_null_recent") == 1, F.lit(0)).otherwise(dormant)
+    return counts.select(repeat_alias, F.coalesce(dormant, F.lit(0)).cast("bigint").alias(dormant_alias))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (first_label, mean, minus_days, minus_months, money_sum, month_text,
                          not_cancelled)
-from ..operators import bundle, dormant_count, frequency_bands, in_period, repeat_count, top_k
+from ..operators import activity_summary, bundle, dormant_count, frequency_bands, in_period, top_k
 from ..sources.tables import Tables
 from .common import asc, desc, resolve, rows, sales_in
 
@@ -26,9 +26,10 @@ NO_STATE = "N/D"
 
 def customer_kpis(t: Tables, as_of: dt.date, period=None, dormant_days: int = 90,
                   null_aware: bool = False) -> DataFrame:
-    """Q12: customers in total and new in the period (one scan), repeat
-    buyers in the period, and customers dormant for ``dormant_days``
-    (cancelled sales included, period ignored).
+    """Q12: customers in total and new in the period (one scan of the
+    customers), repeat buyers in the period and customers dormant for
+    ``dormant_days`` (cancelled sales included, period ignored) from one
+    aggregation per customer over the sales.
 
     ``null_aware=True`` reproduces SQL ``NOT IN``: one recent sale without a
     customer makes the dormant count 0."""
@@ -36,12 +37,11 @@ def customer_kpis(t: Tables, as_of: dt.date, period=None, dormant_days: int = 90
     cust = t["customers"].agg(
         rows().alias("total_customers"),
         F.count_if(in_period("created_date", p)).cast("bigint").alias("new_customers"))
-    repeat = repeat_count(sales_in(t, p).where(not_cancelled()), "customer_id") \
-        .withColumnRenamed("repeat", "repeat_customers")
-    dormant = dormant_count(t["sales"], "customer_id", "sale_date",
-                            minus_days(as_of, dormant_days), null_aware=null_aware,
-                            alias="dormant_customers")
-    return bundle(cust, repeat, dormant)
+    activity = activity_summary(
+        t["sales"], "customer_id", "sale_date", minus_days(as_of, dormant_days),
+        counted=in_period("sale_date", p) & not_cancelled(), null_aware=null_aware,
+        repeat_alias="repeat_customers", dormant_alias="dormant_customers")
+    return bundle(cust, activity)
 
 
 def dormant_customers(t: Tables, as_of: dt.date, dormant_days: int = 90,

@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from ..schemas import PARSED_DATES
 from .tables import Tables
 
-# table -> (clustering column, partition column or None)
+# table -> (clustering columns, partition column or None). The clustering
+# columns end in a (near) unique key, so range partitioning can split a
+# date or a query that holds a large share of the rows across tasks.
 LAYOUT = {
-    "sales": ("sale_date", "sale_month"),
-    "sale_items": ("sale_date", "sale_month"),
-    "products": ("sku", None),
-    "customers": ("created_date", None),
-    "payables": ("due_on", None),
-    "subscription_sales": ("confirmed_date", None),
-    "subscriptions": ("started_date", None),
-    "shipments": ("sale_id", None),
-    "search_queries": ("query", "day"),
-    "search_pages": ("page", "day"),
+    "sales": (("sale_date", "sale_id"), "sale_month"),
+    "sale_items": (("sale_date", "sale_id", "sku"), "sale_month"),
+    "products": (("sku",), None),
+    "customers": (("created_date", "customer_id"), None),
+    "payables": (("due_on", "period_label", "amount"), None),
+    "subscription_sales": (("confirmed_date", "event_id"), None),
+    "subscriptions": (("started_date", "event_id"), None),
+    "shipments": (("sale_id", "tracking_code"), None),
+    "search_queries": (("query", "page", "device"), "day"),
+    "search_pages": (("page",), "day"),
 }
 
 # Rows per output file the writer aims at (64-128 MB of parquet at scale).
@@ -64,15 +66,13 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
         cluster, part = LAYOUT[name]
         df = curated_frame(tables, name)
         n = files_per_table or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        keys = ([part] if part else []) + list(cluster)
+        # each task takes one range of the sort order; rows sorted inside it
+        out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        writer = out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
         if part:
-            # one task per partition value range; rows sorted by the cluster key inside
-            out = df.repartitionByRange(n, part, cluster).sortWithinPartitions(part, cluster)
-            out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE) \
-                .partitionBy(part).parquet(f"{root}/{name}")
-        else:
-            out = df.repartitionByRange(n, cluster).sortWithinPartitions(cluster)
-            out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE) \
-                .parquet(f"{root}/{name}")
+            writer = writer.partitionBy(part)
+        writer.parquet(f"{root}/{name}")
 
 
 def bad_date_counts(tables: Tables) -> DataFrame:
