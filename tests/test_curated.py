@@ -77,3 +77,20 @@ def test_jdbc_options_split_reads():
     assert opts["partitionColumn"] == "id" and opts["numPartitions"] == "16"
     assert opts["lowerBound"] == "1" and opts["upperBound"] == "1000"
     assert "partitionColumn" not in jdbc_options("jdbc:postgresql://db/x", "t", {})
+
+
+def test_single_partition_windows_are_bounded(both):
+    """A window without PARTITION BY moves its whole input to one task; it may
+    only run over bounded inputs: the k rows of a top-k, or one row per
+    partition of the distributed prefix sum."""
+    _, cur = both
+    for name in QUERIES:
+        plan = _plan(run(name, cur))
+        if "Window" not in plan:
+            continue
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if line.strip().startswith(("+- Window", "Window")) or " Window [" in line:
+                below = "\n".join(lines[i:i + 8])
+                assert ("TakeOrderedAndProject" in below or "keys=[_pid" in below
+                        or "GlobalLimit" in below), (name, below)

@@ -1,0 +1,66 @@
+"""Property tests (hypothesis) for the text-date rule and the exact rounding."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+from decimal import ROUND_HALF_UP, Decimal
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vitrine.functions import parse_date, safe_pct
+
+ISO = re.compile(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+DMY = re.compile(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}")
+
+
+def rule(text):
+    """The date rule in plain Python: ISO prefix, else DD/MM/YYYY prefix."""
+    if text is None:
+        return None
+    try:
+        if ISO.match(text):
+            y, m, d = text[:4], text[5:7], text[8:10]
+        elif DMY.match(text):
+            y, m, d = text[6:10], text[3:5], text[0:2]
+        else:
+            return None
+        if int(y) == 0:
+            return None
+        return dt.date(int(y), int(m), int(d))
+    except ValueError:
+        return None
+
+
+digits = st.text(alphabet="0123456789", min_size=1, max_size=4)
+texts = st.one_of(
+    st.none(),
+    st.builds(lambda y, m, d, tail: f"{y:04d}-{m:02d}-{d:02d}{tail}",
+              st.integers(1, 9999), st.integers(0, 13), st.integers(0, 32),
+              st.sampled_from(["", " 10:11:12", "T23:59:59-03:00", "x"])),
+    st.builds(lambda y, m, d, tail: f"{d:02d}/{m:02d}/{y:04d}{tail}",
+              st.integers(1, 9999), st.integers(0, 13), st.integers(0, 32),
+              st.sampled_from(["", " 10:00", "!"])),
+    st.builds(lambda a, b, c: f"{a}/{b}/{c}", digits, digits, digits),
+    st.text(max_size=12),
+)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=40))
+def test_parse_date_matches_rule(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    got = [r.d for r in df.select(parse_date("x").alias("d")).collect()]
+    assert got == [rule(v) for v in values]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**9), st.integers(0, 10**9)), min_size=1, max_size=30))
+def test_safe_pct_is_exact_half_up(spark, pairs):
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [r.p for r in df.select(safe_pct(F.col("n"), F.col("d"), 1).alias("p")).collect()]
+    want = [None if d == 0 else (Decimal(100 * n) / Decimal(d)).quantize(Decimal("0.1"), ROUND_HALF_UP)
+            for n, d in pairs]
+    assert got == want
