@@ -16,7 +16,7 @@ Two plans:
   Per-partition counts and sums (one row per partition) give each partition
   its offset; a vectorised pass over each sorted partition adds the local
   running sum. No step moves all rows to one task, and there is no
-  self-join.
+  self-join. The grand total is a scalar subquery (one value, no join).
 """
 
 from __future__ import annotations
@@ -58,17 +58,17 @@ def _share(cum: Column, total: Column) -> Column:
     return F.round((cents_cum * 100).cast(EXACT) / cents_total.cast(EXACT), 2).cast("decimal(18,2)")
 
 
-def _finish(ranked: DataFrame, total: DataFrame, out_cols: Sequence[str], value: str) -> DataFrame:
-    j = ranked.crossJoin(F.broadcast(total))   # total: one row
-    return j.select(
+def _finish(ranked: DataFrame, total: Column, out_cols: Sequence[str], value: str) -> DataFrame:
+    """``total`` is a scalar subquery: computed once, no join."""
+    return ranked.select(
         F.col("rank").cast("bigint").alias("rank"), *out_cols,
         F.col(value).cast(MONEY_SUM).alias(value),
-        _share(F.col("_cum"), F.col("_total")).alias("cumulative_pct"),
-        _classify(F.col("_cum"), F.col("_total")).alias("abc_class"))
+        _share(F.col("_cum"), total).alias("cumulative_pct"),
+        _classify(F.col("_cum"), total).alias("abc_class"))
 
 
-def _total(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.sum(value).cast(MONEY_SUM).alias("_total"))
+def _total(df: DataFrame, value: str) -> Column:
+    return df.agg(F.sum(value).cast(MONEY_SUM).alias("_total")).scalar()
 
 
 def abc_top(df: DataFrame, value: str, tie: Sequence[str], k: int,
@@ -147,5 +147,5 @@ def abc_full(df: DataFrame, value: str, tie: Sequence[str], out_cols: Sequence[s
         F.when(F.col("_off_nn") + F.col("_lnn") > 0,
                (F.col("_off_s") + F.col("_lcum")).cast(MONEY_SUM)).alias("_cum"))
     # The grand total from the same per-partition rows (NULL if no value).
-    total = stats.agg(F.when(F.sum("_nn") > 0, F.sum("_s")).cast(MONEY_SUM).alias("_total"))
+    total = stats.agg(F.when(F.sum("_nn") > 0, F.sum("_s")).cast(MONEY_SUM).alias("_total")).scalar()
     return _finish(ranked, total, out_cols, value)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +14,14 @@ def top_k(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def bundle(*one_row_frames: DataFrame) -> DataFrame:
+def bundle(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Merge one-row frames (global aggregates) into one record.
 
-    Each input is a global aggregate, hence exactly one row; broadcasting it
-    is bounded by construction and the cross join stays one row."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), one_row_frames)
+    Each further frame becomes one uncorrelated scalar subquery (its columns
+    packed in a struct): Spark runs it once, and its value is attached to
+    the first frame's single row without a join."""
+    cols = [F.col(c) for c in first.columns]
+    for frame in others:
+        packed = frame.select(F.struct(*frame.columns).alias("_row")).scalar()
+        cols += [packed.getField(c).alias(c) for c in frame.columns]
+    return first.select(*cols)
