@@ -93,3 +93,11 @@ def test_shipment_classifier_accents(spark):
     got = [r.c for r in df.select(classify("s", SHIPMENT_RULES, OTHER).alias("c")).collect()]
     assert got == ["Entregue", "Saiu p/ entrega", "Saiu p/ entrega", "Em trânsito", "Outros",
                    "Em trânsito", "Postado", "Outros", "Entregue"]
+
+
+def test_scale_conf_sizes_shuffles():
+    from vitrine.session import scale_conf
+    conf = scale_conf(100 * 2**40)                    # 100 TB on 1000 x 4 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
+    small = scale_conf(10 * 2**30)
+    assert int(small["spark.sql.shuffle.partitions"]) == 4000     # at least one task per slot

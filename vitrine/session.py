@@ -22,9 +22,31 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files go once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def scale_conf(input_bytes: float, executor_cores: int = 4, executors: int = 1000,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the data, for a cluster session.
+
+    Scan splits of ``target_partition_bytes``; an initial shuffle width that
+    gives every shuffle partition about that much data at the largest stage
+    (the whole input, conservatively), never fewer than the cluster's task
+    slots; AQE then coalesces small partitions to the advisory size and
+    splits skewed ones."""
+    slots = executor_cores * executors
+    width = max(slots, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(width),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_session(master: str | None = None, app_name: str = "vitrine",
                 shuffle_partitions: int | None = None,
                 conf: dict[str, str] | None = None) -> SparkSession:
