@@ -14,10 +14,15 @@ and every dashboard query reads its output.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.period import Period
 from ..schemas import PARSED_DATES
+from ..session import scratch_dir
 from .tables import Tables
 
 # table -> (clustering columns, partition column or None). The clustering
@@ -60,19 +65,69 @@ def curated_frame(tables: Tables, name: str) -> DataFrame:
     return df
 
 
-def write_curated(tables: Tables, root: str, names=None, files_per_table: int | None = None) -> None:
-    """Write each table to ``<root>/<name>`` in the layout above."""
+def _window_values(part: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
+    """Partition values a refresh window covers: month starts or days."""
+    out, d = [], lo
+    while d <= hi:
+        out.append(d)
+        if part == "sale_month":
+            d = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
+        else:
+            d = d + dt.timedelta(days=1)
+    return out
+
+
+def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic: bool = False) -> None:
+    keys = ([part] if part else []) + list(cluster)
+    # each task takes one range of the sort order; rows sorted inside it
+    out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    writer = out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
+    if part:
+        writer = writer.partitionBy(part)
+        if dynamic:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
+def write_curated(tables: Tables, root: str, names=None, files_per_table: int | None = None,
+                  refresh: Period | None = None) -> None:
+    """Write each table to ``<root>/<name>`` in the layout above.
+
+    With ``refresh`` (a date window), only the partitions the window touches
+    are rewritten: the months of sales and order lines, the days of the
+    search tables (unpartitioned tables, the small ones, are rewritten
+    whole). The window's rows are first staged in the checkpoint folder (one
+    pass over the source; the target is untouched until they are complete),
+    then overwrite their partitions (dynamic partition overwrite); a
+    partition of the window left with no rows is emptied explicitly, since a
+    dynamic overwrite only replaces partitions that receive rows. A daily
+    refresh therefore rewrites one or two months of the big tables, not
+    their history."""
     for name in names or LAYOUT:
         cluster, part = LAYOUT[name]
         df = curated_frame(tables, name)
-        n = files_per_table or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        keys = ([part] if part else []) + list(cluster)
-        # each task takes one range of the sort order; rows sorted inside it
-        out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        writer = out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
-        if part:
-            writer = writer.partitionBy(part)
-        writer.parquet(f"{root}/{name}")
+        spark = df.sparkSession
+        n = files_per_table or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        target = f"{root}/{name}"
+        if refresh is None or not part:
+            _write(df, target, cluster, part, n)
+            continue
+        if part == "sale_month":
+            lo, hi = refresh.start.replace(day=1), refresh.end.replace(day=1)
+        else:
+            lo, hi = refresh.start, refresh.end
+        window = df.where(F.col(part).between(F.lit(lo), F.lit(hi)))
+        staging = scratch_dir(spark, f"curate-{name}-{uuid.uuid4().hex}")
+        _write(window, staging, cluster, part, n)
+        staged = spark.read.schema(window.schema).parquet(staging)
+        # partition values present: bounded by the number of days / months in the window
+        present = {r[0] for r in staged.select(part).distinct().collect()}
+        if present:
+            _write(staged, target, cluster, part, n, dynamic=True)
+        empty = spark.createDataFrame([], staged.drop(part).schema)
+        for value in _window_values(part, lo, hi):
+            if value not in present:
+                empty.write.mode("overwrite").parquet(f"{target}/{part}={value.isoformat()}")
 
 
 def bad_date_counts(tables: Tables) -> DataFrame:
