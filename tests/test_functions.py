@@ -25,7 +25,8 @@ def test_parse_date_layouts(spark):
         "05/01/2024": dt.date(2024, 1, 5),
         "05/01/2024 10:00": dt.date(2024, 1, 5),
     }
-    bad = ["2024-02-30", "31/02/2024", "5/1/2024", "", None, "12345-01-01", "2024-1-5", "x2024-01-05"]
+    bad = ["2024-02-30", "31/02/2024", "5/1/2024", "", None, "12345-01-01", "2024-1-5", "x2024-01-05",
+           "0000-01-01", "01/01/0000"]
     df = _one_col(spark, list(good) + bad)
     got = {r.x: r.d for r in df.select("x", parse_date("x").alias("d")).collect()}
     for text, want in good.items():

@@ -80,13 +80,13 @@ def ratio_rounded(num: Column, den: Column, scale: int, times: int = 1) -> Colum
 
 def safe_pct(num: Column, den: Column, scale: int = 1) -> Column:
     """ROUND(100.0 * num / NULLIF(den, 0), scale) for counts."""
-    return ratio_rounded(num, den, scale, times=100).cast(f"decimal(10,{scale})")
+    return ratio_rounded(num, den, scale, times=100).cast(f"decimal(38,{scale})")
 
 
 def click_rate(clicks: Column, impressions: Column) -> Column:
     """100 * clicks / impressions rounded to 2, 0 without impressions."""
     return F.when(impressions > 0, ratio_rounded(clicks, impressions, 2, times=100)) \
-        .otherwise(F.lit(0)).cast("decimal(12,2)")
+        .otherwise(F.lit(0)).cast("decimal(38,2)")
 
 
 def weighted_position(sum_pos_x_weight: Column, sum_weight: Column) -> Column:

@@ -23,13 +23,14 @@ def _col(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """O1: mixed-layout text to DATE; anything else (also '', NULL and
-    impossible days such as 2024-02-30) becomes NULL."""
+    """O1: mixed-layout text to DATE; anything else (also '', NULL,
+    impossible days such as 2024-02-30, and year 0000, which a SQL date
+    rejects) becomes NULL."""
     c = _col(c)
     iso = F.substring(c, 1, 10)
     dmy = F.concat_ws("-", F.substring(c, 7, 4), F.substring(c, 4, 2), F.substring(c, 1, 2))
-    return (F.when(c.rlike(ISO_PREFIX), iso.try_cast("date"))
-             .when(c.rlike(DMY_PREFIX), dmy.try_cast("date")))
+    return (F.when(c.rlike(ISO_PREFIX) & (F.substring(c, 1, 4) != "0000"), iso.try_cast("date"))
+             .when(c.rlike(DMY_PREFIX) & (F.substring(c, 7, 4) != "0000"), dmy.try_cast("date")))
 
 
 def parse_timestamp(c: Column | str) -> Column:
