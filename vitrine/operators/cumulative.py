@@ -59,12 +59,14 @@ def _share(cum: Column, total: Column) -> Column:
 
 
 def _finish(ranked: DataFrame, total: Column, out_cols: Sequence[str], value: str) -> DataFrame:
-    """``total`` is a scalar subquery: computed once, no join."""
-    return ranked.select(
+    """``total`` is a scalar subquery: attached once as a column (one
+    subquery, run once, no join), then referenced by name."""
+    t = F.col("_total")
+    return ranked.withColumn("_total", total).select(
         F.col("rank").cast("bigint").alias("rank"), *out_cols,
         F.col(value).cast(MONEY_SUM).alias(value),
-        _share(F.col("_cum"), total).alias("cumulative_pct"),
-        _classify(F.col("_cum"), total).alias("abc_class"))
+        _share(F.col("_cum"), t).alias("cumulative_pct"),
+        _classify(F.col("_cum"), t).alias("abc_class"))
 
 
 def _total(df: DataFrame, value: str) -> Column:

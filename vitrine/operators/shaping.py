@@ -18,10 +18,11 @@ def bundle(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Merge one-row frames (global aggregates) into one record.
 
     Each further frame becomes one uncorrelated scalar subquery (its columns
-    packed in a struct): Spark runs it once, and its value is attached to
-    the first frame's single row without a join."""
-    cols = [F.col(c) for c in first.columns]
-    for frame in others:
-        packed = frame.select(F.struct(*frame.columns).alias("_row")).scalar()
-        cols += [packed.getField(c).alias(c) for c in frame.columns]
-    return first.select(*cols)
+    packed in a struct) attached once as a column: Spark runs it once, and
+    its values join the first frame's single row without a join."""
+    df, cols = first, [F.col(c) for c in first.columns]
+    for i, frame in enumerate(others):
+        packed = f"_bundle{i}"
+        df = df.withColumn(packed, frame.select(F.struct(*frame.columns)).scalar())
+        cols += [F.col(packed).getField(c).alias(c) for c in frame.columns]
+    return df.select(*cols)
