@@ -105,3 +105,13 @@ def test_refresh_rewrites_only_the_window(spark, tmp_path):
     again = spark.read.parquet(f"{root}/sales")
     assert again.count() == n_before
     assert sorted(map(tuple, again.collect())) == before_rows
+
+
+@pytest.mark.parametrize("name,subqueries", [
+    ("q01_overview_kpis", 2), ("q12_customer_kpis", 1), ("q29_finance_kpis", 3),
+    ("q19_product_abc", 1), ("q22_stock_abc", 1)])
+def test_each_one_row_result_is_one_subquery(both, name, subqueries):
+    import re
+    _, cur = both
+    plan = _plan(run(name, cur))
+    assert len(set(re.findall(r"Subquery subquery#(\d+)", plan))) == subqueries
