@@ -74,8 +74,12 @@ def _total(df: DataFrame, value: str) -> Column:
 
 
 def abc_top(df: DataFrame, value: str, tie: Sequence[str], k: int,
-            out_cols: Sequence[str]) -> DataFrame:
-    """First ``k`` ranks of the ABC curve."""
+            out_cols: Sequence[str], total: Column | None = None) -> DataFrame:
+    """First ``k`` ranks of the ABC curve.
+
+    ``total`` (a scalar subquery) may be given when the grand total is
+    cheaper to take from the rows before grouping: the sum of the group sums
+    is the sum of the rows, which needs no shuffle."""
     top = df.orderBy(*_order(value, tie)).limit(k)
     # k rows at most: a single-partition window over them is bounded.
     w = Window.orderBy(*_order(value, tie))
@@ -84,7 +88,7 @@ def abc_top(df: DataFrame, value: str, tie: Sequence[str], k: int,
         F.row_number().over(w).alias("rank"),
         F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
          .cast(MONEY_SUM).alias("_cum"))
-    return _finish(ranked, _total(df, value), out_cols, value)
+    return _finish(ranked, _total(df, value) if total is None else total, out_cols, value)
 
 
 def _local_scan(value: str, extra: Sequence[str]):
