@@ -64,3 +64,20 @@ def test_safe_pct_is_exact_half_up(spark, pairs):
     want = [None if d == 0 else (Decimal(100 * n) / Decimal(d)).quantize(Decimal("0.1"), ROUND_HALF_UP)
             for n, d in pairs]
     assert got == want
+
+
+values = st.one_of(st.none(), st.integers(-500, 5000).map(lambda c: Decimal(c) / 100),
+                   st.sampled_from([Decimal("7.00"), Decimal("0.00")]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(values, min_size=1, max_size=120), st.integers(1, 6))
+def test_abc_full_equals_brute_force(spark, vals, partitions):
+    from test_operators import brute_abc
+
+    from vitrine.operators import abc_full
+    rows = [(f"k{i:04d}", v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "key string, value decimal(38,2)")
+    got = {r.key: (r.rank, r.cumulative_pct, r.abc_class)
+           for r in abc_full(df, "value", ["key"], ["key"], partitions=partitions).collect()}
+    assert got == brute_abc(rows)
