@@ -19,3 +19,20 @@ def test_list_names_every_query(capsys):
     assert main(["list"]) == 0
     out = capsys.readouterr().out.splitlines()
     assert len(out) == 44 and out[0].startswith("q01_overview_kpis")
+
+
+def test_sync_and_curate_commands(spark, capsys, tmp_path):
+    land_q, land_p = tmp_path / "lq", tmp_path / "lp"
+    land_q.mkdir()
+    land_p.mkdir()
+    (land_q / "a.json").write_text(json.dumps(
+        {"keys": ["2024-01-29", "q", "/p/1", "BRA", "MOBILE"], "clicks": 2, "impressions": 8,
+         "ctr": 0.25, "position": 4.0}) + "\n")
+    (land_p / "a.json").write_text("")
+    assert main(["sync", "--landing-queries", str(land_q), "--landing-pages", str(land_p),
+                 "--root", str(tmp_path / "t"), "--as-of", "2024-01-31"]) == 0
+    out = json.loads(capsys.readouterr().out.strip())
+    assert out == {"period": "2024-01-24 -> 2024-01-30", "search_queries": 1, "search_pages": 0}
+    assert main(["curate", "--sf", SF_SMALL, "--root", str(tmp_path / "c")]) == 0
+    assert main(["run", "q07_sales_kpis", "--curated", str(tmp_path / "c")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["orders"] > 0

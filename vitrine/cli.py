@@ -3,6 +3,8 @@
     python -m vitrine list
     python -m vitrine run q08_sales_by_channel --sf /root/testdata/sf0.01 --start 2000-01-01 --end 2000-12-31
     python -m vitrine run q19_product_abc --curated /data/shop --as-of 2024-05-17
+    python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop [--refresh-start D --refresh-end D]
+    python -m vitrine sync --landing-queries L1 --landing-pages L2 --root /data/shop --as-of D [--days 7]
 
 The parameters are the dashboard's: a period (--start/--end, month to date
 of --as-of when omitted), --limit, --years, --days, --months. A query takes
@@ -51,6 +53,21 @@ def main(argv: list[str] | None = None) -> int:
     run_p.add_argument("--months", type=int)
     run_p.add_argument("--max-rows", type=int, default=1000)
     run_p.add_argument("--master")
+    cur_p = sub.add_parser("curate", help="load step: write the curated tables")
+    cur_p.add_argument("--sf", required=True, help="TPC-H-like parquet folder")
+    cur_p.add_argument("--root", required=True)
+    cur_p.add_argument("--refresh-start")
+    cur_p.add_argument("--refresh-end")
+    cur_p.add_argument("--master")
+    sync_p = sub.add_parser("sync", help="upsert landed search statistics (J1-J3)")
+    sync_p.add_argument("--landing-queries", required=True)
+    sync_p.add_argument("--landing-pages", required=True)
+    sync_p.add_argument("--root", required=True)
+    sync_p.add_argument("--as-of", dest="as_of", default=dt.date.today().isoformat())
+    sync_p.add_argument("--days", type=int, default=7)
+    sync_p.add_argument("--start")
+    sync_p.add_argument("--end")
+    sync_p.add_argument("--master")
     args = parser.parse_args(argv)
 
     if args.command == "list":
@@ -60,6 +77,21 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_session(args.master)
     spark.sparkContext.setLogLevel("ERROR")
+    if args.command == "curate":
+        from .operators.period import Period
+        from .sources.curated import write_curated
+        refresh = None
+        if args.refresh_start or args.refresh_end:
+            start = dt.date.fromisoformat(args.refresh_start or args.refresh_end)
+            refresh = Period(start, dt.date.fromisoformat(args.refresh_end or args.refresh_start))
+        write_curated(from_testdata(spark, args.sf), args.root, refresh=refresh)
+        return 0
+    if args.command == "sync":
+        from .streaming.upsert import sync_search
+        out = sync_search(spark, args.landing_queries, args.landing_pages, args.root,
+                          dt.date.fromisoformat(args.as_of), args.days, args.start, args.end)
+        sys.stdout.write(json.dumps(out) + "\n")
+        return 0
     tables = from_parquet(spark, args.curated) if args.curated else from_testdata(spark, args.sf)
     fn, defaults = QUERIES[args.name]
     params = {**defaults, **_params(fn, args)}
