@@ -19,9 +19,10 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.period import Period
-from ..schemas import PARSED_DATES
+from ..schemas import PARSED_DATES, TABLES
 from ..session import scratch_dir
 from .tables import Tables
 
@@ -45,6 +46,20 @@ LAYOUT = {
 TARGET_ROWS_PER_FILE = 2_000_000
 
 
+def curated_schema(name: str) -> T.StructType:
+    """Explicit schema of a curated table: the table's own schema plus its
+    parsed DATE column, the month partition of sales and order lines, and the
+    sale's date and status carried by each order line."""
+    fields = list(TABLES[name].fields)
+    if name in PARSED_DATES:
+        fields.append(T.StructField(PARSED_DATES[name][0], T.DateType()))
+    if name == "sale_items":
+        fields += [T.StructField("sale_date", T.DateType()), T.StructField("sale_status", T.StringType())]
+    if name in ("sales", "sale_items"):
+        fields.append(T.StructField("sale_month", T.DateType()))
+    return T.StructType(fields)
+
+
 def curated_frame(tables: Tables, name: str) -> DataFrame:
     """The table with its parsed date (and, for sales, the month it falls in).
 

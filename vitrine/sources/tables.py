@@ -44,9 +44,13 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def from_parquet(spark: SparkSession, root: str) -> Tables:
-    """Tables stored as parquet folders ``<root>/<name>`` (curated copies)."""
+    """Tables stored as parquet folders ``<root>/<name>`` (curated copies),
+    read with their explicit schemas (nothing inferred; a column a copy does
+    not hold reads as NULL)."""
+    from .curated import curated_schema
     root = root.rstrip("/")
-    return Tables({name: (lambda n=name: spark.read.parquet(f"{root}/{n}")) for name in TABLES})
+    return Tables({name: (lambda n=name: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}"))
+                   for name in TABLES})
 
 
 def from_frames(frames: Mapping[str, DataFrame]) -> Tables:
