@@ -115,3 +115,26 @@ def test_each_one_row_result_is_one_subquery(both, name, subqueries):
     _, cur = both
     plan = _plan(run(name, cur))
     assert len(set(re.findall(r"Subquery subquery#(\d+)", plan))) == subqueries
+
+
+def test_aggregates_combine_before_every_shuffle(both):
+    """Each hash exchange that feeds an aggregate sits on a partial
+    aggregate, so a hot key reaches the shuffle as one row per task."""
+    _, cur = both
+    for name in QUERIES:
+        lines = [ln.strip(" :+-") for ln in _plan(run(name, cur)).splitlines()]
+        for i, line in enumerate(lines):
+            if not line.startswith("Exchange hashpartitioning") or i == 0 or i + 1 >= len(lines):
+                continue
+            if lines[i - 1].startswith("HashAggregate") or lines[i - 1].startswith("ObjectHashAggregate"):
+                child = lines[i + 1]
+                assert "Aggregate" in child, (name, line, child)
+
+
+def test_python_runs_only_in_the_prefix_sum(both):
+    _, cur = both
+    for name in QUERIES:
+        plan = _plan(run(name, cur))
+        python_nodes = [n for n in ("MapInPandas", "BatchEvalPython", "ArrowEvalPython",
+                                    "FlatMapGroupsInPandas") if n in plan]
+        assert python_nodes == (["MapInPandas"] if name == "o10_abc_full_curve" else []), name
