@@ -126,3 +126,9 @@ def test_search_zero_impressions(t):
     assert rows["q2"].ctr == D("10.00") and rows["q2"].avg_position == D("3.0")
     k = run("q34_search_kpis", t, as_of=AS_OF, period=Period(dt.date(2024, 1, 10), dt.date(2024, 1, 20))).first()
     assert (k.total_queries, k.total_pages) == (2, 1)                # NULL page not counted
+
+
+def test_caller_limit_zero_and_negative(t):
+    assert run("q04_top_products_overview", t, as_of=AS_OF, period=P, limit=0).count() == 0
+    with pytest.raises(Exception):
+        run("q04_top_products_overview", t, as_of=AS_OF, period=P, limit=-1).collect()
