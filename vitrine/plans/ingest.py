@@ -1,10 +1,11 @@
 """J1/J2 as queries: two overlapping sync batches merged by the keyed upsert.
 
 The batches are cut from the search tables and turned back into landing
-rows (what the search API returns): the first covers days 1-20 of the
-month, the second re-pulls days 15-30 with one more click per row, as a
-late correction would. The merged table must hold one row per key, with the
-second batch's measures on the overlap.
+rows (what the search API returns): the first holds every day up to
+2024-01-20, the second re-pulls every day from 2024-01-15 on with one more
+click per row, as a late correction would. Together they cover the whole
+table. The merged table must hold one row per key, with the second batch's
+measures on the overlap.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.period import Period
 from ..schemas import SEARCH_PAGE_KEYS, SEARCH_QUERY_KEYS
 from ..sources.tables import Tables
 from ..streaming.upsert import flatten_landing, merge_newest
 
-FIRST = Period(dt.date(2024, 1, 1), dt.date(2024, 1, 20))
-SECOND = Period(dt.date(2024, 1, 15), dt.date(2024, 1, 30))
+FIRST_UNTIL = dt.date(2024, 1, 20)     # first batch: days up to here
+SECOND_FROM = dt.date(2024, 1, 15)     # second batch: days from here on
 STAMPS = (dt.datetime(2024, 1, 21, 6, 0), dt.datetime(2024, 1, 31, 6, 0))
 
 
@@ -38,9 +38,9 @@ def to_landing(rows: DataFrame, keys, extra_clicks: int = 0) -> DataFrame:
 def _two_batches(t: Tables, table: str, keys) -> DataFrame:
     src = t[table]
     batches = []
-    for (window, extra), stamp in zip(((FIRST, 0), (SECOND, 1)), STAMPS):
-        rows = src.where(F.col("day").between(F.lit(window.start), F.lit(window.end)))
-        batches.append(flatten_landing(to_landing(rows, keys, extra), keys, stamp))
+    cuts = ((F.col("day") <= F.lit(FIRST_UNTIL), 0), (F.col("day") >= F.lit(SECOND_FROM), 1))
+    for (cut, extra), stamp in zip(cuts, STAMPS):
+        batches.append(flatten_landing(to_landing(src.where(cut), keys, extra), keys, stamp))
     merged = merge_newest(None, batches, keys)
     return merged.drop("synced_at")
 
