@@ -103,3 +103,16 @@ def test_sync_search_window_and_ensure(spark, tmp_dir):
                                      "ctr": 0.2, "position": 1.5}])
     out = sync_search(spark, f"{tmp_dir}/lq", f"{tmp_dir}/lp", f"{tmp_dir}/t", dt.date(2024, 1, 31))
     assert out == {"period": "2024-01-24 -> 2024-01-30", "search_queries": 1, "search_pages": 1}
+
+
+def test_stream_sync_without_window_uses_each_batch_span(spark, tmp_dir):
+    table = f"{tmp_dir}/sq2"
+    _write(f"{tmp_dir}/s2/a.json", [_row("2024-03-04", "q", "/p/3", 4, 40),
+                                   _row("2024-03-09", "r", "/p/3", 1, 10)])
+    q = stream_sync(spark, f"{tmp_dir}/s2", table, "search_queries", None, f"{tmp_dir}/ck2")
+    q.awaitTermination(120)
+    assert sorted((r[0], r[1]) for r in _table(spark, table)) == [("2024-03-04", "q"), ("2024-03-09", "r")]
+    # a second run over the same folder reads nothing new (the stream checkpoint)
+    q = stream_sync(spark, f"{tmp_dir}/s2", table, "search_queries", None, f"{tmp_dir}/ck2")
+    q.awaitTermination(120)
+    assert len(_table(spark, table)) == 2

@@ -114,16 +114,25 @@ def sync_table(spark: SparkSession, landing_path: str, table_path: str, table: s
 
 
 def stream_sync(spark: SparkSession, landing_dir: str, table_path: str, table: str,
-                window: Period, checkpoint_location: str):
+                window: Period | None, checkpoint_location: str):
     """Structured Streaming variant: every new landing file is upserted as
     it arrives (``foreachBatch``); ``availableNow`` drains what is there and
-    stops. The stream checkpoint makes each file count once."""
+    stops. The stream checkpoint makes each file count once.
+
+    Without a fixed ``window``, each micro-batch upserts the span of days it
+    holds (its first and last day: one row of two values per batch)."""
     keys = SEARCH_QUERY_KEYS if table == "search_queries" else SEARCH_PAGE_KEYS
     stream = spark.readStream.schema(LANDING).json(landing_dir)
 
     def apply(batch_df: DataFrame, batch_id: int) -> None:
         typed = flatten_landing(batch_df, keys)
-        upsert_window(batch_df.sparkSession, typed, table_path, table, keys, window)
+        span = window
+        if span is None:
+            first, last = typed.agg(F.min("day"), F.max("day")).first()
+            if first is None:
+                return
+            span = Period(first, last)
+        upsert_window(batch_df.sparkSession, typed, table_path, table, keys, span)
 
     return (stream.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint_location)
