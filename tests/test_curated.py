@@ -138,3 +138,12 @@ def test_python_runs_only_in_the_prefix_sum(both):
         python_nodes = [n for n in ("MapInPandas", "BatchEvalPython", "ArrowEvalPython",
                                     "FlatMapGroupsInPandas") if n in plan]
         assert python_nodes == (["MapInPandas"] if name == "o10_abc_full_curve" else []), name
+
+
+def test_catalog_source(spark, both):
+    from vitrine.sources import from_catalog
+    raw, _ = both
+    for name in ("sales", "sale_items"):
+        raw[name].createOrReplaceTempView(name)
+    got = run("q17_product_kpis", from_catalog(spark)).collect()
+    assert got == run("q17_product_kpis", raw).collect()

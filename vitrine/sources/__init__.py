@@ -1,5 +1,5 @@
 """Where tables come from: the test parquet, curated parquet, JDBC, landing JSON."""
 
-from .tables import Tables, from_frames, from_parquet, from_testdata
+from .tables import Tables, from_catalog, from_frames, from_parquet, from_testdata
 
-__all__ = ["Tables", "from_frames", "from_parquet", "from_testdata"]
+__all__ = ["Tables", "from_catalog", "from_frames", "from_parquet", "from_testdata"]

@@ -53,6 +53,14 @@ def from_parquet(spark: SparkSession, root: str) -> Tables:
                    for name in TABLES})
 
 
+def from_catalog(spark: SparkSession, database: str | None = None) -> Tables:
+    """Tables registered in the session catalog (a metastore database, or
+    temporary views when ``database`` is None); partition metadata and
+    pruning then come from the catalog."""
+    prefix = f"{database}." if database else ""
+    return Tables({name: (lambda n=name: spark.table(f"{prefix}{n}")) for name in TABLES})
+
+
 def from_frames(frames: Mapping[str, DataFrame]) -> Tables:
     """Tables from ready DataFrames (tests, other sources)."""
     return Tables({name: (lambda df=df: df) for name, df in frames.items()})
