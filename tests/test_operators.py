@@ -184,3 +184,16 @@ def test_empty_period(spark):
 def test_registered_defaults_are_fixed_dates():
     assert SALES_AS_OF == dt.date(2001, 8, 1)
     assert SALES_PERIOD.days == 366
+
+
+def test_hot_value_spreads_over_range_partitions(spark):
+    """The prefix sum range-partitions on (value desc, unique key): a value
+    holding a third of the rows still spreads over several partitions."""
+    from pyspark.sql.functions import spark_partition_id
+    from vitrine.operators.cumulative import _order
+    rows = _gen(9, 3000, hot=True, nulls=False)
+    df = spark.createDataFrame(rows, "key string, value decimal(38,2)")
+    sizes = [r[1] for r in df.repartitionByRange(8, *_order("value", ["key"]))
+             .groupBy(spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000
+    assert max(sizes) < 0.25 * 3000          # no task holds the hot third
