@@ -197,3 +197,16 @@ def test_hot_value_spreads_over_range_partitions(spark):
              .groupBy(spark_partition_id()).count().collect()]
     assert sum(sizes) == 3000
     assert max(sizes) < 0.25 * 3000          # no task holds the hot third
+
+
+def test_full_curve_share_rises_to_100(spark):
+    """SURVEY §5: with non-negative values the running share never falls and
+    the last rank is at 100 %; classes run A, then B, then C."""
+    t = from_testdata(spark, SF_SMALL)
+    rows = run("o10_abc_full_curve", t).orderBy("rank").collect()
+    shares = [r.cumulative_pct for r in rows]
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
+    assert all(a <= b for a, b in zip(shares, shares[1:]))
+    assert shares[-1] == Decimal("100.00")
+    classes = "".join(r.abc_class for r in rows)
+    assert classes == "".join(sorted(classes))          # A... B... C...
