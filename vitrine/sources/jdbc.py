@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .tables import Tables
 
@@ -69,6 +69,14 @@ def jdbc_options(url: str, table: str, properties: Mapping[str, str],
     return opts
 
 
+def to_engine_columns(df: DataFrame, table: str) -> DataFrame:
+    """Rename a source table's columns to the engine's names."""
+    for old, new in RENAMES.get(table, {}).items():
+        if old in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
 def from_jdbc(spark: SparkSession, url: str, properties: Mapping[str, str],
               bounds: Mapping[str, tuple] | None = None, num_partitions: int = 64,
               sources: Mapping[str, tuple] = DEFAULT_SOURCES) -> Tables:
@@ -81,10 +89,6 @@ def from_jdbc(spark: SparkSession, url: str, properties: Mapping[str, str],
     def reader(name: str):
         source, part = sources[name]
         opts = jdbc_options(url, source, properties, part, bounds.get(name), num_partitions)
-        df = spark.read.format("jdbc").options(**opts).load()
-        for old, new in RENAMES.get(name, {}).items():
-            if old in df.columns:
-                df = df.withColumnRenamed(old, new)
-        return df
+        return to_engine_columns(spark.read.format("jdbc").options(**opts).load(), name)
 
     return Tables({name: (lambda n=name: reader(n)) for name in sources})
