@@ -22,7 +22,7 @@ import sys
 
 from .plans import QUERIES
 from .session import get_session
-from .sources import from_parquet, from_testdata
+from .sources import from_catalog, from_parquet, from_testdata
 
 
 def _params(fn, args) -> dict:
@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     src = run_p.add_mutually_exclusive_group()
     src.add_argument("--sf", default="/root/testdata/sf0.01", help="TPC-H-like parquet folder")
     src.add_argument("--curated", help="root of curated parquet tables")
+    src.add_argument("--catalog", help="catalog database holding the tables")
     run_p.add_argument("--as-of", dest="as_of")
     run_p.add_argument("--start")
     run_p.add_argument("--end")
@@ -92,7 +93,12 @@ def main(argv: list[str] | None = None) -> int:
                           dt.date.fromisoformat(args.as_of), args.days, args.start, args.end)
         sys.stdout.write(json.dumps(out) + "\n")
         return 0
-    tables = from_parquet(spark, args.curated) if args.curated else from_testdata(spark, args.sf)
+    if args.catalog:
+        tables = from_catalog(spark, args.catalog)
+    elif args.curated:
+        tables = from_parquet(spark, args.curated)
+    else:
+        tables = from_testdata(spark, args.sf)
     fn, defaults = QUERIES[args.name]
     params = {**defaults, **_params(fn, args)}
     df = fn(tables, **params)

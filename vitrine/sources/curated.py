@@ -145,6 +145,33 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
                 empty.write.mode("overwrite").parquet(f"{target}/{part}={value.isoformat()}")
 
 
+# Tables stored bucketed by sku in the catalog layout (the dead-stock join).
+BUCKETED_BY_SKU = ("products", "sale_items")
+
+
+def write_catalog(tables: Tables, database: str, root: str, buckets: int | None = None) -> None:
+    """Catalog layout: every curated table as an external catalog table at
+    ``<root>/<name>``; products and order lines also bucketed (and sorted) by
+    sku into ``buckets`` buckets. Joins and groupings on sku over those two
+    tables then need no shuffle: the dead-stock report aggregates the lines
+    per sku and joins the products inside each bucket. Read it back with
+    ``sources.from_catalog(spark, database)``."""
+    for name in LAYOUT:
+        cluster, part = LAYOUT[name]
+        df = curated_frame(tables, name)
+        spark = df.sparkSession
+        n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        writer_df = df.repartition(n, "sku") if name in BUCKETED_BY_SKU else \
+            df.repartitionByRange(n, *(([part] if part else []) + list(cluster)))
+        writer = writer_df.write.mode("overwrite").option("path", f"{root}/{name}") \
+            .option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
+        if part:
+            writer = writer.partitionBy(part)
+        if name in BUCKETED_BY_SKU:
+            writer = writer.bucketBy(n, "sku").sortBy("sku")
+        writer.saveAsTable(f"{database}.{name}")
+
+
 def bad_date_counts(tables: Tables) -> DataFrame:
     """Rows whose date text is present but not a valid date in either
     layout (such rows drop out of every period filter), per table: one
