@@ -36,3 +36,9 @@ def test_sync_and_curate_commands(spark, capsys, tmp_path):
     assert main(["curate", "--sf", SF_SMALL, "--root", str(tmp_path / "c")]) == 0
     assert main(["run", "q07_sales_kpis", "--curated", str(tmp_path / "c")]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[0])["orders"] > 0
+
+
+def test_curate_into_catalog(spark, capsys, tmp_path):
+    assert main(["curate", "--sf", SF_SMALL, "--root", str(tmp_path / "cat"), "--catalog", "vitrine_cli"]) == 0
+    assert main(["run", "q23_dead_stock", "--catalog", "vitrine_cli", "--limit", "3"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3

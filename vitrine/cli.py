@@ -4,6 +4,7 @@
     python -m vitrine run q08_sales_by_channel --sf /root/testdata/sf0.01 --start 2000-01-01 --end 2000-12-31
     python -m vitrine run q19_product_abc --curated /data/shop --as-of 2024-05-17
     python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop [--refresh-start D --refresh-end D]
+    python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop --catalog shop   (bucketed layout)
     python -m vitrine sync --landing-queries L1 --landing-pages L2 --root /data/shop --as-of D [--days 7]
 
 The parameters are the dashboard's: a period (--start/--end, month to date
@@ -57,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
     cur_p = sub.add_parser("curate", help="load step: write the curated tables")
     cur_p.add_argument("--sf", required=True, help="TPC-H-like parquet folder")
     cur_p.add_argument("--root", required=True)
+    cur_p.add_argument("--catalog", help="also register the tables in this catalog database, "
+                                         "products and lines bucketed by sku")
     cur_p.add_argument("--refresh-start")
     cur_p.add_argument("--refresh-end")
     cur_p.add_argument("--master")
@@ -85,7 +88,13 @@ def main(argv: list[str] | None = None) -> int:
         if args.refresh_start or args.refresh_end:
             start = dt.date.fromisoformat(args.refresh_start or args.refresh_end)
             refresh = Period(start, dt.date.fromisoformat(args.refresh_end or args.refresh_start))
-        write_curated(from_testdata(spark, args.sf), args.root, refresh=refresh)
+        source = from_testdata(spark, args.sf)
+        if args.catalog:
+            from .sources.curated import write_catalog
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {args.catalog}")
+            write_catalog(source, args.catalog, args.root)
+        else:
+            write_curated(source, args.root, refresh=refresh)
         return 0
     if args.command == "sync":
         from .streaming.upsert import sync_search
