@@ -15,8 +15,10 @@ SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_session("local[4]", app_name="vitrine-tests", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))     # catalog tables of the tests
+    s = get_session("local[4]", app_name="vitrine-tests", shuffle_partitions=8,
+                    conf={"spark.sql.warehouse.dir": warehouse})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
