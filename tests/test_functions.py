@@ -102,3 +102,11 @@ def test_scale_conf_sizes_shuffles():
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
     small = scale_conf(10 * 2**30)
     assert int(small["spark.sql.shuffle.partitions"]) == 4000     # at least one task per slot
+
+
+def test_refresh_window_values_cross_the_year():
+    from vitrine.sources.curated import _window_values
+    months = _window_values("sale_month", dt.date(2023, 11, 1), dt.date(2024, 2, 1))
+    assert months == [dt.date(2023, 11, 1), dt.date(2023, 12, 1), dt.date(2024, 1, 1), dt.date(2024, 2, 1)]
+    days = _window_values("day", dt.date(2023, 12, 30), dt.date(2024, 1, 2))
+    assert len(days) == 4 and days[-1] == dt.date(2024, 1, 2)
