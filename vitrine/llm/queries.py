@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from vitrine.llm import ftrl_quality, langid, packing, simhash_cover, sphere_caps, url_rules, warc
+from vitrine.llm import (ftrl_quality, langid, packing, simhash_cover, sphere_caps, suffix_tree_lm, template_decontam,
+                         url_rules, warc)
 
 QUERIES = {
+    "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
+    "op2_template_decontam": template_decontam.op2_template_decontam,
     "op3_packing": packing.op3_packing,
     "op4_ftrl_quality": ftrl_quality.op4_ftrl_quality,
     "op5_warc": warc.op5_warc,
