@@ -219,12 +219,35 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         partial(_predict, model=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _accept(batches, model, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", 8 << 20):
+            doc = pa.RecordBatch.from_arrays(
+                [pa.nulls(part.num_rows, pa.int64()), part.column("text"), pa.nulls(part.num_rows, pa.bool_())],
+                ["doc_id", "text", "held"])
+            keep = [pc.and_(pc.not_equal(out.column("lang_pred"), "und"),
+                                    pc.greater_equal(out.column("score"), least)) for out in _predict([doc], model)]
+            yield part.filter(pa.concat_arrays(keep))
+
+
+def accepted(docs: DataFrame, model: dict, least: float) -> DataFrame:
+    """The rows of ``docs`` (all columns) with a language and a score of at
+    least ``least``; a filter without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_accept, model=shared, least=least), docs.schema)
+
+
+def fold_model(docs: DataFrame, folds: int = 5, per_language: int = PER_LANGUAGE) -> dict:
+    """Model learned from the rows whose crc32(doc_id) mod ``folds`` is not 0."""
+    learn = docs.filter(id_crc(F.col("doc_id")) % folds != 0)
+    return train(learn.select(F.col("text").cast("string").alias("text"), "lang", F.col("doc_id").alias("key")), per_language)
+
+
 def language_id(docs: DataFrame, folds: int = 5, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Learn from the rows whose crc32(doc_id) mod ``folds`` is not 0, answer for all."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang",
+    """Learn from the rows of the other folds, answer for all."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                       (id_crc(F.col("doc_id")) % folds == 0).alias("held"))
-    model = train(own.filter("not held").select("text", "lang", F.col("doc_id").alias("key")), per_language)
-    return identify(own, model)
+    return identify(own, fold_model(docs, folds, per_language))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

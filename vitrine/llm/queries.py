@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vitrine.llm import (ftrl_quality, langid, packing, simhash_cover, sphere_caps, suffix_tree_lm, template_decontam,
-                         url_rules, warc)
+from vitrine.llm import (ftrl_quality, langid, packing, simhash_cover, sphere_caps, suffix_dedup, suffix_tree_lm,
+                         template_decontam, url_rules, warc)
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_language_id": langid.op6_language_id,
     "op7_simhash_cover": simhash_cover.op7_simhash_cover,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sphere_caps": sphere_caps.op9_sphere_caps,
     "op10_url_filters": url_rules.op10_url_filters,
 }

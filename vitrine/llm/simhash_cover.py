@@ -62,13 +62,21 @@ def _fingerprints(batches, shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", 8 << 20):
             fp = [fingerprint(t or b"", shingle, seed) for t in part.column("text").to_pylist()]
             fp = np.array(fp, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
+
+
+def text_mark():
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, fp long")
+    """(doc_id, mark, fp): a hash of the text, and the fingerprint's 64 bits as
+    a signed long."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"),
+                      F.col("text").cast("binary").alias("text"))
+    return src.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, mark long, fp long")
 
 
 def anchors(fp: np.ndarray, n: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,17 +154,36 @@ def links(fps: DataFrame, distance: int = 3, tile: int = TILE) -> DataFrame:
 
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42,
                        tile: int = TILE) -> DataFrame:
-    """Per document (doc_id, fp, component_id): the smallest doc_id reachable
-    over links of at most ``distance`` differing bits."""
+    """Per document (doc_id, mark, fp, component_id, kept): the smallest doc_id
+    reachable over links of at most ``distance`` differing bits; ``kept`` marks
+    the group's smallest (doc_id, mark), null ids last."""
     own = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = materialise(
+        own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("head")), "classes")
     comp = connected_components(links(classes, distance, tile))
     joined = materialise(
         classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first", F.coalesce("component", "fp").alias("component")), "joined")
-    low = materialise(joined.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
-    named = materialise(joined.join(low, "component").select("fp", "component_id"), "named")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+        .withColumn("component", F.coalesce("component", "fp")), "joined")
+    low = materialise(
+        joined.groupBy("component").agg(F.min("first").alias("component_id"), F.min("head").alias("head")), "lowest")
+    named = materialise(joined.select("fp", "component").join(low, "component").drop("component"), "named")
+    return own.join(named, "fp").select(
+        "doc_id", "mark", "fp", "component_id",
+        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: one of each group."""
+    kept = simhash_components(docs, shingle, distance, seed).filter("kept").select(
+        F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark")).distinct()
+    kept = materialise(kept, "kept")
+    marked = docs.withColumn("_own_mark", text_mark())
+    same = marked["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (marked["_own_mark"] == kept["_kept_mark"])
+    rows = marked.join(kept, same, "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():     # fully equal rows: one stays
+        rows = rows.dropDuplicates(["doc_id", "_own_mark"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_cover(spark, sf_dir: str) -> DataFrame:

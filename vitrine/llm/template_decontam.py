@@ -157,8 +157,9 @@ WINDOW_SCHEMA = "row long, pos long, hash long, slots array<long>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, matched_windows, item_windows, coverage, same_values)
-    of every leak; ``same_values``: all slots hold the item's own values."""
+    """(doc_id, item_id, matched_windows, item_windows, coverage, same_values,
+    text_mark) of every leak; ``same_values``: all slots hold the item's own
+    values; ``text_mark``, a hash of the text, tells rows of one id apart."""
     spark = docs.sparkSession
     items = materialise(
         benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
@@ -175,8 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     bitmap = spark.sparkContext.broadcast(bits)
 
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = texts.withColumn("row", F.monotonically_increasing_id())
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     found = keyed.select("row", "text").mapInArrow(
         partial(_doc_windows, lengths=lengths, bitmap=bitmap), WINDOW_SCHEMA)
     item = own.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
@@ -193,8 +193,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
     whole = whole.join(named.withColumnRenamed("row", "item"), "item") \
         .withColumn("coverage", F.col("matched_windows") / F.col("item_windows")) \
         .filter(F.col("coverage") >= similarity)
-    return materialise(whole, "leaks").join(keyed.select("row", "doc_id"), "row").select(
-        "doc_id", "item_id", F.col("matched_windows").cast("long"), "item_windows", "coverage", "same_values")
+    return materialise(whole, "leaks").join(keyed.select("row", "doc_id", text_mark().alias("text_mark")), "row").select(
+        "doc_id", "item_id", F.col("matched_windows").cast("long"), "item_windows", "coverage", "same_values", "text_mark")
+
+
+def text_mark():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` (all columns) into which no item has leaked."""
+    bad = materialise(
+        leaks(docs, benchmark, window, similarity).select(
+            F.col("doc_id").alias("_leak_id"), F.col("text_mark").alias("_leak_mark")).distinct(), "leaked")
+    same = docs["doc_id"].eqNullSafe(bad["_leak_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_leak_mark"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op2_template_decontam(spark, sf_dir: str) -> DataFrame:
