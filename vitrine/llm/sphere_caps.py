@@ -12,7 +12,8 @@ The threshold follows from the number n of distinct vectors: a cap holds
 about 32 random ones at any size, and the number of directions makes a pair
 at the cosine limit share ``expected_common`` filters on average (a pair is
 then missed with probability about exp(-expected_common); closer pairs share
-more). Equal vectors are one class first. A crowded filter is split into
+more). A vector that exceeds the threshold in fewer directions than that
+calls for (its weight lies in few dimensions) gets a lower one. Equal vectors are one class first. A crowded filter is split into
 tiles of bounded size; a tile returns the number of links of each class and
 a spanning forest, never all pairs. A pair counts only in the smallest filter
 that both vectors lie in.
@@ -41,8 +42,9 @@ CAP_ROWS = 32
 TILE = 1024
 
 
-def design(n: int, cosine: float, expected_common: float) -> tuple[int, int, float]:
-    """(blocks, codewords per block, threshold in units of 1/sqrt(dim))."""
+def design(n: int, cosine: float, expected_common: float) -> tuple[int, int, float, int]:
+    """(blocks, codewords per block, threshold in units of 1/sqrt(dim), least
+    directions of a vector)."""
     normal = NormalDist()
     share = min(0.05, CAP_ROWS / max(n, 1))              # of random vectors in a cap
     a = normal.inv_cdf(1 - share)
@@ -53,7 +55,7 @@ def design(n: int, cosine: float, expected_common: float) -> tuple[int, int, flo
     common = float((density * both).sum() / density.sum())   # P(y in cap | x in cap)
     filters = expected_common / (common * share)
     blocks = max(2, math.ceil(math.log(filters) / math.log(256)))
-    return blocks, math.ceil(filters ** (1 / blocks)), a
+    return blocks, math.ceil(filters ** (1 / blocks)), a, math.ceil(expected_common / common)
 
 
 def codebook(dim: int, blocks: int, codes: int, seed: int) -> list[np.ndarray]:
@@ -80,6 +82,20 @@ def list_decode(x: np.ndarray, book: list[np.ndarray], threshold: float) -> tupl
     return row, key
 
 
+def directions(x: np.ndarray, book: list[np.ndarray], threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``list_decode``, with the threshold lowered step by step for the
+    vectors that exceed it in fewer than ``least`` directions."""
+    least = min(least, math.prod(len(c) for c in book))
+    rows, keys, left = [], [], np.arange(len(x))
+    while len(left):
+        row, key = list_decode(x[left], book, threshold)
+        full = np.bincount(row, minlength=len(left)) >= least
+        rows.append(left[row[full[row]]])
+        keys.append(key[full[row]])
+        left, threshold = left[~full], threshold - 0.1 * abs(threshold) - 1e-3
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _unit(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out = batch.column("vec_id"), []
@@ -95,7 +111,7 @@ def _unit(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["vec_id", "unit"])
 
 
-def _filters(batches, blocks: int, codes: int, a: float, seed: int) -> Iterator[pa.RecordBatch]:
+def _filters(batches, blocks: int, codes: int, a: float, least: int, seed: int) -> Iterator[pa.RecordBatch]:
     books: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         cid = batch.column("cid").to_numpy(zero_copy_only=False)
@@ -108,7 +124,7 @@ def _filters(batches, blocks: int, codes: int, a: float, seed: int) -> Iterator[
             for at in range(0, len(own), 512):
                 sel = own[at:at + 512]
                 x = np.frombuffer(b"".join(units[i] for i in sel), dtype=np.float64).reshape(-1, dim)
-                row, key = list_decode(x, books[dim], a / math.sqrt(dim))
+                row, key = directions(x, books[dim], a / math.sqrt(dim), least)
                 key += dim << 40                     # filters of different lengths are different
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
@@ -161,10 +177,10 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, expected_common: float
     classes = materialise(
         own.filter("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
-    blocks, codes, a = design(classes.count(), cosine, expected_common)
+    blocks, codes, a, least = design(classes.count(), cosine, expected_common)
     lists = materialise(
         classes.select("cid", "unit").mapInArrow(
-            partial(_filters, blocks=blocks, codes=codes, a=a, seed=seed), "cid long, filters array<long>"), "filters")
+            partial(_filters, blocks=blocks, codes=codes, a=a, least=least, seed=seed), "cid long, filters array<long>"), "filters")
     split = tiles(lists.select("cid", F.explode("filters").alias("filter")), "filter", "cid", tile)
     rows = split.join(classes.select("cid", "unit", "n"), "cid").join(lists, "cid")
     dealt = rows.select("filter", "tile_i", "tile_j", "chunk", "cid", "n", "unit", "filters") \

@@ -162,8 +162,7 @@ def prune(model: dict, n_train: int, vocabulary: int, min_bits: float, discount:
         size = len(total)
         rest_p = np.clip(1 - np.bincount(ctx, p, size), 0, 1)
         rest_q = np.clip(1 - np.bincount(ctx, q, size), 1e-12, 1)
-        bits = np.bincount(ctx, p * np.log2(p / q), size)
-        bits += np.where(rest_p > 0, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
+        bits = np.bincount(ctx, p * np.log2(p / q), size) + np.where(rest_p > 0, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
         keep[d - 1] = (bits >= min_bits) & (np.bincount(ctx, minlength=size) > 0)
     for d in range(levels - 1, 1, -1):                              # a state's suffixes are states
         keep[d - 2][suffix[d - 1][keep[d - 1]]] = True
