@@ -6,6 +6,7 @@ import json
 
 from conftest import SF_SMALL
 from vitrine.cli import main
+from vitrine.plans import QUERIES
 
 
 def test_run_prints_json_rows(spark, capsys):
@@ -18,7 +19,7 @@ def test_run_prints_json_rows(spark, capsys):
 def test_list_names_every_query(capsys):
     assert main(["list"]) == 0
     out = capsys.readouterr().out.splitlines()
-    assert len(out) == 44 and out[0].startswith("q01_overview_kpis")
+    assert len(out) == len(QUERIES) and out[0].startswith("q01_overview_kpis")
 
 
 def test_sync_and_curate_commands(spark, capsys, tmp_path):
@@ -34,7 +35,7 @@ def test_sync_and_curate_commands(spark, capsys, tmp_path):
     out = json.loads(capsys.readouterr().out.strip())
     assert out == {"period": "2024-01-24 -> 2024-01-30", "search_queries": 1, "search_pages": 0}
     assert main(["curate", "--sf", SF_SMALL, "--root", str(tmp_path / "c")]) == 0
-    assert main(["run", "q07_sales_kpis", "--curated", str(tmp_path / "c")]) == 0
+    assert main(["run", "q07_sales_kpis", "--curated", str(tmp_path / "c"), "--as-of", "2000-06-15"]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[0])["orders"] > 0
 
 
@@ -42,3 +43,16 @@ def test_curate_into_catalog(spark, capsys, tmp_path):
     assert main(["curate", "--sf", SF_SMALL, "--root", str(tmp_path / "cat"), "--catalog", "vitrine_cli"]) == 0
     assert main(["run", "q23_dead_stock", "--catalog", "vitrine_cli", "--limit", "3"]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 3
+
+
+def test_default_period_is_month_to_date(spark, capsys):
+    assert main(["run", "q02_revenue_daily", "--sf", SF_SMALL, "--as-of", "2000-07-20"]) == 0
+    days = [json.loads(x)["day"] for x in capsys.readouterr().out.splitlines()]
+    assert days and min(days) >= "2000-07-01" and max(days) <= "2000-07-20"
+
+
+def test_all_rows_are_printed(spark, capsys):
+    assert main(["run", "j1_upsert_queries", "--sf", SF_SMALL]) == 0
+    n = len(capsys.readouterr().out.splitlines())
+    assert main(["run", "j1_upsert_queries", "--sf", SF_SMALL, "--max-rows", "5"]) == 0
+    assert n > 5 == len(capsys.readouterr().out.splitlines())

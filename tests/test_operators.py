@@ -95,7 +95,7 @@ def test_abc_full_plan_has_no_nested_loop_over_rows(spark):
     plan = abc_full(df, "value", ["key"], ["key"], partitions=3)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan     # the total is a scalar subquery
-    assert "MapInPandas" in plan
+    assert "MapInPandas" not in plan and "Python" not in plan
 
 
 # ------------------------------------------------------------ O11-O13
@@ -210,3 +210,11 @@ def test_full_curve_share_rises_to_100(spark):
     assert shares[-1] == Decimal("100.00")
     classes = "".join(r.abc_class for r in rows)
     assert classes == "".join(sorted(classes))          # A... B... C...
+
+
+def test_abc_of_totals_beyond_ten_to_sixteen(spark):
+    big = [("a", Decimal("15000000000000000.00")), ("b", Decimal("8000000000000000.00"))]
+    df = spark.createDataFrame(big, "key string, value decimal(38,2)")
+    for out in (abc_top(df, "value", ["key"], 2, ["key"]), abc_full(df, "value", ["key"], ["key"], partitions=2)):
+        assert [(r.key, r.cumulative_pct) for r in out.orderBy("rank").collect()] == \
+            [("a", Decimal("65.22")), ("b", Decimal("100.00"))]

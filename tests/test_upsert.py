@@ -7,6 +7,8 @@ import json
 import os
 from decimal import Decimal
 
+import pytest
+
 from vitrine.operators import Period
 from vitrine.schemas import SEARCH_PAGE_KEYS, SEARCH_QUERY_KEYS
 from vitrine.streaming import flatten_landing, merge_newest, stream_sync, sync_table
@@ -116,3 +118,33 @@ def test_stream_sync_without_window_uses_each_batch_span(spark, tmp_dir):
     q = stream_sync(spark, f"{tmp_dir}/s2", table, "search_queries", None, f"{tmp_dir}/ck2")
     q.awaitTermination(120)
     assert len(_table(spark, table)) == 2
+
+
+def test_later_file_wins_even_with_lower_counts(spark, tmp_dir):
+    table = f"{tmp_dir}/sq3"
+    _write(f"{tmp_dir}/l/b.json", [_row("2024-01-01", "a", "/p/1", 9, 10)])
+    _write(f"{tmp_dir}/l/a.json", [_row("2024-01-01", "a", "/p/1", 4, 10)])
+    os.utime(f"{tmp_dir}/l/b.json", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{tmp_dir}/l/a.json", (1_700_000_900, 1_700_000_900))
+    assert sync_table(spark, f"{tmp_dir}/l", table, "search_queries", WINDOW, dt.datetime(2024, 1, 8)) == 2
+    assert [r[4] for r in _table(spark, table)] == [4]
+
+
+def test_broken_landing_rows_fail_the_run(spark, tmp_dir):
+    for k, line in enumerate(['{"keys": ["2024-01-01", "q"', '{"keys": ["no day", "q", "/p", "BRA", "MOBILE"]}', '{"keys": ["2024-01-01"]}', '{}']):
+        os.makedirs(f"{tmp_dir}/bad{k}")
+        with open(f"{tmp_dir}/bad{k}/x.json", "w") as f:
+            f.write(line + "\n")
+        with pytest.raises(Exception):
+            sync_table(spark, f"{tmp_dir}/bad{k}", f"{tmp_dir}/t{k}", "search_queries", WINDOW)
+
+
+def test_only_days_of_the_batch_are_rewritten(spark, tmp_dir):
+    table = f"{tmp_dir}/sq4"
+    _write(f"{tmp_dir}/d1/a.json", [_row(f"2024-01-0{d}", "a", "/p/1", d, 10) for d in range(1, 8)])
+    sync_table(spark, f"{tmp_dir}/d1", table, "search_queries", WINDOW)
+    before = {d: os.listdir(f"{table}/day=2024-01-0{d}") for d in range(1, 8)}
+    _write(f"{tmp_dir}/d2/a.json", [_row(f"2024-01-0{d}", "b", "/p/1", d, 10) for d in (1, 7)])
+    sync_table(spark, f"{tmp_dir}/d2", table, "search_queries", WINDOW)
+    after = {d: os.listdir(f"{table}/day=2024-01-0{d}") for d in range(1, 8)}
+    assert [d for d in before if before[d] != after[d]] == [1, 7] and len(_table(spark, table)) == 9

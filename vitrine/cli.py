@@ -8,9 +8,9 @@
     python -m vitrine sync --landing-queries L1 --landing-pages L2 --root /data/shop --as-of D [--days 7]
 
 The parameters are the dashboard's: a period (--start/--end, month to date
-of --as-of when omitted), --limit, --years, --days, --months. A query takes
-the ones it declares; the others are ignored. --max-rows only bounds what is
-printed (the query itself runs whole).
+of --as-of when omitted; --as-of is today when omitted), --limit, --years,
+--days, --months. A query takes the ones it declares; the others are ignored.
+All rows are printed, one partition at a time; --max-rows prints fewer.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import inspect
 import json
 import sys
 
+from pyspark.sql import functions as F
+
 from .plans import QUERIES
 from .session import get_session
 from .sources import from_catalog, from_parquet, from_testdata
@@ -53,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     run_p.add_argument("--years", type=int)
     run_p.add_argument("--days", type=int)
     run_p.add_argument("--months", type=int)
-    run_p.add_argument("--max-rows", type=int, default=1000)
+    run_p.add_argument("--max-rows", type=int, help="print at most so many rows (default: all)")
     run_p.add_argument("--master")
     cur_p = sub.add_parser("curate", help="load step: write the curated tables")
     cur_p.add_argument("--sf", required=True, help="TPC-H-like parquet folder")
@@ -109,8 +111,14 @@ def main(argv: list[str] | None = None) -> int:
     else:
         tables = from_testdata(spark, args.sf)
     fn, defaults = QUERIES[args.name]
-    params = {**defaults, **_params(fn, args)}
+    # of the registry's test parameters only those that name the query's variant hold here
+    variant = {k: v for k, v in defaults.items() if k not in ("as_of", "period")}
+    params = {**variant, **_params(fn, args)}
+    if "as_of" in inspect.signature(fn).parameters:
+        params.setdefault("as_of", dt.date.today())
     df = fn(tables, **params)
-    for line in df.limit(args.max_rows).toJSON().collect():
-        sys.stdout.write(json.dumps(json.loads(line), ensure_ascii=False) + "\n")
+    if args.max_rows is not None:
+        df = df.limit(args.max_rows)
+    for row in df.select(F.to_json(F.struct("*")).alias("row")).toLocalIterator():
+        sys.stdout.write(json.dumps(json.loads(row[0]), ensure_ascii=False) + "\n")
     return 0

@@ -14,27 +14,26 @@ Two plans:
   partitioned on the sort order (the tie-break keeps hot values splittable),
   sorted within partitions and checkpointed so partition ids stay fixed.
   Per-partition counts and sums (one row per partition) give each partition
-  its offset; a vectorised pass over each sorted partition adds the local
-  running sum. No step moves all rows to one task, and there is no
+  its offset; a window inside each partition adds the local running sum. No step moves all rows to one task, and there is no
   self-join. The grand total is a scalar subquery (one value, no join).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import EXACT, MONEY_SUM
+from ..functions.columns import MONEY_SUM
 from ..session import ensure_checkpoint_dir
 
 # Class limits on the running share.
 CLASS_A_LIMIT = (4, 5)     # 0.80 as a fraction
 CLASS_B_LIMIT = (19, 20)   # 0.95 as a fraction
 
+WIDE = "decimal(30,0)"     # cents * 100: room for totals up to 10^22
+
 
 def _order(value: str, tie: Sequence[str]) -> list[Column]:
     return [F.col(value).desc_nulls_first()] + [F.col(t).asc_nulls_last() for t in tie]
@@ -53,9 +52,9 @@ def _classify(cum: Column, total: Column) -> Column:
 
 def _share(cum: Column, total: Column) -> Column:
     """ROUND(100 * cum / total, 2); NULL when the total is 0 or NULL."""
-    cents_cum = (cum * 100).cast(EXACT)
+    cents_cum = (cum * 100).cast(WIDE)
     cents_total = F.nullif(total, F.lit(0)) * 100
-    return F.round((cents_cum * 100).cast(EXACT) / cents_total.cast(EXACT), 2).cast("decimal(18,2)")
+    return F.round((cents_cum * 100).cast(WIDE) / cents_total.cast("decimal(24,0)"), 2).cast("decimal(18,2)")
 
 
 def _finish(ranked: DataFrame, total: Column, out_cols: Sequence[str], value: str) -> DataFrame:
@@ -91,27 +90,6 @@ def abc_top(df: DataFrame, value: str, tie: Sequence[str], k: int,
     return _finish(ranked, _total(df, value) if total is None else total, out_cols, value)
 
 
-def _local_scan(value: str, extra: Sequence[str]):
-    """Per sorted partition: local rank, running sum of non-NULL values and
-    running count of non-NULL values, carried across Arrow batches."""
-    def scan(batches):
-        rank, cum, nn = 0, Decimal(0), 0
-        for pdf in batches:
-            vals = pdf[value]
-            present = vals.notna()
-            filled = vals.where(present, Decimal(0)).astype(object)
-            out = pdf[list(extra) + [value, "_pid"]].copy()
-            out["_lrank"] = range(rank + 1, rank + 1 + len(pdf))
-            out["_lcum"] = filled.cumsum() + cum
-            out["_lnn"] = present.astype("int64").cumsum() + nn
-            if len(pdf):
-                rank += len(pdf)
-                cum = out["_lcum"].iloc[-1]
-                nn = int(out["_lnn"].iloc[-1])
-            yield out
-    return scan
-
-
 def abc_full(df: DataFrame, value: str, tie: Sequence[str], out_cols: Sequence[str],
              partitions: int | None = None) -> DataFrame:
     """Every rank of the ABC curve, as a distributed prefix sum."""
@@ -139,13 +117,13 @@ def abc_full(df: DataFrame, value: str, tie: Sequence[str], out_cols: Sequence[s
         F.coalesce(F.sum("_s").over(before), F.lit(0)).cast(MONEY_SUM).alias("_off_s"),
         F.coalesce(F.sum("_nn").over(before), F.lit(0)).alias("_off_nn"))
 
-    in_fields = [f for f in pinned.schema.fields if f.name in set(extra) | {value, "_pid"}]
-    by_name = {f.name: f for f in in_fields}
-    out_schema = T.StructType(
-        [by_name[c] for c in extra] + [by_name[value], by_name["_pid"],
-         T.StructField("_lrank", T.LongType()), T.StructField("_lcum", T.DecimalType(38, 2)),
-         T.StructField("_lnn", T.LongType())])
-    local = pinned.mapInPandas(_local_scan(value, extra), out_schema)
+    # Running sums inside each range partition: a window over its pinned rows.
+    inside = Window.partitionBy("_pid").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = pinned.select(
+        *extra, value, "_pid", F.row_number().over(inside).alias("_lrank"),
+        F.coalesce(F.sum(value).over(upto), F.lit(0)).cast(MONEY_SUM).alias("_lcum"),
+        F.count(value).over(upto).alias("_lnn"))
 
     ranked = local.join(F.broadcast(offsets), "_pid").select(
         *extra, value,

@@ -61,7 +61,7 @@ def subscription_revenue_monthly(t: Tables, as_of: dt.date | None = None) -> Dat
     return (t["subscription_sales"].where(_has_text("confirmed_at_text"))
             .groupBy(month_start("confirmed_date").alias("month"))
             .agg(rows().alias("sales"), money_sum("net_amount", zero_if_empty=True).alias("revenue"))
-            .orderBy("month"))
+            .orderBy(asc("month")))
 
 
 def subscriptions_monthly(t: Tables, as_of: dt.date | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def subscriptions_monthly(t: Tables, as_of: dt.date | None = None) -> DataFrame:
             .groupBy(month_start("started_date").alias("month"))
             .agg(count_where(st == ACTIVE_SUB).alias("active"),
                  count_where(st == CANCELLED_SUB).alias("cancelled"))
-            .orderBy("month"))
+            .orderBy(asc("month")))
 
 
 def payables_by_period_label(t: Tables, as_of: dt.date, period=None, limit: int = 15) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, count_where, first_label, mean, money_sum, not_cancelled, safe_pct
 from ..operators import top_k
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
 from .common import asc, desc, resolve, rows, sales_in
 from .customers import NO_STATE
@@ -58,33 +57,20 @@ def freight_by_state(t: Tables, as_of: dt.date, period=None, limit: int = 27) ->
     return top_k(g, [desc("avg_freight"), asc("state")], limit)
 
 
-# Above this many parcels the sale ids travel as a semi join instead of a literal list.
-MAX_ID_LIST = 10_000
-
-
 def open_shipments(t: Tables, as_of: dt.date | None = None, limit: int | None = 100) -> DataFrame:
     """Q27: undelivered parcels, latest check first, with their sale.
 
     The left join keeps every parcel, and each parcel yields at least one
     joined row, so the first ``limit`` joined rows all come from the first
-    ``limit`` parcels: those are picked first (TakeOrderedAndProject) and
-    checkpointed, so the parcel table is scanned once. Their sale ids (at
-    most ``limit``, a bounded list) filter the sales as a literal IN list,
-    which the parquet scan uses to skip row groups; only then is the join
-    done, on a handful of rows."""
+    ``limit`` parcels: those are picked first (TakeOrderedAndProject). The
+    sales are semi-joined to their ids, which Spark broadcasts if their
+    measured size allows, and only then joined: one lazy plan at any limit."""
     order = [desc("last_checked"), asc("tracking_code")]
-    ensure_checkpoint_dir(t["shipments"].sparkSession)
     parcels = top_k(t["shipments"].where(F.col("delivered") == 0)
                     .select("tracking_code", "status_text", "last_checked", "due_date",
-                            "ship_form", "sale_id"), order, limit)
-    parcels = parcels.checkpoint(eager=True)
-    sales = t["sales"].select("sale_id", "customer_name", "state", "total")
-    if limit is not None and limit <= MAX_ID_LIST:
-        ids = [r[0] for r in parcels.select("sale_id").where(F.col("sale_id").isNotNull())
-               .distinct().collect()]
-        sales = sales.where(F.col("sale_id").isin(ids))
-    else:
-        sales = sales.join(parcels.select("sale_id"), "sale_id", "left_semi")
+                            "ship_form", "sale_id"), order + [asc("sale_id")], limit)
+    sales = (t["sales"].select("sale_id", "customer_name", "state", "total")
+             .join(parcels.select("sale_id"), "sale_id", "left_semi"))
     joined = parcels.join(sales, "sale_id", "left").drop("sale_id")
     return top_k(joined, order + [asc("customer_name"), asc("state"), asc("total")], limit)
 

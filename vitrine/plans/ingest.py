@@ -11,13 +11,16 @@ measures on the overlap.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import SEARCH_PAGE_KEYS, SEARCH_QUERY_KEYS
+from ..schemas import SEARCH_PAGE_KEYS, SEARCH_QUERY_KEYS, TABLES
 from ..sources.tables import Tables
-from ..streaming.upsert import flatten_landing, merge_newest
+from ..session import scratch_dir
+from ..streaming.upsert import flatten_landing, merge_newest, upsert_window
+from ..operators.period import Period
 
 FIRST_UNTIL = dt.date(2024, 1, 20)     # first batch: days up to here
 SECOND_FROM = dt.date(2024, 1, 15)     # second batch: days from here on
@@ -53,3 +56,49 @@ def upsert_queries(t: Tables, as_of: dt.date | None = None) -> DataFrame:
 def upsert_pages(t: Tables, as_of: dt.date | None = None) -> DataFrame:
     """J2 merge on the page table's key (day, page)."""
     return _two_batches(t, "search_pages", SEARCH_PAGE_KEYS)
+
+
+def upsert_into_target(t: Tables, as_of: dt.date | None = None) -> DataFrame:
+    """O20 against a stored table: a target of the days up to 2024-01-20 is
+    written, then one batch for 2024-01-15 to 2024-01-25 is upserted. The
+    batch holds two pulls: the first raises every click count by 5, a later
+    one corrects the mobile rows down to 2 more. Tablet rows are not pulled;
+    one page is NULL. Days outside the batch keep their files."""
+    src = t["search_queries"].withColumn("page", F.expr("nullif(page, '/p/3')"))
+    keys = SEARCH_QUERY_KEYS
+    path = scratch_dir(src.sparkSession, f"o20-{uuid.uuid4().hex}")
+    stored = flatten_landing(to_landing(src.where(F.col("day") <= F.lit(FIRST_UNTIL)), keys), keys, STAMPS[0])
+    upsert_window(src.sparkSession, stored, path, "search_queries", keys, None)
+    window = Period(SECOND_FROM, dt.date(2024, 1, 25))
+    pulls = []
+    for rows, extra, hour in ((src.where("device <> 'TABLET'"), 5, 6), (src.where("device = 'MOBILE'"), 2, 7)):
+        pulls.append(to_landing(rows, keys, extra).select(
+            "*", F.lit(dt.datetime(2024, 1, 31, hour)).alias("pulled_at"), F.lit(f"pull-{hour}").alias("pulled_from")))
+    batch = flatten_landing(pulls[0].unionByName(pulls[1]), keys, STAMPS[1])
+    upsert_window(src.sparkSession, batch, path, "search_queries", keys, window)
+    return src.sparkSession.read.schema(TABLES["search_queries"]).parquet(path).drop("synced_at")
+
+
+def curated_refresh(t: Tables, as_of: dt.date | None = None) -> DataFrame:
+    """Load step: curate sales and lines, change the source (sales moved to
+    another month, cancelled, undated, deleted), refresh one unrelated month,
+    and return the refreshed sales with the number and value of their lines."""
+    from ..sources.curated import curated_schema, write_curated
+
+    spark = t["sales"].sparkSession
+    root = scratch_dir(spark, f"s4-{uuid.uuid4().hex}")
+    write_curated(Tables({n: (lambda n=n: t[n]) for n in ("sales", "sale_items")}), root, names=["sales", "sale_items"])
+    k = F.col("sale_id")
+    day = (F.when(k % 90 == 2, F.add_months("sale_date", 3)).when(k % 90 == 4, F.lit(None))
+           .otherwise(F.col("sale_date")))
+    changed = t["sales"].where(k % 90 != 1).withColumn("sale_date", day).withColumn(
+        "status", F.when(k % 90 == 5, F.lit("Cancelado")).otherwise(F.col("status")))
+    write_curated(Tables({"sales": lambda: changed, "sale_items": lambda: t["sale_items"]}), root,
+                  names=["sales", "sale_items"], refresh=Period(dt.date(2000, 2, 1), dt.date(2000, 2, 29)))
+    sales, lines = (spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}") for n in ("sales", "sale_items"))
+    per_sale = lines.groupBy(F.col("sale_id").alias("line_sale"), F.col("sale_date").alias("line_date"), "sale_status").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("line_total").cast("decimal(38,2)").alias("line_total"))
+    same = (F.col("sale_id") == F.col("line_sale")) & F.col("sale_date").eqNullSafe(F.col("line_date")) \
+        & F.col("status").eqNullSafe(F.col("sale_status"))
+    return sales.join(per_sale, same, "left").select(
+        "sale_id", "sale_date", "status", F.coalesce("lines", F.lit(0)).alias("lines"), "line_total")

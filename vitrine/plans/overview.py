@@ -78,4 +78,4 @@ def heatmap(t: Tables, as_of: dt.date, period=None) -> DataFrame:
             .groupBy(weekday("sale_date").alias("weekday"),
                      F.hour(parse_timestamp("synced_at_text")).alias("hour"))
             .agg(rows().alias("orders"))
-            .orderBy("weekday", "hour"))
+            .orderBy(asc("weekday"), asc("hour")))

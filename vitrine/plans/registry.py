@@ -71,6 +71,9 @@ QUERIES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "o12_dormant_null_aware": (customers.dormant_customers, {**_SALES_DAY, "null_aware": True}),
     "j1_upsert_queries": (ingest.upsert_queries, _SEARCH_DAY),
     "j2_upsert_pages": (ingest.upsert_pages, _SEARCH_DAY),
+    "o02_default_period": (sales.sales_kpis, {"as_of": dt.date(2000, 6, 15), "period": None}),
+    "s4_curated_refresh": (ingest.curated_refresh, _SALES_DAY),
+    "o20_upsert_into_target": (ingest.upsert_into_target, _SEARCH_DAY),
 }
 
 

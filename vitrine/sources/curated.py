@@ -37,7 +37,7 @@ LAYOUT = {
     "payables": (("due_on", "period_label", "amount"), None),
     "subscription_sales": (("confirmed_date", "event_id"), None),
     "subscriptions": (("started_date", "event_id"), None),
-    "shipments": (("sale_id", "tracking_code"), None),
+    "shipments": (("sale_id", "tracking_code"), "delivered"),
     "search_queries": (("query", "page", "device"), "day"),
     "search_pages": (("page",), "day"),
 }
@@ -75,23 +75,49 @@ def curated_frame(tables: Tables, name: str) -> DataFrame:
         df = df.withColumn("sale_month", F.trunc("sale_date", "month"))
     elif name == "sale_items":
         sales = tables["sales"].select("sale_id", "sale_date", F.col("status").alias("sale_status"))
-        df = (df.join(sales, "sale_id", "left")
+        df = (df.select(*[f.name for f in TABLES[name].fields]).join(sales, "sale_id", "left")
                 .withColumn("sale_month", F.trunc("sale_date", "month")))
     return df
 
 
-def _window_values(part: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
-    """Partition values a refresh window covers: month starts or days."""
-    out, d = [], lo
-    while d <= hi:
+def _months(start: dt.date, end: dt.date) -> list[dt.date]:
+    out, d = [], start.replace(day=1)
+    while d <= end:
         out.append(d)
-        if part == "sale_month":
-            d = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
-        else:
-            d = d + dt.timedelta(days=1)
+        d = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
     return out
 
 
+def _days(start: dt.date, end: dt.date) -> list[dt.date]:
+    return [start + dt.timedelta(days=k) for k in range((end - start).days + 1)]
+
+
+def _changed_months(old: DataFrame, new: DataFrame) -> set:
+    """Months (None: undated) in which a row of any sale was added, changed,
+    moved or deleted: per sale and month an order-free digest of its rows,
+    old against new. At most one value per month of the history."""
+    cols = sorted(c for c in old.columns if c not in ("sale_id", "sale_month"))
+
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy("sale_id", "sale_month").agg(
+            F.count(F.lit(1)).alias(f"n_{side}"), F.bit_xor(F.xxhash64(*cols)).alias(f"x_{side}"),
+            F.sum(F.shiftright(F.xxhash64(F.lit(1), *cols), 24)).alias(f"s_{side}"))
+
+    a, b = digest(old, "old"), digest(new, "new")
+    same = a["sale_id"].eqNullSafe(b["sale_id"]) & a["sale_month"].eqNullSafe(b["sale_month"])
+    differ = ~(F.col("n_old").eqNullSafe(F.col("n_new")) & F.col("x_old").eqNullSafe(F.col("x_new"))
+               & F.col("s_old").eqNullSafe(F.col("s_new")))
+    rows = a.join(b, same, "full").where(differ).select(F.coalesce(a["sale_month"], b["sale_month"]).alias("m"))
+    return {r["m"] for r in rows.distinct().collect()}
+
+
+def _clear(spark, path: str) -> None:
+    """Delete one partition folder, on whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic: bool = False) -> None:
     keys = ([part] if part else []) + list(cluster)
     # each task takes one range of the sort order; rows sorted inside it
@@ -108,41 +134,52 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
                   refresh: Period | None = None) -> None:
     """Write each table to ``<root>/<name>`` in the layout above.
 
-    With ``refresh`` (a date window), only the partitions the window touches
-    are rewritten: the months of sales and order lines, the days of the
-    search tables (unpartitioned tables, the small ones, are rewritten
-    whole). The window's rows are first staged in the checkpoint folder (one
-    pass over the source; the target is untouched until they are complete),
-    then overwrite their partitions (dynamic partition overwrite); a
-    partition of the window left with no rows is emptied explicitly, since a
-    dynamic overwrite only replaces partitions that receive rows. A daily
-    refresh therefore rewrites one or two months of the big tables, not
-    their history."""
-    for name in names or LAYOUT:
+    Order lines carry copies of their sale's date and status, so sales are
+    never written without their lines.
+
+    With ``refresh`` (a date window) only some partitions are rewritten. Sales
+    and lines: the window's months and every month in which a sale or a line
+    was added, changed, moved, cancelled or deleted since the last write,
+    wherever it lies, the undated rows included; both tables get the same
+    months. Search tables: the window's days. The other tables are rewritten
+    whole. New rows are first staged in the checkpoint folder (the target is
+    untouched until they are complete), then overwrite their partitions
+    (dynamic partition overwrite); a partition left without rows is deleted."""
+    names = list(names or LAYOUT)
+    if "sales" in names and "sale_items" not in names:
+        names.append("sale_items")
+    months: set = set()
+    if refresh is not None and {"sales", "sale_items"} & set(names):
+        months = set(_months(refresh.start, refresh.end))
+        for name in ("sales", "sale_items"):
+            new = curated_frame(tables, name)
+            schema = curated_schema(name)
+            old = new.sparkSession.read.schema(schema).parquet(f"{root}/{name}")
+            months |= _changed_months(old, new.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+    for name in names:
         cluster, part = LAYOUT[name]
         df = curated_frame(tables, name)
         spark = df.sparkSession
         n = files_per_table or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         target = f"{root}/{name}"
-        if refresh is None or not part:
+        if refresh is None or part not in ("sale_month", "day"):
             _write(df, target, cluster, part, n)
             continue
-        if part == "sale_month":
-            lo, hi = refresh.start.replace(day=1), refresh.end.replace(day=1)
-        else:
-            lo, hi = refresh.start, refresh.end
-        window = df.where(F.col(part).between(F.lit(lo), F.lit(hi)))
+        values = months if part == "sale_month" else set(_days(refresh.start, refresh.end))
+        dated = sorted(v for v in values if v is not None)
+        wanted = F.col(part).isin(dated) if dated else F.lit(False)
+        if None in values:
+            wanted = wanted | F.col(part).isNull()
+        window = df.where(wanted)
         staging = scratch_dir(spark, f"curate-{name}-{uuid.uuid4().hex}")
         _write(window, staging, cluster, part, n)
         staged = spark.read.schema(window.schema).parquet(staging)
-        # partition values present: bounded by the number of days / months in the window
+        # partition values present: at most those asked for
         present = {r[0] for r in staged.select(part).distinct().collect()}
         if present:
             _write(staged, target, cluster, part, n, dynamic=True)
-        empty = spark.createDataFrame([], staged.drop(part).schema)
-        for value in _window_values(part, lo, hi):
-            if value not in present:
-                empty.write.mode("overwrite").parquet(f"{target}/{part}={value.isoformat()}")
+        for value in values - present:
+            _clear(spark, f"{target}/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value.isoformat()}")
 
 
 # Tables stored bucketed by sku in the catalog layout (the dead-stock join).

@@ -8,15 +8,17 @@ J1/J2 sync_table     one sync run for the query table or the page table
                      folder (foreachBatch + availableNow)
 
 Plain parquet has no MERGE. The upsert touches only the ``day`` partitions
-of the sync window: it reads those partitions (partition pruning on the
-window bounds, known at plan time), unions the batch, keeps the newest row
+that the batch has rows for: it reads those partitions (partition pruning on
+the days, known at plan time), unions the batch, keeps the newest row
 per key, stages the result in the shared checkpoint folder (cutting the
 lineage to the target it is about to replace) and overwrites just those
 partitions (dynamic partition overwrite). Running the same batch twice
 gives the same table.
 
-Newest row per key: a later batch beats an earlier one; inside one batch a
-key seen twice keeps its greatest measures, so reruns stay deterministic.
+Newest row per key: a later batch beats an earlier one; inside one batch the
+row of the landing file written last wins (then the later file name), so a
+correction replaces an earlier pull even where it lowers a count; the
+measures only break ties inside one file, so reruns stay deterministic.
 The winner is picked by an aggregate (max of a struct), which combines
 map-side, so even a key repeated across a third of the batch shuffles only
 one row per task. A NULL ``page`` counts as equal to another NULL page.
@@ -42,8 +44,9 @@ def flatten_landing(landing: DataFrame, key_names: Sequence[str],
     """``keys`` array to named columns (``day`` parsed as DATE), counts
     to INT, ctr rounded to 4 and position to 2 decimals."""
     keys = [F.element_at("keys", i + 1).alias(name) for i, name in enumerate(key_names)]
+    landing = checked(landing, key_names)
     typed = landing.select(
-        *keys,
+        *keys, *[F.col(c) for c in PULL if c in landing.columns],
         F.round("clicks").cast("int").alias("clicks"),
         F.round("impressions").cast("int").alias("impressions"),
         F.round("ctr", 4).cast("decimal(6,4)").alias("ctr"),
@@ -53,56 +56,88 @@ def flatten_landing(landing: DataFrame, key_names: Sequence[str],
     return typed.withColumn("synced_at", stamp)
 
 
+# of the landing file a row came from; absent for rows without a file
+PULL = ("pulled_at", "pulled_from")
+
+
+def _with_file(landing: DataFrame) -> DataFrame:
+    return landing.select("*", F.col("_metadata.file_modification_time").alias("pulled_at"),
+                          F.col("_metadata.file_path").alias("pulled_from"))
+
+
+def checked(landing: DataFrame, key_names: Sequence[str]) -> DataFrame:
+    """Fail on rows without a valid key list."""
+    day = F.element_at("keys", 1)
+    good = (F.size("keys") == len(key_names)) & day.try_cast("date").isNotNull()
+    where = F.col("pulled_from") if "pulled_from" in landing.columns else F.lit("the batch")
+    return landing.withColumn("keys", F.when(F.coalesce(good, F.lit(False)), F.col("keys")).otherwise(
+        F.raise_error(F.concat(F.lit("broken landing row in "), where)).cast("array<string>")))
+
+
 def merge_newest(target: DataFrame | None, batches: Sequence[DataFrame],
                  keys: Sequence[str], measures: Sequence[str] = SEARCH_MEASURES) -> DataFrame:
     """O20 on DataFrames: rows of ``target`` and then each batch in order;
     per key the row from the latest source wins (its measures replace the
     old ones). Returns one row per key."""
     sources = ([] if target is None else [target]) + list(batches)
-    tagged = [df.select(*keys, *measures, "synced_at").withColumn("_src", F.lit(i))
+    pull = (F.lit(None).cast("timestamp"), F.lit(None).cast("string"))
+    tagged = [df.select(*keys, *measures, "synced_at", F.lit(i).alias("_src"),
+                        *[(F.col(c) if c in df.columns else none).alias(f"_{c}") for c, none in zip(PULL, pull)])
               for i, df in enumerate(sources)]
     union = tagged[0]
     for df in tagged[1:]:
         union = union.unionByName(df)
-    rank = F.struct(F.col("_src"), *[F.col(m) for m in measures], F.col("synced_at"))
+    rank = F.struct("_src", *[f"_{c}" for c in PULL], *measures, "synced_at")
     payload = F.struct(*[F.col(m) for m in measures], F.col("synced_at"))
     newest = union.groupBy(*keys).agg(F.max_by(payload, rank).alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{m}").alias(m) for m in (*measures, "synced_at")])
 
 
 def _read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The existing table, or None before the first run."""
+    """The existing table, or None before the first run. Any other failure
+    is raised: a table that cannot be read is not an absent one."""
     try:
         df = spark.read.schema(schema).parquet(path)
         df.limit(0).collect()   # resolves the files; fails if there are none
         return df
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def upsert_window(spark: SparkSession, batch: DataFrame, table_path: str, table: str,
-                  keys: Sequence[str], window: Period) -> int:
+                  keys: Sequence[str], window: Period | None) -> int:
     """Upsert ``batch`` (typed rows) into the parquet table at ``table_path``,
     partitioned by ``day``; rows outside ``window`` are not part of the run.
-    Returns the number of rows written to the window's partitions."""
+    Only the days that the batch holds are read and rewritten. Returns the
+    number of rows pulled (the batch's rows in the window)."""
     schema = TABLES[table]
     cols = [f.name for f in schema.fields]
-    in_window = F.col("day").between(F.lit(window.start), F.lit(window.end))
-    batch = batch.where(in_window).select(*cols)
+    if window is not None:
+        batch = batch.where(F.col("day").between(F.lit(window.start), F.lit(window.end)))
+    # one row per calendar day of the batch
+    pulled = {r["day"]: r["n"] for r in batch.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not pulled:
+        return 0
     target = _read_table(spark, table_path, schema)
     if target is not None:
-        target = target.where(in_window).select(*cols)
+        target = target.where(F.col("day").isin(sorted(pulled))).select(*cols)
     merged = merge_newest(target, [batch], keys).select(*cols)
     staging = scratch_dir(spark, f"upsert-{table}-{uuid.uuid4().hex}")
     merged.write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # clustered by day, so a write task opens the files of few days
+    (staged.repartitionByRange("day", *[k for k in keys if k != "day"]).sortWithinPartitions(*keys)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(table_path))
-    return staged.count()
+    return sum(pulled.values())
 
 
 def read_landing(spark: SparkSession, landing_path: str) -> DataFrame:
-    return spark.read.schema(LANDING).json(landing_path)
+    """Landing rows with their file's time and name. A line that is not JSON
+    of the landing layout fails the run: no row is lost without notice."""
+    return _with_file(spark.read.schema(LANDING).option("mode", "FAILFAST").json(landing_path))
 
 
 def sync_table(spark: SparkSession, landing_path: str, table_path: str, table: str,
@@ -119,20 +154,13 @@ def stream_sync(spark: SparkSession, landing_dir: str, table_path: str, table: s
     it arrives (``foreachBatch``); ``availableNow`` drains what is there and
     stops. The stream checkpoint makes each file count once.
 
-    Without a fixed ``window``, each micro-batch upserts the span of days it
-    holds (its first and last day: one row of two values per batch)."""
+    Without a fixed ``window``, each micro-batch upserts just the days it
+    holds."""
     keys = SEARCH_QUERY_KEYS if table == "search_queries" else SEARCH_PAGE_KEYS
-    stream = spark.readStream.schema(LANDING).json(landing_dir)
+    stream = _with_file(spark.readStream.schema(LANDING).option("mode", "FAILFAST").json(landing_dir))
 
     def apply(batch_df: DataFrame, batch_id: int) -> None:
-        typed = flatten_landing(batch_df, keys)
-        span = window
-        if span is None:
-            first, last = typed.agg(F.min("day"), F.max("day")).first()
-            if first is None:
-                return
-            span = Period(first, last)
-        upsert_window(batch_df.sparkSession, typed, table_path, table, keys, span)
+        upsert_window(batch_df.sparkSession, flatten_landing(batch_df, keys), table_path, table, keys, window)
 
     return (stream.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint_location)
@@ -144,7 +172,7 @@ def ensure_table(spark: SparkSession, table_path: str, table: str) -> None:
     it does not exist yet; a no-op otherwise. Key uniqueness is kept by the
     upsert, as Spark does not enforce keys."""
     if _read_table(spark, table_path, TABLES[table]) is None:
-        (spark.createDataFrame([], TABLES[table]).write.mode("overwrite")
+        (spark.createDataFrame([], TABLES[table]).write.mode("ignore")
          .partitionBy("day").parquet(table_path))
 
 
