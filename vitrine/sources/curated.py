@@ -148,6 +148,14 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
     names = list(names or LAYOUT)
     if "sales" in names and "sale_items" not in names:
         names.append("sale_items")
+    if "sale_items" in names and "sale_items" not in tables:
+        if refresh is None:
+            names.remove("sale_items")
+        else:       # a source without lines: the stored ones get their sale's new date and status
+            spark = tables["sales"].sparkSession
+            stored = spark.read.schema(curated_schema("sale_items")).parquet(f"{root}/sale_items")
+            given = tables
+            tables = Tables({n: (lambda n=n: stored if n == "sale_items" else given[n]) for n in {*given, "sale_items"}})
     months: set = set()
     if refresh is not None and {"sales", "sale_items"} & set(names):
         months = set(_months(refresh.start, refresh.end))
