@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import materialise, shared_path
+from vitrine.llm.common import materialise, shared_path, shuffle_width
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
@@ -180,8 +180,9 @@ def _read(batches, folder: str, gap: int, most: int) -> Iterator[pa.RecordBatch]
 def read_records(index: DataFrame, folder: str, gap_bytes: int = GAP_BYTES, read_bytes: int = READ_BYTES) -> DataFrame:
     """Records of the given index rows, read back from the archives."""
     part = (F.col("offset") / read_bytes).cast("long")
-    dealt = index.select("file", "offset", "length", part.alias("part")).repartition("file", "part") \
-        .sortWithinPartitions("file", "offset").drop("part")
+    # a fixed width: index rows are small, the bytes they name are not
+    dealt = index.select("file", "offset", "length", part.alias("part")) \
+        .repartition(shuffle_width(index.sparkSession), "file", "part").sortWithinPartitions("file", "offset").drop("part")
     return dealt.mapInArrow(partial(_read, folder=folder, gap=gap_bytes, most=read_bytes), RECORD)
 
 
