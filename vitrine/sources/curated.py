@@ -80,16 +80,12 @@ def curated_frame(tables: Tables, name: str) -> DataFrame:
     return df
 
 
-def _months(start: dt.date, end: dt.date) -> list[dt.date]:
-    out, d = [], start.replace(day=1)
-    while d <= end:
-        out.append(d)
-        d = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
-    return out
-
-
-def _days(start: dt.date, end: dt.date) -> list[dt.date]:
-    return [start + dt.timedelta(days=k) for k in range((end - start).days + 1)]
+def _window_values(part: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
+    """Partition values of a window: the starts of its months, or its days."""
+    if part == "day":
+        return [lo + dt.timedelta(days=k) for k in range((hi - lo).days + 1)]
+    first, last = 12 * lo.year + lo.month - 1, 12 * hi.year + hi.month - 1
+    return [dt.date(m // 12, m % 12 + 1, 1) for m in range(first, last + 1)]
 
 
 def _changed_months(old: DataFrame, new: DataFrame) -> set:
@@ -158,7 +154,7 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
             tables = Tables({n: (lambda n=n: stored if n == "sale_items" else given[n]) for n in {*given, "sale_items"}})
     months: set = set()
     if refresh is not None and {"sales", "sale_items"} & set(names):
-        months = set(_months(refresh.start, refresh.end))
+        months = set(_window_values("sale_month", refresh.start, refresh.end))
         for name in ("sales", "sale_items"):
             new = curated_frame(tables, name)
             schema = curated_schema(name)
@@ -173,7 +169,7 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
         if refresh is None or part not in ("sale_month", "day"):
             _write(df, target, cluster, part, n)
             continue
-        values = months if part == "sale_month" else set(_days(refresh.start, refresh.end))
+        values = months if part == "sale_month" else set(_window_values(part, refresh.start, refresh.end))
         dated = sorted(v for v in values if v is not None)
         wanted = F.col(part).isin(dated) if dated else F.lit(False)
         if None in values:
