@@ -2,11 +2,9 @@
 
 Products in stock whose last qualifying sale is older than a cutoff, or
 that never sold. The textbook form left-joins products to every order line
-and every sale, then groups; that fans each product out to all of its
-lines before the shuffle. Here the last sale date is aggregated per sku
-first (MAX ignores duplicates and NULLs, so the answer is the same) and one
-left join adds it to the products: the product side is shuffled once, and
-the line side arrives pre-aggregated (one row per sku).
+and every sale of all time, then groups. Whether a product is idle depends
+only on the sales since the cutoff, so an anti join against those decides
+it; last sale dates are looked up afterwards, for the products reported.
 """
 
 from __future__ import annotations
@@ -15,17 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_sale_per_key(lines: DataFrame, sales: DataFrame, key: str, sale_key: str,
-                      day: str) -> DataFrame:
-    """MAX(sale date) per line key over lines joined to qualifying sales."""
-    dated = sales.select(sale_key, day).where(F.col(day).isNotNull())
-    return (lines.select(key, sale_key).where(F.col(key).isNotNull())
-                 .join(dated, sale_key)
-                 .groupBy(key).agg(F.max(day).alias("last_sale")))
+def not_sold_since(products: DataFrame, recent: DataFrame, key: str) -> DataFrame:
+    """Products whose key is in no recent sale. ``recent`` holds the sales
+    since the cutoff only; its keys are made distinct before the anti join,
+    so a hot key moves as one row per task. A NULL key was never sold."""
+    return products.join(recent.select(key).distinct(), key, "left_anti")
 
 
-def dead_stock(with_last_sale: DataFrame, cutoff, last_col: str = "last_sale") -> DataFrame:
-    """Rows (products left-joined to their last sale) with no sale, or a
-    last sale before ``cutoff``."""
-    last = F.col(last_col)
-    return with_last_sale.where(last.isNull() | (last < F.lit(cutoff)))
+def last_sale_of(wanted: DataFrame, sales: DataFrame, key: str, day: str) -> DataFrame:
+    """MAX(sale date) of the wanted keys."""
+    return (sales.join(wanted.select(key).distinct(), key, "left_semi")
+                 .groupBy(key).agg(F.max(day).alias("last_sale")))
