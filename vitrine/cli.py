@@ -5,6 +5,7 @@
     python -m vitrine run q19_product_abc --curated /data/shop --as-of 2024-05-17
     python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop [--refresh-start D --refresh-end D]
     python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop --catalog shop   (bucketed layout)
+    python -m vitrine curate --jdbc jdbc:postgresql://HOST/DB --jdbc-option user=U --jdbc-bounds sales=1:900000 --root /data/shop
     python -m vitrine sync --landing-queries L1 --landing-pages L2 --root /data/shop --as-of D [--days 7]
 
 The parameters are the dashboard's: a period (--start/--end, month to date
@@ -38,6 +39,13 @@ def _params(fn, args) -> dict:
     return {k: v for k, v in given.items() if k in accepted and v is not None}
 
 
+def _jdbc_source(spark, args):
+    from .sources.jdbc import from_jdbc
+    properties = dict(item.split("=", 1) for item in args.jdbc_option)
+    bounds = {name: tuple(span.split(":", 1)) for name, span in (item.split("=", 1) for item in args.jdbc_bounds)}
+    return from_jdbc(spark, args.jdbc, properties, bounds, args.jdbc_partitions)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="vitrine")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -58,7 +66,14 @@ def main(argv: list[str] | None = None) -> int:
     run_p.add_argument("--max-rows", type=int, help="print at most so many rows (default: all)")
     run_p.add_argument("--master")
     cur_p = sub.add_parser("curate", help="load step: write the curated tables")
-    cur_p.add_argument("--sf", required=True, help="TPC-H-like parquet folder")
+    cur_src = cur_p.add_mutually_exclusive_group(required=True)
+    cur_src.add_argument("--sf", help="TPC-H-like parquet folder")
+    cur_src.add_argument("--jdbc", help="JDBC URL of the operational database")
+    cur_p.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE",
+                       help="connection property (user, password, driver, ...)")
+    cur_p.add_argument("--jdbc-bounds", action="append", default=[], metavar="TABLE=LOW:HIGH",
+                       help="range-split this table's read (else it is split by row hash)")
+    cur_p.add_argument("--jdbc-partitions", type=int, default=64)
     cur_p.add_argument("--root", required=True)
     cur_p.add_argument("--catalog", help="also register the tables in this catalog database, "
                                          "products and lines bucketed by sku")
@@ -90,7 +105,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.refresh_start or args.refresh_end:
             start = dt.date.fromisoformat(args.refresh_start or args.refresh_end)
             refresh = Period(start, dt.date.fromisoformat(args.refresh_end or args.refresh_start))
-        source = from_testdata(spark, args.sf)
+        source = _jdbc_source(spark, args) if args.jdbc else from_testdata(spark, args.sf)
         if args.catalog:
             from .sources.curated import write_catalog
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {args.catalog}")

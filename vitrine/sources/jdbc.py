@@ -1,11 +1,17 @@
 """Reading the shop tables straight from the operational database (JDBC).
 
-Each table is read in parallel: ``partition_column`` (a numeric or date
-column) with its bounds splits the read into ``num_partitions`` range
-queries, one per task, instead of one connection pulling the whole table.
+No table is pulled over one connection. With ``bounds`` (low, high of the
+table's split column, a numeric or date column, best an indexed one) the read
+is split into ``num_partitions`` range queries. Without them it is split by a
+hash of the whole row, which needs no split column, no statistics and no
+particular key type, and spreads a hot value evenly; each such query scans
+the source table, so the big tables should get bounds.
+
 Column pruning and simple filters are pushed into the SQL Spark sends.
-Needs the database's JDBC driver jar on the classpath (not shipped here,
-so this reader is not exercised by the tests beyond its options).
+``to_engine_columns`` gives the rows the engine's names and types, so the
+load step and every query take them as they are. The reader needs the
+database's JDBC driver jar on the classpath (not shipped here, so only its
+options and the mapping are tested).
 """
 
 from __future__ import annotations
@@ -13,12 +19,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..schemas import TABLES
 from .tables import Tables
 
 # Table and column names of the source database, which the
 # engine must read as they are.
-# our table -> (source table, partition column) for a range-split read
+# our table -> (source table, split column of a read with bounds)
 DEFAULT_SOURCES = {
     "sales": ("tiny_vendas", "id_tiny"),
     "sale_items": ("tiny_vendas_itens", "id_pedido"),
@@ -58,6 +66,10 @@ RENAMES = {
     "search_pages": {"data": "day"},
 }
 
+# Row ids the source tables do not provide under a known name. They only break
+# ties in the load step's clustering, so a digest of the row serves.
+ROW_IDS = {"customers": "customer_id", "subscription_sales": "event_id", "subscriptions": "event_id"}
+
 
 def jdbc_options(url: str, table: str, properties: Mapping[str, str],
                  partition_column: str | None = None, bounds: tuple | None = None,
@@ -69,26 +81,48 @@ def jdbc_options(url: str, table: str, properties: Mapping[str, str],
     return opts
 
 
+def row_hash_predicates(source: str, parts: int) -> list[str]:
+    """Conditions that deal the rows of a PostgreSQL table into ``parts``
+    disjoint, complete and even parts (a table name stands for its row)."""
+    return [f"abs(hashtext({source}::text)::bigint) % {parts} = {k}" for k in range(parts)]
+
+
 def to_engine_columns(df: DataFrame, table: str) -> DataFrame:
-    """Rename a source table's columns to the engine's names."""
-    for old, new in RENAMES.get(table, {}).items():
-        if old in df.columns:
-            df = df.withColumnRenamed(old, new)
-    return df
+    """A source table with the engine's names and types: known columns are
+    renamed and cast to ``schemas.py`` (an unbounded NUMERIC arrives as
+    decimal(38,18), a timestamp where the engine reads text), other columns go,
+    and a missing row id is a digest of the source row."""
+    row_id = ROW_IDS.get(table)
+    names = RENAMES.get(table, {})
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    df = df.withColumn("_row_digest", digest).withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+    out = []
+    for field in TABLES[table].fields:
+        if field.name in df.columns:
+            out.append(F.col(field.name).cast(field.dataType).alias(field.name))
+        elif field.name == row_id:
+            out.append(F.col("_row_digest").alias(row_id))
+    return df.select(*out)
 
 
 def from_jdbc(spark: SparkSession, url: str, properties: Mapping[str, str],
               bounds: Mapping[str, tuple] | None = None, num_partitions: int = 64,
               sources: Mapping[str, tuple] = DEFAULT_SOURCES) -> Tables:
-    """Tables read over JDBC, renamed to the engine's column names.
+    """Tables read over JDBC with the engine's columns.
 
-    ``bounds`` maps our table name to (low, high) of its partition column;
-    a table without bounds is read by one task (fine for small tables)."""
+    ``bounds`` maps our table name to (low, high) of its split column; a table
+    without bounds is split by row hash."""
     bounds = bounds or {}
 
     def reader(name: str):
         source, part = sources[name]
-        opts = jdbc_options(url, source, properties, part, bounds.get(name), num_partitions)
-        return to_engine_columns(spark.read.format("jdbc").options(**opts).load(), name)
+        if part and name in bounds:
+            opts = jdbc_options(url, source, properties, part, bounds[name], num_partitions)
+            df = spark.read.format("jdbc").options(**opts).load()
+        else:
+            opts = jdbc_options(url, source, properties)
+            df = spark.read.jdbc(url, source, predicates=row_hash_predicates(source, num_partitions),
+                                 properties={k: v for k, v in opts.items() if k not in ("url", "dbtable")})
+        return to_engine_columns(df, name)
 
     return Tables({name: (lambda n=name: reader(n)) for name in sources})
