@@ -69,6 +69,7 @@ QUERIES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "q40_search_monthly": (search.search_monthly, _SEARCH_DAY),
     "o10_abc_full_curve": (products.product_abc_full, _SALES),
     "o12_dormant_null_aware": (customers.dormant_customers, {**_SALES_DAY, "null_aware": True}),
+    "o12_dormant_no_recent_null": (customers.dormant_customers, {"as_of": dt.date(2001, 9, 15), "null_aware": True}),
     "j1_upsert_queries": (ingest.upsert_queries, _SEARCH_DAY),
     "j2_upsert_pages": (ingest.upsert_pages, _SEARCH_DAY),
     "o02_default_period": (sales.sales_kpis, {"as_of": dt.date(2000, 6, 15), "period": None}),

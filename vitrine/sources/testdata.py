@@ -58,9 +58,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("sale_id"),
         _txt(k).alias("sale_number"),
         F.when(k % 3 == 0, _txt(k)).otherwise(F.lit("")).alias("marketplace_number"),
-        F.when(k % 50 == 7, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey")).alias("customer_id"),
+        F.when((k % 50 == 7) & (od < F.lit("2001-06-01").cast("date")), F.lit(None).cast("bigint")).otherwise(F.col("o_custkey")).alias("customer_id"),
         F.col("c_name").alias("customer_name"),
-        F.when(k % 101 == 0, F.lit("")).when(k % 4 == 0, _dmy(od)).otherwise(_iso(od)).alias("sale_date_text"),
+        F.when(k % 101 == 0, F.lit("")).when(k % 409 == 3, F.lit("31/02/2000"))
+         .when(k % 4 == 0, _dmy(od)).otherwise(_iso(od)).alias("sale_date_text"),
         F.when(k % 211 == 5, _null_s())
          .when((st == "P") & (pr == "5-LOW"), F.lit("Cancelado"))
          .when((st == "P") & (pr == "2-HIGH"), F.lit("Cancelada"))
@@ -117,17 +118,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.date_add(F.lit("1999-01-01").cast("date"), (k % 900).cast("int"))
     return c.select(
         k.alias("customer_id"),
-        F.when(k % 71 == 0, F.lit("")).when(k % 3 == 0, _dmy(created))
+        F.when(k % 71 == 0, F.lit("")).when(k % 83 == 5, F.lit("2000-02-30")).when(k % 3 == 0, _dmy(created))
          .otherwise(_iso(created)).alias("created_text"),
     )
 
 
-def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_base(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
-
-
 def payables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _first_lines(spark, sf_dir)
+    li = read_base(spark, sf_dir, "lineitem")
     k, sd = F.col("l_orderkey"), F.col("l_shipdate")
     amount = _dec(F.col("l_extendedprice"))
     return li.select(
@@ -139,12 +136,11 @@ def payables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _first_lines(spark, sf_dir)
+    li = read_base(spark, sf_dir, "lineitem")
     k, sd = F.col("l_orderkey"), F.col("l_shipdate")
     m = k % 6
     return li.select(
-        F.concat(F.lit("BR"), _txt(k), F.lit("-"), _txt(F.col("l_partkey")), F.lit("-"),
-                 _txt(F.col("l_suppkey"))).alias("tracking_code"),
+        F.concat(F.lit("BR"), F.concat_ws("-", k, "l_linenumber", "l_partkey", "l_suppkey")).alias("tracking_code"),
         F.when(k % 41 == 0, F.lit(-1).cast("bigint")).otherwise(k).alias("sale_id"),
         F.when(m == 0, F.lit("Objeto ENTREGUE ao destinatário"))
          .when(m == 1, F.lit("Objeto saiu para entrega"))
@@ -163,13 +159,18 @@ def _events(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     return read_base(spark, sf_dir, "events").where(F.col("event_type") == event_type)
 
 
+def _months_back(months: str) -> Column:
+    return F.expr(f"ts - make_ym_interval(0, cast({months} as int))")
+
+
 def subscription_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir, "purchase")
     k = F.col("event_id")
     return e.select(
         k.alias("event_id"),
         F.when(k % 23 == 0, F.lit("")).when(k % 29 == 0, _null_s())
-         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("confirmed_at_text"),
+         .otherwise(F.date_format(_months_back("event_id % 29 + if(event_id % 13 = 0, 265, 0)"), "yyyy-MM-dd HH:mm:ss"))
+         .alias("confirmed_at_text"),
         _dec(F.col("value")).alias("net_amount"),
     )
 
@@ -179,16 +180,18 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return e.select(
         k.alias("event_id"),
-        F.when(k % 23 == 0, F.lit("")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("started_at_text"),
+        F.when(k % 23 == 0, F.lit(""))
+         .otherwise(F.date_format(_months_back("event_id % 31"), "yyyy-MM-dd HH:mm:ss")).alias("started_at_text"),
         F.when(k % 3 == 0, F.lit("canceled")).otherwise(F.lit("active")).alias("last_status"),
     )
 
 
 def _search_keys(e: DataFrame) -> DataFrame:
     return e.select(
-        F.to_date("ts").alias("day"),
-        F.concat(F.lit("term "), _txt(F.col("event_id") % 40)).alias("query"),
-        F.concat(F.lit("/p/"), _txt(F.col("user_id") % 25)).alias("page"),
+        F.when(F.col("event_id") % 5 == 0, F.trunc(_months_back("1 + event_id % 17"), "month"))
+         .otherwise(F.to_date("ts")).alias("day"),
+        F.concat(F.lit("term "), _txt(F.col("user_id") * 4 + F.col("event_id") % 4)).alias("query"),
+        F.concat(F.lit("/p/"), _txt(F.expr("user_id div 2"))).alias("page"),
         F.lit("BRA").alias("country"),
         F.when(F.col("user_id") % 3 == 0, F.lit("DESKTOP"))
          .when(F.col("user_id") % 3 == 1, F.lit("MOBILE"))
