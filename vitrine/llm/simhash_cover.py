@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import connected_components, groups, materialise, slices, spanning, tiles
+from vitrine.llm.common import connected_components, groups, materialise, shuffle_width, slices, spanning, tiles
 
 TILE = 1024
 #: Block length and number of blocks by the largest distance they serve.
@@ -148,7 +148,7 @@ def links(fps: DataFrame, distance: int = 3, tile: int = TILE) -> DataFrame:
     _, n, blocks = next(x for x in BLOCKS if distance <= x[0])
     rows = fps.select("fp").mapInArrow(partial(_replicate, n=n, blocks=blocks), "anchor long, fp long, home boolean")
     split = tiles(rows, "anchor", "fp", tile)
-    dealt = split.repartition("anchor", "tile_i", "tile_j").sortWithinPartitions("anchor", "tile_i", "tile_j")
+    dealt = split.repartition(shuffle_width(fps.sparkSession), "anchor", "tile_i", "tile_j").sortWithinPartitions("anchor", "tile_i", "tile_j")
     return dealt.mapInArrow(partial(_compare, distance=distance), "a long, b long")
 
 
