@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import id_crc, materialise, shuffle_width, slices, words
 
 BLOCK_BYTES = 12 << 20
+SLICE_BYTES = 2 << 20     # text held in token arrays at a time
 MIN_SHARE = 1e-5
 MIN_BITS = 0.01
 DEPTH = 2
@@ -59,14 +60,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 # ---------------------------------------------------------------- word counts
 
 def _block_counts(table: pa.Table) -> pa.Table:
-    """Training count of every distinct word of a block (and of the end)."""
-    texts = table.column("text").combine_chunks()
-    train = ~table.column("held").combine_chunks().to_numpy(zero_copy_only=False)
-    rows, code, dictionary = tokens(texts)
-    count = np.bincount(code[train[rows]], minlength=len(dictionary) + 1)
-    names = pa.concat_arrays([dictionary, pa.array([END], dictionary.type)])
+    """Training count of every distinct word of a block (and of the end),
+    counted in slices of the block and added up."""
+    parts = []
+    for batch in table.select(["text", "held"]).combine_chunks().to_batches():
+        for part in slices(batch, "text", SLICE_BYTES):
+            train = ~part.column("held").to_numpy(zero_copy_only=False)
+            rows, code, dictionary = tokens(part.column("text"))
+            count = np.bincount(code[train[rows]], minlength=len(dictionary) + 1)
+            names = pa.concat_arrays([dictionary, pa.array([END], dictionary.type)])
+            parts.append(pa.table({"word": names, "n": pa.array(count)}))
+    total = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
     blk = table.column("blk")[0].as_py()
-    return pa.table({"blk": pa.array(np.full(len(names), blk, dtype=np.int32)), "word": names, "n": pa.array(count)})
+    return pa.table({"blk": pa.array(np.full(total.num_rows, blk, dtype=np.int32)),
+                     "word": total.column("word"), "n": total.column("n_sum")})
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ def _count_level(batches, model) -> Iterator[pa.RecordBatch]:
     m = model.value
     width = len(m["symbols"])
     for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
+        for part in slices(batch, "text", SLICE_BYTES):
             rows, code, dictionary = tokens(part.column("text"))
             alpha = _alphabet(dictionary, m["symbols"], code)
             top = _level_ids(alpha, rows, m["keys"], width)[-1]
@@ -187,7 +194,7 @@ def _score_block(left: pa.Table, right: pa.Table, model, n_train: int, vocabular
     known = right.column("c").to_numpy() if right.num_rows else np.zeros(0, dtype=np.int64)
     local = _local_counts(left)
     out = [_score_rows(part, names, known, local, m, n_train, vocabulary, end_count)
-           for batch in left.combine_chunks().to_batches() for part in slices(batch, "text", 4 << 20)]
+           for batch in left.combine_chunks().to_batches() for part in slices(batch, "text", SLICE_BYTES)]
     return pa.concat_tables(out) if out else _RESULT.empty_table()
 
 
