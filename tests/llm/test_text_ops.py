@@ -91,6 +91,56 @@ def test_suffix_tree_states_are_distributions():
         assert math.isclose(sum(stored.values()) + rest, 1, rel_tol=1e-9)
 
 
+def plain_tree_scores(rows, depth, least, min_bits, discount=0.5):
+    """Scores of (tokens, held) rows by dictionaries of tuples."""
+    n = Counter(tuple(w[k:k + d]) for w, held in rows if not held for d in range(1, depth + 2) for k in range(len(w) - d + 1))
+    words = {g[0]: c for g, c in n.items() if len(g) == 1}
+    size = sum(words.values()) + len(words) + 1
+    after = defaultdict(list)
+    for g, c in n.items():
+        if len(g) > 1 and c >= least:
+            after[g[:-1]].append(g[-1])
+    root = lambda w: (words.get(w, 0) + 1) / size
+    states = set()
+    for s, following in after.items():
+        p = [n[(*s, w)] / n[s] for w in following]
+        q = [root(w) if len(s) == 1 else n[(*s[1:], w)] / n[s[1:]] for w in following]
+        a, b = max(0, 1 - sum(p)), max(1e-12, 1 - sum(q))
+        bits = sum(x * math.log2(x / y) for x, y in zip(p, q, strict=True)) + (a * math.log2(a / b) if a > 1e-15 else 0)
+        if bits >= min_bits:
+            states |= {s[k:] for k in range(len(s))}
+    rest = {}
+
+    def prob(s, w):
+        if not s:
+            return root(w)
+        if s not in states:
+            return prob(s[1:], w)
+        if n.get((*s, w), 0) >= least:
+            return (n[(*s, w)] - discount) / n[s]
+        if s not in rest:
+            rest[s] = (max(1e-12, 1 - sum((n[(*s, x)] - discount) / n[s] for x in after[s]))
+                       / max(1e-12, 1 - sum(prob(s[1:], x) for x in after[s])))
+        return rest[s] * prob(s[1:], w)
+
+    return [sum(math.log10(prob(tuple(w[max(0, k - depth):k]), w[k])) for k in range(len(w))) for w, _ in rows]
+
+
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """Sequences seen twice are states at any corpus size (here over 200,000 tokens)."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.004)), 3000)}" for _ in range(250)) for _ in range(1000)]
+    texts += ["rare0 rare1 rare2", "rare0 rare1 rare2", "Rare0 rare1 rare2"]
+    rows = [(i, t, i % 7 == 2) for i, t in enumerate(texts[:-1])] + [(len(texts) - 1, texts[-1], True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    out = {r["doc_id"]: r for r in suffix_tree_lm.score_texts(docs, block_bytes=100_000).collect()}
+    want = plain_tree_scores([([*t.lower().split(), ""], held) for _, t, held in rows], 2, 2, 0.01)
+    assert out[0]["train_tokens"] > 200_000
+    for (i, _, _), score in zip(rows, want, strict=True):
+        assert math.isclose(out[i]["score"], score, rel_tol=1e-9)
+    assert out[len(texts) - 1]["score"] > out[len(texts) - 1]["base_score"] + 5
+
+
 # ------------------------------------------------------------------ op2
 
 def test_leaks_equal_plain_search_on_copies(spark, table):

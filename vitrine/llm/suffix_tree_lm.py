@@ -1,20 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Contexts are word sequences of up to ``depth`` words. Every context and every
-continuation with an empirical probability of at least ``min_share`` is
-counted over all training tokens (so a level holds at most 1 / min_share
-entries, at any corpus size: the proven bound of what is collected and
-broadcast). A context becomes a state of the tree if its next-word distribution diverges from its parent's
-(Kullback-Leibler, in bits) by at least ``min_bits``; the suffixes of a state
-are states. Distributions are smoothed by absolute discounting: the mass taken
-from the counted continuations and that of all others follows the parent's
-distribution, down to the root, (c + 1) / (N + V + 1) for every word. A token
-is scored in the state of the longest suffix of the words before it.
-
-The word counts c grow with the corpus, so they are never collected: documents
-are dealt into blocks by a hash, every block counts its distinct words once,
-the counts of a word meet in one window, and a block gets back only the words
-it holds (words of a single block are counted on the spot).
+continuation that occurs at least ``least`` times in the training rows is
+counted, at any corpus size. A context becomes a state of the tree if its
+next-word distribution diverges from its parent's (Kullback-Leibler, in bits)
+by at least ``min_bits``; the suffixes of a state are states. Distributions are
+smoothed by absolute discounting: the mass taken from the counted
+continuations and that of all others follows the parent's distribution, down
+to the root, (c + 1) / (N + V + 1) for every word. A token is scored in the
+state of the longest suffix of the words before it.
+
+Nothing that grows with the corpus is collected or broadcast. Documents are
+dealt into blocks by a hash. A block lists its distinct word sequences of one
+to ``depth`` + 1 words as 64-bit hashes and sends them with their counts to
+buckets by hash; a bucket adds up the counts and answers each block in the
+block's own order, so the answer is an array of counts and no key travels
+back. With the counts a block knows every number of the divergence test of the
+sequences it is the first to hold; their sums meet in buckets by the hash of
+the context, which decide the states, deepest level first, and answer in the
+same way. Then the block has all it needs to score its rows. Two sequences
+whose hashes collide would be counted as one (about n^2 / 2^63 pairs among n
+distinct sequences).
 
 Defined cases: null or empty text is the end token alone; the end token is a
 symbol but never a context; without training rows N = V = 0 and every score
@@ -25,25 +31,27 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_crc, materialise, shuffle_width, slices, words
+from vitrine.llm.common import id_crc, materialise, shuffle_width, words
+from vitrine.llm.linear import mix, word_hashes
 
-BLOCK_BYTES = 12 << 20
-SLICE_BYTES = 2 << 20     # text held in token arrays at a time
-MIN_SHARE = 1e-5
+BLOCK_BYTES = 6 << 20
+BUCKETS = 4               # buckets a block
+LEAST = 2
 MIN_BITS = 0.01
 DEPTH = 2
 DISCOUNT = 0.5
 END = ""            # no word is empty
+_END = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+_LEVEL = np.uint64(3)     # low bits of a hash: words of the sequence less one
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -57,37 +65,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, out, dictionary
 
 
-# ---------------------------------------------------------------- word counts
-
-def _block_counts(table: pa.Table) -> pa.Table:
-    """Training count of every distinct word of a block (and of the end),
-    counted in slices of the block and added up."""
-    parts = []
-    for batch in table.select(["text", "held"]).combine_chunks().to_batches():
-        for part in slices(batch, "text", SLICE_BYTES):
-            train = ~part.column("held").to_numpy(zero_copy_only=False)
-            rows, code, dictionary = tokens(part.column("text"))
-            count = np.bincount(code[train[rows]], minlength=len(dictionary) + 1)
-            names = pa.concat_arrays([dictionary, pa.array([END], dictionary.type)])
-            parts.append(pa.table({"word": names, "n": pa.array(count)}))
-    total = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
-    blk = table.column("blk")[0].as_py()
-    return pa.table({"blk": pa.array(np.full(total.num_rows, blk, dtype=np.int32)),
-                     "word": total.column("word"), "n": total.column("n_sum")})
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(blk, word, c, blocks, first): per block and word the corpus count c,
-    the number of blocks that hold the word, and whether this row is the
-    word's first."""
-    counted = docs.groupBy("blk").applyInArrow(_block_counts, "blk int, word string, n long")
-    w = W.partitionBy("word")
-    return counted.select(
-        "blk", "word", F.sum("n").over(w).alias("c"), F.count("blk").over(w).alias("blocks"),
-        (F.min("blk").over(w) == F.col("blk")).alias("first"))
-
-
-# ------------------------------------------------------------ context counts
+# ----------------------------------------------- the tree of a text in memory
 
 def _level_ids(alpha: np.ndarray, rows: np.ndarray, keys: list[np.ndarray], width: int) -> list[np.ndarray]:
     """Entry of every level ending at each token, or -1: ids[0] are alphabet
@@ -114,38 +92,9 @@ def _alphabet(dictionary: pa.Array, symbols: pa.Array, code: np.ndarray) -> np.n
     return np.append(at, end)[code]
 
 
-def _count_level(batches, model) -> Iterator[pa.RecordBatch]:
-    """Occurrences of (deepest counted context, next symbol)."""
-    m = model.value
-    width = len(m["symbols"])
-    for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES):
-            rows, code, dictionary = tokens(part.column("text"))
-            alpha = _alphabet(dictionary, m["symbols"], code)
-            top = _level_ids(alpha, rows, m["keys"], width)[-1]
-            ok = (rows[1:] == rows[:-1]) & (top[:-1] >= 0) & (alpha[1:] >= 0)
-            key, n = np.unique(top[:-1][ok] * width + alpha[1:][ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-
-
-def grow(docs: DataFrame, symbols: list[str], counts: np.ndarray, least: float, depth: int) -> dict:
-    """Counted entries of each level: keys[d - 1], counts[d] for sequences of
-    d + 1 symbols with at least ``least`` occurrences."""
-    spark = docs.sparkSession
-    model = {"symbols": pa.array(symbols, pa.string()), "keys": [], "counts": [counts]}
-    train = docs.filter("not held").select("text")
-    for _ in range(depth):
-        shared = spark.sparkContext.broadcast(model)
-        level = train.mapInArrow(partial(_count_level, model=shared), "key long, n long") \
-            .groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()   # <= N / least rows
-        level = level.sort_values("key")
-        model = {**model, "keys": [*model["keys"], level["key"].to_numpy(dtype=np.int64)],
-                 "counts": [*model["counts"], level["n"].to_numpy(dtype=np.int64)]}
-    return model
-
-
 def prune(model: dict, n_train: int, vocabulary: int, min_bits: float, discount: float = DISCOUNT) -> dict:
-    """States by the divergence test, and their smoothed distributions."""
+    """States by the divergence test, and their smoothed distributions; the plain
+    form of what the blocks and buckets do."""
     width, levels = len(model["symbols"]), len(model["counts"])
     root = (model["counts"][0] + 1) / (n_train + vocabulary + 1)
     suffix: list[np.ndarray] = [np.zeros(width, dtype=np.int64)]     # entry of the sequence without its oldest symbol
@@ -186,85 +135,327 @@ def prune(model: dict, n_train: int, vocabulary: int, min_bits: float, discount:
     return {**model, "keep": keep, "log_prob": [np.log10(p) for p in prob], "log_back": [np.log10(b) for b in back]}
 
 
-# -------------------------------------------------------------------- scoring
+# ------------------------------------------------------------ blocks and buckets
+
+class Grams:
+    """Word sequences of a block. Of level d (d + 1 words): ``keys[d]``, the
+    distinct hashes, sorted; ``at[d]``, per token the index of the sequence that
+    ends there, or -1; ``pos[d]``, a token where each ends; ``n[d]``, the
+    occurrences in training rows."""
+
+    def __init__(self, block: pa.Table, depth: int):
+        self.rows, code, dictionary = tokens(block.column("text").combine_chunks())
+        word = np.append(word_hashes(dictionary), _END)[code]
+        train = ~block.column("held").to_numpy()[self.rows]
+        same = np.zeros(len(word), dtype=bool)
+        same[1:] = self.rows[1:] == self.rows[:-1]
+        h, ok = mix(word), np.ones(len(word), dtype=bool)
+        self.keys, self.at, self.pos, self.n = [], [], [], []
+        for d in range(depth + 1):
+            if d:
+                h = np.concatenate([word[:1], mix(h[:-1] * _STEP + word[1:])])
+                ok = same & np.concatenate([ok[:1], ok[:-1]])
+            where = np.flatnonzero(ok)
+            keys, index = np.unique((h[where] & ~_LEVEL) | np.uint64(d), return_inverse=True)
+            at = np.full(len(word), -1, dtype=np.int32)
+            at[where] = index
+            pos = np.zeros(len(keys), dtype=np.int64)
+            pos[index] = where
+            self.keys.append(keys)
+            self.at.append(at)
+            self.pos.append(pos)
+            self.n.append(np.bincount(index[train[where]], minlength=len(keys)))
+
+    def contexts(self, d: int) -> np.ndarray:
+        """Per sequence of level d its context, an index of level d - 1."""
+        return self.at[d - 1][self.pos[d] - 1]
+
+    def suffixes(self, d: int) -> np.ndarray:
+        """Per sequence of level d the one without its oldest word."""
+        return self.at[d - 1][self.pos[d]]
+
+
+def _deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, the buckets with keys, where each starts and the end);
+    a bucket is a range of keys."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    names, start = np.unique(bucket, return_index=True)
+    return order, names, np.append(start, len(keys))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array of 8-byte numbers: all their first bytes,
+    then all their second bytes and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+    return planes.size.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpack(blob: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray, columns: bool = False) -> pa.Array:
+    """A packed array per bucket or block; of the matrix ``values`` if ``columns``."""
+    parts = [values[..., a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.array([_pack(np.ascontiguousarray(x).reshape(-1) if columns else x) for x in parts], pa.binary())
+
+
+def _keys(keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Packed sorted keys of each bucket, as steps from one to the next."""
+    return pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
+
+
+def _collect(table: pa.Table, column: str, dtype, width: int, order: np.ndarray) -> np.ndarray:
+    """Answers of all buckets, put back into the block's order."""
+    table = table.sort_by("bucket")
+    parts = [_unpack(x, dtype).reshape(width, -1) for x in table.column(column).to_pylist()]
+    out = np.zeros((width, len(order)), dtype=dtype)
+    if parts:
+        out[:, order] = np.concatenate(parts, axis=1)
+    return out
+
+
+def _long(n: int, value: int) -> pa.Array:
+    return pa.array(np.full(n, value, dtype=np.int64))
+
+
+COUNTS = "bucket long, blk long, keys binary, n binary"
+TOTALS = "bucket long, blk long, n binary, tokens long, types long"
+
+
+def _send_counts(block: pa.Table, depth: int, buckets: int) -> pa.Table:
+    g = Grams(block, depth)
+    keys, n = np.concatenate(g.keys), np.concatenate(g.n)
+    order, names, cuts = _deal(keys, buckets)
+    return pa.table({"bucket": pa.array(names), "blk": _long(len(names), block.column("blk")[0].as_py()),
+                     "keys": _keys(keys[order], cuts), "n": _blobs(n[order], cuts)})
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    """Per block 2 * (corpus count) + (this block is the first to hold it) of
+    each key it sent, and the training tokens and words of the bucket."""
+    table = table.sort_by("blk")
+    sent = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
+    n = np.concatenate([_unpack(x, np.int64) for x in table.column("n").to_pylist()])
+    keys, index = np.unique(np.concatenate(sent), return_inverse=True)
+    first = np.zeros(len(keys), dtype=np.int64)
+    first[index[::-1]] = np.arange(len(index))[::-1]                # the last one written stays
+    total = np.bincount(index, n, len(keys)).astype(np.int64)
+    word = (keys & _LEVEL) == 0
+    answer = 2 * total[index]
+    answer[first] += 1
+    tokens_, types = np.zeros(len(sent), dtype=np.int64), np.zeros(len(sent), dtype=np.int64)
+    tokens_[0], types[0] = total[word].sum(), np.count_nonzero(total[word])
+    return pa.table({"bucket": table.column("bucket"), "blk": table.column("blk"),
+                     "n": _blobs(answer, np.cumsum([0, *map(len, sent)])), "tokens": pa.array(tokens_), "types": pa.array(types)})
+
+
+class Counted(Grams):
+    """``c[d]``: corpus counts; ``first[d]``: sequences no earlier block holds."""
+
+    def __init__(self, block: pa.Table, answers: pa.Table, depth: int, buckets: int):
+        super().__init__(block, depth)
+        value = _collect(answers, "n", np.int64, 1, _deal(np.concatenate(self.keys), buckets)[0])[0]
+        cuts = np.cumsum([len(k) for k in self.keys])[:-1]
+        self.c = np.split(value >> 1, cuts)
+        self.first = [x == 1 for x in np.split(value & 1, cuts)]
 
-def _score_block(left: pa.Table, right: pa.Table, model, n_train: int, vocabulary: int, end_count: int) -> pa.Table:
-    m = model.value
-    names = right.column("word").combine_chunks() if right.num_rows else pa.array([], pa.string())
-    known = right.column("c").to_numpy() if right.num_rows else np.zeros(0, dtype=np.int64)
-    local = _local_counts(left)
-    out = [_score_rows(part, names, known, local, m, n_train, vocabulary, end_count)
-           for batch in left.combine_chunks().to_batches() for part in slices(batch, "text", SLICE_BYTES)]
-    return pa.concat_tables(out) if out else _RESULT.empty_table()
+    def open_contexts(self, d: int, least: int) -> np.ndarray:
+        """Entries of level d - 1 that are a context in this block and counted."""
+        used = np.zeros(len(self.keys[d - 1]), dtype=bool)
+        used[self.contexts(d)] = True
+        return np.flatnonzero(used & (self.c[d - 1] >= least))
 
 
+#: Columns of a context's sums: continuations, their counts, the counts of the
+#: continuations in the parent, divergence in bits of the counted continuations.
+SUMS = 4
+CONTEXTS = "level int, bucket long, blk long, keys binary, sums binary, parents binary"
+STATES = "level int, bucket long, blk long, sums binary, marks binary"
+
+
+def _send_contexts(block: pa.Table, answers: pa.Table, depth: int, buckets: int, least: int, n_train: int, vocabulary: int) -> pa.Table:
+    """Per context of the block the sums over the continuations this block is
+    the first to hold, its count and its parent's, and its parent."""
+    g, out = Counted(block, answers, depth, buckets), []
+    for d in range(1, depth + 1):
+        ctx, suffix = g.contexts(d), g.suffixes(d)
+        use = np.flatnonzero(g.first[d] & (g.c[d] >= least))
+        at, c, lower, total = ctx[use], g.c[d][use], g.c[d - 1][suffix[use]], g.c[d - 1]
+        if d == 1:
+            own_parent = np.full(len(total), n_train + vocabulary + 1, dtype=np.int64)
+            parent_key = np.zeros(len(total), dtype=np.uint64)
+            q = (lower + 1) / own_parent[at]
+        else:
+            parent = g.suffixes(d - 1)
+            own_parent, parent_key = g.c[d - 2][parent], g.keys[d - 2][parent]
+            q = lower / own_parent[at]
+        p, size = c / total[at], len(total)
+        sums = np.stack([np.bincount(at, minlength=size).astype(float), np.bincount(at, c, size), np.bincount(at, lower + (d == 1), size),
+                         np.bincount(at, p * np.log2(p / q), size), total, own_parent])
+        entry = g.open_contexts(d, least)
+        order, names, cuts = _deal(g.keys[d - 1][entry], buckets)
+        entry = entry[order]
+        known = ~g.first[d - 1]                                     # its first block sends a context's own numbers
+        sums[SUMS:, known], parent_key[known] = 0, 0
+        out.append(pa.table({
+            "level": pa.array(np.full(len(names), d, dtype=np.int32)), "bucket": pa.array(names),
+            "blk": _long(len(names), block.column("blk")[0].as_py()), "keys": _keys(g.keys[d - 1][entry], cuts),
+            "sums": _blobs(sums[:, entry], cuts, columns=True), "parents": _blobs(parent_key[entry], cuts) if d > 1 else pa.nulls(len(names), pa.binary())}))
+    return pa.concat_tables(out)
+
+
+def _add_contexts(table: pa.Table, min_bits: float, buckets: int) -> pa.Table:
+    """Per block (continuations, their counts, their counts in the parent,
+    state or not) of each context it sent; and, dealt by their own bucket
+    (blk -1), the parents of the states."""
+    marks = [_unpack_keys(x) for x, b in zip(
+        table.column("keys").to_pylist(), table.column("blk").to_pylist(), strict=True) if b < 0]
+    table = table.filter(pc.greater_equal(table.column("blk"), 0)).sort_by("blk")
+    if table.num_rows == 0:
+        return _STATES.empty_table()
+    level = table.column("level")[0].as_py()
+    sent = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
+    cuts = np.cumsum([0, *map(len, sent)])
+    keys, index = np.unique(np.concatenate(sent), return_inverse=True)
+    parts = np.concatenate([_unpack(x, np.float64).reshape(SUMS + 2, -1) for x in table.column("sums").to_pylist()], axis=1)
+    m, own, lower, bits, total, parent = (np.bincount(index, x, len(keys)) for x in parts)
+    rest_p = np.clip(1 - own / np.maximum(total, 1), 0, 1)
+    rest_q = np.clip(1 - lower / np.maximum(parent, 1), 1e-12, 1)
+    bits += np.where(rest_p > 0, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
+    keep = (m > 0) & (bits >= min_bits)
+    if marks:
+        keep |= np.isin(keys, np.concatenate(marks))
+    state = np.stack([m, own, lower, keep])[:, index]
+    out = pa.table([
+        pa.array(np.full(len(sent), level, dtype=np.int32)), table.column("bucket"), table.column("blk"),
+        _blobs(state, cuts, columns=True),
+        pa.nulls(len(sent), pa.binary())], schema=_STATES)
+    if level == 1:
+        return out
+    up = np.concatenate([_unpack(x, np.uint64) for x in table.column("parents").to_pylist()])
+    up = np.unique(up[keep[index] & (up > 0)])
+    order, names, cuts = _deal(up, buckets)
+    return pa.concat_tables([out, pa.table([
+        pa.array(np.full(len(names), level, dtype=np.int32)), pa.array(names), _long(len(names), -1),
+        pa.nulls(len(names), pa.binary()), _keys(up[order], cuts)], schema=_STATES)])
+
+
+_STATES = pa.schema([("level", pa.int32()), ("bucket", pa.int64()), ("blk", pa.int64()), ("sums", pa.binary()), ("marks", pa.binary())])
+
+
+def states(contexts: DataFrame, depth: int, min_bits: float, buckets: int) -> DataFrame:
+    """The buckets' answers of all levels, deepest first: a state's suffixes
+    are states, so each level hands the parents of its states to the next."""
+    add = partial(_add_contexts, min_bits=min_bits, buckets=buckets)
+    answers, marks = [], None
+    for d in range(depth, 0, -1):
+        sent = contexts.filter(F.col("level") == d)
+        if marks is not None:
+            sent = sent.unionByName(marks)
+        done = _written(sent.groupBy("bucket").applyInArrow(lambda t: add(t), STATES), f"states-{d}")
+        answers.append(done.filter("blk >= 0"))
+        none = F.lit(None).cast("binary")
+        marks = done.filter("blk < 0").select(F.lit(d - 1).alias("level"), "bucket", "blk", F.col("marks").alias("keys"),
+                                              none.alias("sums"), none.alias("parents"))
+    out = answers[0]
+    for a in answers[1:]:
+        out = out.unionByName(a)
+    return out
+
+
+# -------------------------------------------------------------------- scoring
+
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _local_counts(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    counts = _block_counts(block)
-    return counts.column("word").combine_chunks(), counts.column("n").to_numpy()
+def _score_block(block: pa.Table, answers: pa.Table, depth: int, buckets: int, least: int, n_train: int, vocabulary: int,
+                 discount: float = DISCOUNT) -> pa.Table:
+    n = block.num_rows
+    if n == 0:
+        return _RESULT.empty_table()
+    g = Counted(block, answers.filter(pc.equal(answers.column("level"), 0)), depth, buckets)
+    count = g.c[0][g.at[0]]
+    base = np.log10((count + 1) / (n_train + vocabulary + 1))
+    score = base.copy()
+    for d in range(1, depth + 1):                                   # from the root to the longest suffix state
+        entry, size = g.open_contexts(d, least), len(g.keys[d - 1])
+        order = _deal(g.keys[d - 1][entry], buckets)[0]
+        m, own, lower, keep = _collect(answers.filter(pc.equal(answers.column("level"), d)), "sums", np.float64, 4, order)
+        parent = n_train + vocabulary + 1 if d == 1 else g.c[d - 2][g.suffixes(d - 1)[entry]]
+        left = 1 - (own - discount * m) / g.c[d - 1][entry]
+        left_lower = 1 - (lower if d == 1 else lower - discount * m) / np.maximum(parent, 1)
+        back, state = np.zeros(size), np.zeros(size, dtype=bool)
+        back[entry] = np.log10(np.maximum(left, 1e-12) / np.maximum(left_lower, 1e-12))
+        state[entry] = keep == 1
+        token = np.flatnonzero(g.at[d] >= 0)
+        ctx, c = g.at[d - 1][token - 1], g.c[d][g.at[d][token]]
+        inside = state[ctx]
+        token, ctx, c = token[inside], ctx[inside], c[inside]
+        direct = np.log10(np.maximum(c - discount, discount) / g.c[d - 1][ctx])
+        score[token] = np.where(c >= least, direct, back[ctx] + score[token])
+    total = np.bincount(g.rows, minlength=n)
+    return pa.table([
+        block.column("doc_id"), block.column("held"), pa.array(total), pa.array(np.bincount(g.rows, count > 0, n).astype(np.int64)),
+        pa.array(np.full(n, n_train, dtype=np.int64)), pa.array(np.bincount(g.rows, base, n)),
+        pa.array(np.bincount(g.rows, score, n))], schema=_RESULT)
 
 
-def _look(dictionary: pa.Array, names: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Count of each dictionary word, -1 where ``names`` lacks it."""
-    if len(names) == 0:
-        return np.full(len(dictionary), -1, dtype=np.int64)
-    at = pc.fill_null(pc.index_in(dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
-    return np.where(at >= 0, counts[at], -1)
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _score_rows(part, names, known, local, m, n_train, vocabulary, end_count) -> pa.Table:
-    n = part.num_rows
-    rows, code, dictionary = tokens(part.column("text"))
-    count = _look(dictionary, names, known)
-    count = np.append(np.where(count >= 0, count, _look(dictionary, *local)), end_count)
-    root = np.log10((count + 1) / (n_train + vocabulary + 1))
-    base = root[code]
-    alpha = _alphabet(dictionary, m["symbols"], code)
-    ids = _level_ids(alpha, rows, m["keys"], len(m["symbols"]))
-    score = base.copy()
-    same = np.zeros(len(rows), dtype=bool)
-    same[1:] = rows[1:] == rows[:-1]
-    for d, back in enumerate(m["log_back"], start=1):               # from the root to the longest suffix state
-        if not len(back):
-            break
-        ctx = np.where(same, np.concatenate([[-1], ids[d - 1][:-1]]), -1)
-        state = (ctx >= 0) & m["keep"][d - 1][ctx]
-        direct = m["log_prob"][d][ids[d]] if len(m["log_prob"][d]) else score
-        score = np.where(state, np.where(ids[d] >= 0, direct, back[ctx] + score), score)
-    total = np.bincount(rows, minlength=n)
-    return pa.table([
-        part.column("doc_id"), part.column("held"), pa.array(total), pa.array(np.bincount(rows, (count > 0)[code], n).astype(np.int64)),
-        pa.array(np.full(n, n_train, dtype=np.int64)), pa.array(np.bincount(rows, base, n)),
-        pa.array(np.bincount(rows, score, n))], schema=_RESULT)
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` materialised; its shuffle files, which nobody reads again, go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialise`` that nobody reads again."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS,
+def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bits: float = MIN_BITS,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text, boolean held); learns
     from the rows not held."""
+    assert 1 <= depth <= int(_LEVEL)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(docs.sparkSession), size // block_bytes + 1)
-    src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    counts = materialise(word_counts(src), "word-counts")
-    first = counts.filter("first and c > 0")
-    n_train, vocabulary, end_count = first.agg(
-        F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
-    n_train, end_count = n_train or 0, end_count or 0
-    least = max(2.0, min_share * n_train)
-    top = first.filter(F.col("c") >= least).select("word", "c").toPandas().sort_values("word")   # <= 1 / min_share rows
-    model = grow(src, top["word"].tolist(), top["c"].to_numpy(dtype=np.int64), least, depth)
-    shared = docs.sparkSession.sparkContext.broadcast(prune(model, n_train, vocabulary, min_bits))
-    known = counts.filter("blocks > 1").select("blk", "word", "c")
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, shared, n_train, vocabulary, end_count)
-
-    return src.groupBy("blk").cogroup(known.groupBy("blk")).applyInArrow(scored, RESULT)
+    buckets = BUCKETS * blocks
+    src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    send = partial(_send_counts, depth=depth, buckets=buckets)
+    sent = src.groupBy("blk").applyInArrow(lambda t: send(t), COUNTS)
+    totals = _written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t), TOTALS), "sequence-counts")
+    n_train, vocabulary = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    ask = partial(_send_contexts, depth=depth, buckets=buckets, least=least, n_train=n_train, vocabulary=vocabulary)
+    contexts = _written(src.groupBy("blk").cogroup(totals.select("blk", "bucket", "n").groupBy("blk")).applyInArrow(
+        lambda t, a: ask(t, a), CONTEXTS), "contexts")
+    found = states(contexts, depth, min_bits, buckets)
+    _drop(contexts)
+    answers = totals.select("blk", F.lit(0).alias("level"), "bucket", "n", F.lit(None).cast("binary").alias("sums")) \
+        .unionByName(found.select("blk", "level", "bucket", F.lit(None).cast("binary").alias("n"), "sums"))
+    score = partial(_score_block, depth=depth, buckets=buckets, least=least, n_train=n_train, vocabulary=vocabulary)
+    return src.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda t, a: score(t, a), RESULT)
 
 
 def op1_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
