@@ -180,6 +180,24 @@ def test_leaks_empty_and_short(spark, docs, empty_docs):
     assert template_decontam.clean_documents(docs, items).count() == docs.count() - 1
 
 
+RIVER = "What river flows through Paris and Rouen before it reaches the Channel near Le Havre?"
+CLIPS = ("Natalia sold clips to 48 of her friends in April. Then she met Weng. Natalia sold half as many clips in May. "
+         "How many clips did Natalia sell altogether in April and May?")
+
+
+@pytest.mark.parametrize("item,text,found", [
+    (RIVER, RIVER.lower(), True), (RIVER, RIVER.title(), True), (RIVER.lower(), RIVER, True),
+    (RIVER, "it was asked: " + RIVER.lower() + " nobody knew", True),
+    (CLIPS, CLIPS.replace("Natalia", "Sofia").replace("48", "52"), True),
+    (CLIPS, CLIPS.lower().replace("48", "52"), True),
+    (RIVER, "what river flows past the town before it reaches the sea?", False)])
+def test_names_in_any_case_and_place(spark, item, text, found):
+    docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = template_decontam.leaks(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in out] == ([(7, 1)] if found else [])
+
+
 # ------------------------------------------------------------------ op3
 
 def check_pieces(rows, out):

@@ -20,6 +20,15 @@ after a token ending in . ! or ?). As the sentence start of an item can fall
 into the middle of a document's sentence, its first window is also offered
 with that word as a name.
 
+Typing depends on case and place, so each window is offered in more forms, and
+a position counts as matched if one form matches: with the words typed as names
+anywhere in the benchmark as names whatever their case or place, and those
+typed as names elsewhere in the same text as names where they open a sentence
+too; and untyped, all tokens lower-cased and without slots (a match stands for
+equal values). An alignment is judged on the plain typing alone and on all
+forms together; windows of either, if consistent, count. The benchmark's names
+(8 bytes a distinct word) are broadcast.
+
 Defined cases: null or empty texts have no windows; an item without a counting
 window never matches; repeated documents and items are matched each (equal
 item_ids are one item per row); empty tables give an empty result. Only
@@ -58,17 +67,20 @@ NUMBER = r"^[+\-$€£]*\d[\d.,:/\-]*(%|st|nd|rd|th)?$"
 QUANTITY = r"^[+\-$€£]*\d[\d.,]*(mm|cm|m|km|mg|g|kg|ml|l|s|h|w|kw|v|mb|gb|tb)$"
 _EDGE = ".,;:!?()[]{}\"'`*#%&$<>|"
 _STEP = np.uint64(0x2545F4914F6CDD1D)
-_NUM, _UNIT, _NAME = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+_NUM, _UNIT, _NAME, _PLAIN = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
 def _flag(mask) -> np.ndarray:
     return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
 
-def template(texts: pa.Array, name_start: bool = False) -> dict[str, np.ndarray]:
-    """Per token: document row, template token, slot type flag, value hash.
+def template(texts: pa.Array, name_start: bool = False, names: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Per token: document row, template token, slot type flag, value hash, and
+    whether it is a name.
 
-    ``name_start``: a capitalised word at the very start is taken as a name."""
+    ``name_start``: a capitalised word at the very start is taken as a name.
+    ``names``: value hashes that are names in any case and place; then also
+    words that are names elsewhere in the same text where they open a sentence."""
     doc, code, dictionary = words(texts)
     lower = pc.utf8_lower(dictionary)
     core = pc.utf8_trim(lower, _EDGE)
@@ -88,8 +100,23 @@ def template(texts: pa.Array, name_start: bool = False) -> dict[str, np.ndarray]
     own = kind[code]
     own[capital[code] & (~opens | (first & name_start))] = 3
     v = value[code]
+    if names is not None:
+        own[(own == 0) & np.isin(v, names)] = 3
+        here = mix(v + doc.astype(np.uint64) * _STEP)
+        own[(own == 0) & capital[code] & np.isin(here, here[own == 3])] = 3
     token = np.where(own == 1, _NUM, np.where(own == 2, _UNIT, np.where(own == 3, _NAME, v)))
-    return {"doc": doc, "token": token, "slot": own > 0, "value": v}
+    return {"doc": doc, "token": token, "slot": own > 0, "value": v, "name": own == 3}
+
+
+def untyped(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The same tokens without slots."""
+    return {**t, "token": mix(t["value"] + _PLAIN), "slot": np.zeros(len(t["doc"]), dtype=bool)}
+
+
+def _differ(t: dict, other: dict, at: np.ndarray, length: int) -> np.ndarray:
+    """Windows in which the two forms differ."""
+    changed = np.concatenate([[0], np.cumsum(t["token"] != other["token"])])
+    return changed[at + length] > changed[at]
 
 
 def windows(t: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,53 +134,79 @@ def windows(t: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarr
     return at, h[at]
 
 
-def _rows(ids: pa.Array, t: dict, at: np.ndarray, h: np.ndarray, length: int, start: np.ndarray) -> pa.RecordBatch:
-    """One row per window: id, position in its text, hash, slot values."""
+def _rows(ids: pa.Array, t: dict, at: np.ndarray, h: np.ndarray, length: int, start: np.ndarray,
+          form: int) -> pa.RecordBatch:
+    """One row per window: id, position in its text, hash, slot values, form."""
     use = t["slot"][at[:, None] + np.arange(length)] if len(at) else np.zeros((0, length), dtype=bool)
     values = t["value"][at[:, None] + np.arange(length)][use] if len(at) else np.zeros(0, np.uint64)
     cuts = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [ids.take(pa.array(t["doc"][at])), pa.array(at - start[t["doc"][at]]), pa.array(h.view(np.int64)),
-         pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64)))], ["row", "pos", "hash", "slots"])
+         pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.view(np.int64))),
+         pa.array(np.full(len(at), form, dtype=np.int32))], ["row", "pos", "hash", "slots", "form"])
 
 
 def _starts(t: dict, n: int) -> np.ndarray:
     return np.searchsorted(t["doc"], np.arange(n))
 
 
-def _item_windows(batches, window: int) -> Iterator[pa.RecordBatch]:
+#: Forms of a window: plain typing, typing with more names, untyped.
+TYPED, NAMED, UNTYPED = range(3)
+
+
+def _item_names(batches) -> Iterator[pa.RecordBatch]:
+    """Value hashes of the words typed as names."""
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
-            ids, n = part.column("row"), part.num_rows
-            plain = template(part.column("text"))
+            t = template(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(t["value"][t["name"]]).view(np.int64))], ["name"])
+
+
+def _item_windows(batches, window: int, names) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", 4 << 20):
+            ids, n, texts = part.column("row"), part.num_rows, part.column("text")
+            plain = template(texts)
             size = np.bincount(plain["doc"], minlength=n)
             start = _starts(plain, n)
-            for t in (plain, template(part.column("text"), name_start=True)):
+            more = template(texts, names=names.value)
+            forms = [(plain, None, TYPED), (template(texts, name_start=True), plain, TYPED), (more, plain, NAMED),
+                     (template(texts, name_start=True, names=names.value), more, NAMED), (untyped(plain), None, UNTYPED)]
+            for t, other, form in forms:
                 for length in range(1, window + 1):
                     at, h = windows(t, length)
                     at_doc = t["doc"][at]
                     keep = (size[at_doc] >= window) if length == window else (size[at_doc] == length)
-                    if t is not plain:      # only the first window, and only where the name changes it
-                        keep &= (at == start[at_doc]) & (t["token"][at] != plain["token"][at])
-                    out = _rows(ids, t, at[keep], h[keep], length, start)
+                    if form == UNTYPED:         # the positions that count are those of the plain typing
+                        keep &= np.isin(at, windows(plain, length)[0])
+                    elif other is more or (form == TYPED and other is plain):
+                        # only the first window, and only where the name changes it
+                        keep &= (at == start[at_doc]) & (t["token"][at] != other["token"][at])
+                    elif other is plain:
+                        keep &= _differ(t, plain, at, length)
+                    out = _rows(ids, plain if form == UNTYPED else t, at[keep], h[keep], length, start, form)
                     yield pa.RecordBatch.from_arrays(
                         [*out.columns, pa.array(np.full(out.num_rows, length, dtype=np.int32))], [*out.schema.names, "length"])
 
 
-def _doc_windows(batches, lengths: list[int], bitmap) -> Iterator[pa.RecordBatch]:
+def _doc_windows(batches, lengths: list[int], bitmap, names) -> Iterator[pa.RecordBatch]:
     bits = bitmap.value
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
-            t = template(part.column("text"))
-            start = _starts(t, part.num_rows)
-            for length in lengths:
-                at, h = windows(t, length)
-                slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                hit = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
-                yield _rows(part.column("row"), t, at[hit], h[hit], length, start)
+            plain = template(part.column("text"))
+            start = _starts(plain, part.num_rows)
+            for form in (TYPED, NAMED, UNTYPED):
+                t = plain if form == TYPED else template(part.column("text"), names=names.value) if form == NAMED else untyped(plain)
+                for length in lengths:
+                    at, h = windows(t, length)
+                    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                    hit = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+                    if form == NAMED:
+                        hit &= _differ(t, plain, at, length)
+                    yield _rows(part.column("row"), t, at[hit], h[hit], length, start, form)
 
 
-WINDOW_SCHEMA = "row long, pos long, hash long, slots array<long>"
+WINDOW_SCHEMA = "row long, pos long, hash long, slots array<long>, form int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
@@ -164,8 +217,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
     items = materialise(
         benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
         .withColumn("row", F.monotonically_increasing_id()), "items")
+    found_names = items.select("text").mapInArrow(_item_names, "name long").distinct().toPandas()["name"]
+    names = spark.sparkContext.broadcast(np.asarray(found_names, dtype=np.int64).view(np.uint64))
     own = materialise(items.select("row", "text").mapInArrow(
-        partial(_item_windows, window=window), f"{WINDOW_SCHEMA}, length int"), "item-windows")
+        partial(_item_windows, window=window, names=names), f"{WINDOW_SCHEMA}, length int"), "item-windows")
     size = own.groupBy("row").agg(F.countDistinct("pos").alias("item_windows"))
     named = materialise(items.select("row", "item_id").join(size, "row"), "item-sizes")
     # both at most of a fixed size: the distinct window lengths, the set bits
@@ -178,13 +233,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
 
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     found = keyed.select("row", "text").mapInArrow(
-        partial(_doc_windows, lengths=lengths, bitmap=bitmap), WINDOW_SCHEMA)
-    item = own.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
+        partial(_doc_windows, lengths=lengths, bitmap=bitmap, names=names), WINDOW_SCHEMA)
+    item = own.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"),
+                      F.col("form").alias("item_form"))
+    values = F.when(F.col("form") == UNTYPED, F.col("item_slots")).otherwise(F.col("slots"))
+    # plain typing is judged alone (0) and with the other forms (1)
+    judged = F.when((F.col("form") == TYPED) & (F.col("item_form") == TYPED), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     hit = found.join(item, "hash").select(
         "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos",
-        F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
+        F.arrays_zip(F.col("item_slots").alias("i"), values.alias("d")).alias("pairs"), F.explode(judged).alias("judged"))
     # one alignment holds each window of the item once, so its sets are bounded by the item
-    line = hit.groupBy("row", "item", "shift").agg(
+    line = hit.groupBy("row", "item", "shift", "judged").agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     line = line.filter(F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs"))
     whole = line.groupBy("row", "item").agg(
