@@ -198,6 +198,15 @@ def test_names_in_any_case_and_place(spark, item, text, found):
     assert [(r["doc_id"], r["item_id"]) for r in out] == ([(7, 1)] if found else [])
 
 
+def test_short_items_need_the_whole_document(spark):
+    docs = spark.createDataFrame([(1, "yes"), (2, "well yes it is so"), (3, "some plain short words indeed"),
+                                  (4, "he wrote some plain short words on the wall")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "some plain short words")], "item_id long, text string")
+    out = template_decontam.leaks(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(1, 1), (3, 2)]
+    assert sorted(r["doc_id"] for r in template_decontam.clean_documents(docs, items).collect()) == [2, 4]
+
+
 # ------------------------------------------------------------------ op3
 
 def check_pieces(rows, out):

@@ -9,7 +9,10 @@ window positions) the slots must be consistent: one value of the item always
 stands for the same value of the document. An item has leaked into a document
 if its windows found in consistent alignments are at least 0.8 of all its
 windows. So a question whose numbers or names were exchanged is caught, and
-two questions that only share a frame with contradicting slots are not.
+two questions that only share a frame with contradicting slots are not. An item
+shorter than a window has no context of its own, so it has leaked only into a
+document that is (nearly) the item: it must be at least the same share, 0.8, of
+the document's tokens.
 
 Document windows are prefiltered by a bitmap of fixed size over the benchmark
 hashes (2^22 bits, broadcast); the equi-join on the full 64-bit hash decides.
@@ -189,18 +192,21 @@ def _item_windows(batches, window: int, names) -> Iterator[pa.RecordBatch]:
                         [*out.columns, pa.array(np.full(out.num_rows, length, dtype=np.int32))], [*out.schema.names, "length"])
 
 
-def _doc_windows(batches, lengths: list[int], bitmap, names) -> Iterator[pa.RecordBatch]:
+def _doc_windows(batches, lengths: list[int], bitmap, names, window: int, similarity: float) -> Iterator[pa.RecordBatch]:
     bits = bitmap.value
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
             plain = template(part.column("text"))
             start = _starts(plain, part.num_rows)
+            size = np.bincount(plain["doc"], minlength=part.num_rows)
             for form in (TYPED, NAMED, UNTYPED):
                 t = plain if form == TYPED else template(part.column("text"), names=names.value) if form == NAMED else untyped(plain)
                 for length in lengths:
                     at, h = windows(t, length)
                     slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     hit = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+                    if length < window:
+                        hit &= length >= similarity * size[t["doc"][at]]
                     if form == NAMED:
                         hit &= _differ(t, plain, at, length)
                     yield _rows(part.column("row"), t, at[hit], h[hit], length, start, form)
@@ -233,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
 
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     found = keyed.select("row", "text").mapInArrow(
-        partial(_doc_windows, lengths=lengths, bitmap=bitmap, names=names), WINDOW_SCHEMA)
+        partial(_doc_windows, lengths=lengths, bitmap=bitmap, names=names, window=window, similarity=similarity), WINDOW_SCHEMA)
     item = own.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"),
                       F.col("form").alias("item_form"))
     values = F.when(F.col("form") == UNTYPED, F.col("item_slots")).otherwise(F.col("slots"))
