@@ -311,6 +311,18 @@ def test_language_edge_rows(spark, repeated_docs, empty_docs, write_docs):
     assert {r["lang_pred"] for r in q(spark, write_docs(documents=unknown)).collect()} == {"und"}
 
 
+def test_language_score_does_not_shrink_with_sisters():
+    langs = ["en", "es", "fr", "it", "pt"]
+    pairs = [(a, b) for k, a in enumerate(langs[1:]) for b in langs[k + 2:]]
+    model = {"langs": langs, "families": ["germanic", "romance"], "pairs": pairs}
+    margin = {"family:germanic": np.array([-1.0]), "family:romance": np.array([1.0])}
+    margin |= {f"pair:{a}:{b}": np.array([0.1 if a == "es" else 0.05]) for a, b in pairs}   # es wins three narrow duels
+    answer, score = langid.decide(model, margin, 1)
+    duel = 1 / (1 + math.exp(-0.2))
+    assert langs[answer[0]] == "es" and score[0] > 0.3
+    assert math.isclose(score[0], duel / (1 + math.exp(-4)), rel_tol=1e-9)
+
+
 def test_word_grams_stay_inside_words():
     owner, feature = langid.word_grams(pa.array(["ab", "c"]))
     two = sorted((o, f) for o, f in zip(owner.tolist(), feature.tolist(), strict=True) if f < 1 << 16)

@@ -3,7 +3,9 @@
 First the language family is predicted (one linear support vector machine per
 family, one versus rest), then, inside the winning family, one-versus-one
 linear support vector machines separate its languages; the language with most
-won duels is the answer. Features are hashed byte 2- and 3-grams inside lower-cased
+won duels is the answer. The score is the share of the family times that of the
+answer's weakest duel, so it does not shrink with the number of sister
+languages. Features are hashed byte 2- and 3-grams inside lower-cased
 words (word edges included), averaged over the whole text. They add up over
 words, so each distinct word of a batch is scored once.
 
@@ -169,8 +171,8 @@ def decide(model: dict, margin: dict[str, np.ndarray], n: int) -> tuple[np.ndarr
             i, j = own.index(langs.index(a)), own.index(langs.index(b))
             won[:, i] += (v > 0) + 1e-3 * np.tanh(v)
             won[:, j] += (v <= 0) - 1e-3 * np.tanh(v)
-            prob[:, i] *= _sigmoid(2 * v)
-            prob[:, j] *= _sigmoid(-2 * v)
+            prob[:, i] = np.minimum(prob[:, i], _sigmoid(2 * v))
+            prob[:, j] = np.minimum(prob[:, j], _sigmoid(-2 * v))
         top = won.argmax(axis=1)
         here = best == k
         answer[here] = np.array(own)[top[here]]
