@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vitrine.llm import (ftrl_quality, langid, packing, simhash_cover, sphere_caps, suffix_dedup, suffix_tree_lm,
-                         template_decontam, url_rules, warc)
+from vitrine.llm import (fill_middle, filter_audit, ftrl_quality, langid, line_dedup, packing, simhash_cover, sphere_caps,
+                         suffix_dedup, suffix_tree_lm, template_decontam, url_rules, warc)
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
@@ -16,8 +16,14 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sphere_caps": sphere_caps.op9_sphere_caps,
     "op10_url_filters": url_rules.op10_url_filters,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 ORACLE_SQL = {
     "op10_url_filters": url_rules.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
+    "op13_line_dedup": line_dedup.ORACLE,
 }
