@@ -37,6 +37,11 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def _all(names: list[str], of: str = "") -> list[Column]:
+    """The columns, quoted; ``of``: fields of this struct."""
+    return [F.col(of + "`" + c.replace("`", "``") + "`").alias(c) for c in names]
+
+
 def _hash(*values: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes, the second from another starting value."""
     return F.xxhash64(*values).alias("h1"), F.xxhash64(F.lit(1), *values).alias("h2")
@@ -61,7 +66,7 @@ def cut_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_cha
     """(row: all columns of ``docs``, n_lines, n_dropped, kept) of every row."""
     frequent = materialise(frequent_keys(docs, least_documents, least_chars).select("h1", "h2"), "frequent-lines")
     d1, d2 = _hash(docs["doc_id"], _text(docs))
-    src = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), _text(docs).alias("text"),
+    src = docs.select(F.struct(*_all(docs.columns)).alias("row"), _text(docs).alias("text"),
                       d1.alias("d1"), d2.alias("d2"))
     lines = src.select("d1", "d2", F.posexplode(_split(lower_ascii(F.col("text")))).alias("pos", "line")) \
         .select("d1", "d2", "pos", _key(F.col("line")).alias("key")).filter(F.length("key") >= least_chars) \
@@ -79,7 +84,7 @@ def cut_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_cha
 def drop_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the frequent lines cut out of ``text``."""
     done = cut_lines(docs, least_documents, least_chars)
-    return done.select(*(F.col("kept" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
+    return done.select(*(F.col("kept").alias(n) if n == "text" else c for n, c in zip(docs.columns, _all(docs.columns, "row."), strict=True)))
 
 
 def op13_line_dedup(spark, sf_dir: str) -> DataFrame:
