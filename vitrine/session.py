@@ -97,3 +97,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/vitrine/{name}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever store it lies (nothing if it is absent)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..operators.period import Period
 from ..schemas import PARSED_DATES, TABLES
-from ..session import scratch_dir
+from ..session import remove_path, scratch_dir
 from .tables import Tables
 
 # table -> (clustering columns, partition column or None). The clustering
@@ -107,13 +107,6 @@ def _changed_months(old: DataFrame, new: DataFrame) -> set:
     return {r["m"] for r in rows.distinct().collect()}
 
 
-def _clear(spark, path: str) -> None:
-    """Delete one partition folder, on whatever store it lies."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic: bool = False) -> None:
     keys = ([part] if part else []) + list(cluster)
     # each task takes one range of the sort order; rows sorted inside it
@@ -183,7 +176,7 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
         if present:
             _write(staged, target, cluster, part, n, dynamic=True)
         for value in values - present:
-            _clear(spark, f"{target}/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value.isoformat()}")
+            remove_path(spark, f"{target}/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value.isoformat()}")
 
 
 # Tables stored bucketed by sku in the catalog layout (the dead-stock join).
