@@ -61,38 +61,9 @@ def test_suffix_tree_edge_rows(repeated_docs, empty_docs, write_docs, spark):
     assert q(spark, write_docs(documents=empty_docs)).count() == 0
 
 
-def test_suffix_tree_states_are_distributions():
-    """Each state's probabilities of all words add up to one (with the unknown word)."""
-    rng = random.Random(3)
-    words = ["a", "b", "c", "d"]
-    text, last = [], "a"
-    for _ in range(4000):
-        last = rng.choices(words, [8 if w == {"a": "b", "b": "c", "c": "a", "d": "d"}[last] else 1 for w in words])[0]
-        text.append(last)
-    symbols = [suffix_tree_lm.END, *words]
-    rows, code, dictionary = suffix_tree_lm.tokens(pa.array([" ".join(text)]))
-    alpha = suffix_tree_lm._alphabet(dictionary, pa.array(symbols), code)
-    counts = np.bincount(alpha, minlength=5)
-    model = {"symbols": pa.array(symbols), "keys": [], "counts": [counts]}
-    for _ in range(2):
-        top = suffix_tree_lm._level_ids(alpha, rows, model["keys"], 5)[-1]
-        ok = (rows[1:] == rows[:-1]) & (top[:-1] >= 0)
-        key, n = np.unique(top[:-1][ok] * 5 + alpha[1:][ok], return_counts=True)
-        model["keys"].append(key[n >= 20])
-        model["counts"].append(n[n >= 20])
-    n, v = int(counts.sum()), 5
-    m = suffix_tree_lm.prune(model, n, v, 0.01)
-    assert m["keep"][0].sum() >= 3                   # the chain's contexts diverge from the root
-    root = (counts + 1) / (n + v + 1)
-    for s in np.flatnonzero(m["keep"][0]):
-        own = m["keys"][0] // 5 == s
-        stored = dict(zip((m["keys"][0][own] % 5).tolist(), 10 ** m["log_prob"][1][own], strict=True))
-        rest = 10 ** m["log_back"][0][s] * (1 - sum(root[x] for x in stored))
-        assert math.isclose(sum(stored.values()) + rest, 1, rel_tol=1e-9)
-
-
-def plain_tree_scores(rows, depth, least, min_bits, discount=0.5):
-    """Scores of (tokens, held) rows by dictionaries of tuples."""
+def plain_tree(rows, depth, least, min_bits, discount=0.5):
+    """Probability function (context, word) of the tree of (tokens, held) rows,
+    by dictionaries of tuples; every sequence of the text is counted."""
     n = Counter(tuple(w[k:k + d]) for w, held in rows if not held for d in range(1, depth + 2) for k in range(len(w) - d + 1))
     words = {g[0]: c for g, c in n.items() if len(g) == 1}
     size = sum(words.values()) + len(words) + 1
@@ -106,38 +77,88 @@ def plain_tree_scores(rows, depth, least, min_bits, discount=0.5):
         p = [n[(*s, w)] / n[s] for w in following]
         q = [root(w) if len(s) == 1 else n[(*s[1:], w)] / n[s[1:]] for w in following]
         a, b = max(0, 1 - sum(p)), max(1e-12, 1 - sum(q))
-        bits = sum(x * math.log2(x / y) for x, y in zip(p, q, strict=True)) + (a * math.log2(a / b) if a > 1e-15 else 0)
-        if bits >= min_bits:
-            states |= {s[k:] for k in range(len(s))}
-    rest = {}
+        if sum(x * math.log2(x / y) for x, y in zip(p, q, strict=True)) + (a * math.log2(a / b) if a > 1e-15 else 0) >= min_bits:
+            states.add(s)
 
     def prob(s, w):
         if not s:
             return root(w)
         if s not in states:
             return prob(s[1:], w)
-        if n.get((*s, w), 0) >= least:
-            return (n[(*s, w)] - discount) / n[s]
-        if s not in rest:
-            rest[s] = (max(1e-12, 1 - sum((n[(*s, x)] - discount) / n[s] for x in after[s]))
-                       / max(1e-12, 1 - sum(prob(s[1:], x) for x in after[s])))
-        return rest[s] * prob(s[1:], w)
+        c = n.get((*s, w), 0)
+        left = 1 - sum(n[(*s, x)] - discount for x in after[s]) / n[s]
+        return (c - discount if c >= least else 0) / n[s] + left * prob(s[1:], w)
+
+    return prob, states, words
+
 
+def plain_tree_scores(rows, depth, least, min_bits):
+    prob, _, _ = plain_tree(rows, depth, least, min_bits)
     return [sum(math.log10(prob(tuple(w[max(0, k - depth):k]), w[k])) for k in range(len(w))) for w, _ in rows]
 
 
+def check_tree(spark, rows, depth, least=2, min_bits=0.01, **options):
+    """Scores of (doc_id, text, held) rows against the plain tree."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    out = {r["doc_id"]: r for r in suffix_tree_lm.score_texts(docs, depth, least, min_bits, **options).collect()}
+    want = plain_tree_scores([([*t.lower().split(), ""], held) for _, t, held in rows], depth, least, min_bits)
+    for (i, _, _), score in zip(rows, want, strict=True):
+        assert math.isclose(out[i]["score"], score, rel_tol=1e-9, abs_tol=1e-9)
+    return out
+
+
+def test_suffix_tree_states_are_distributions():
+    """The probabilities of all words after any context, an unknown one
+    included, add up to one."""
+    rng = random.Random(3)
+    text, last = [], "a"
+    for _ in range(4000):
+        last = rng.choices("abcd", [8 if w == {"a": "b", "b": "c", "c": "a", "d": "d"}[last] else 1 for w in "abcd"])[0]
+        text.append(last)
+    prob, states, words = plain_tree([([*text, ""], False)], 4, 2, 0.01)
+    assert {len(s) for s in states} == {1, 2, 3, 4}
+    for s in [*states, ("a",), ("x", "b"), ()]:
+        assert math.isclose(sum(prob(s, w) for w in [*words, "unseen"]), 1, rel_tol=1e-9)
+
+
+def near_copies(rng, n):
+    """Texts that share passages of any length, with words exchanged."""
+    passage = [f"p{rng.randrange(60)}" for _ in range(60)]
+    out = []
+    for _ in range(n):
+        w = passage[rng.randrange(30):][:rng.randrange(5, 40)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(8)}"
+        out.append(" ".join([*w, *(f"w{min(int(rng.expovariate(0.1)), 50)}" for _ in range(rng.randrange(30)))]))
+    return out
+
+
+@pytest.mark.parametrize("depth,least,min_bits", [(0, 2, 0.01), (1, 2, 0.01), (4, 2, 0.01), (6, 2, 0.2), (5, 3, 1e-9), (9, 2, 0.01)])
+def test_suffix_tree_equals_plain_tree(spark, depth, least, min_bits):
+    texts = near_copies(random.Random(depth), 150)
+    check_tree(spark, [(i, t, i % 7 == 2) for i, t in enumerate(texts)], depth, least, min_bits, block_bytes=2000, bucket_bytes=3000)
+
+
+def test_suffix_tree_stops_when_no_sequence_is_left(spark):
+    """A depth beyond any repeated sequence costs no further rounds and changes nothing."""
+    texts = near_copies(random.Random(1), 40)
+    out = check_tree(spark, [(i, t, False) for i, t in enumerate(texts)], 60)
+    assert len(out) == 40
+
+
+def test_suffix_tree_without_training_rows(spark):
+    out = check_tree(spark, [(1, "a b", True), (2, "", True)], 3)
+    assert {r["score"] for r in out.values()} == {0} and {r["train_tokens"] for r in out.values()} == {0}
+
+
 def test_suffix_tree_keeps_rare_contexts(spark):
     """Sequences seen twice are states at any corpus size (here over 200,000 tokens)."""
     rng = random.Random(5)
     texts = [" ".join(f"w{min(int(rng.expovariate(0.004)), 3000)}" for _ in range(250)) for _ in range(1000)]
     texts += ["rare0 rare1 rare2", "rare0 rare1 rare2", "Rare0 rare1 rare2"]
     rows = [(i, t, i % 7 == 2) for i, t in enumerate(texts[:-1])] + [(len(texts) - 1, texts[-1], True)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
-    out = {r["doc_id"]: r for r in suffix_tree_lm.score_texts(docs, block_bytes=100_000).collect()}
-    want = plain_tree_scores([([*t.lower().split(), ""], held) for _, t, held in rows], 2, 2, 0.01)
+    out = check_tree(spark, rows, 3, block_bytes=100_000, bucket_bytes=300_000)
     assert out[0]["train_tokens"] > 200_000
-    for (i, _, _), score in zip(rows, want, strict=True):
-        assert math.isclose(out[i]["score"], score, rel_tol=1e-9)
     assert out[len(texts) - 1]["score"] > out[len(texts) - 1]["base_score"] + 5
 
 

@@ -2,31 +2,36 @@
 
 Contexts are word sequences of up to ``depth`` words. Every context and every
 continuation that occurs at least ``least`` times in the training rows is
-counted, at any corpus size. A context becomes a state of the tree if its
-next-word distribution diverges from its parent's (Kullback-Leibler, in bits)
-by at least ``min_bits``; the suffixes of a state are states. Distributions are
-smoothed by absolute discounting: the mass taken from the counted
-continuations and that of all others follows the parent's distribution, down
-to the root, (c + 1) / (N + V + 1) for every word. A token is scored in the
-state of the longest suffix of the words before it.
-
-Nothing that grows with the corpus is collected or broadcast. Documents are
-dealt into blocks by a hash. A block lists its distinct word sequences of one
-to ``depth`` + 1 words as 64-bit hashes and sends them with their counts to
-buckets by hash; a bucket adds up the counts and answers each block in the
-block's own order, so the answer is an array of counts and no key travels
-back. With the counts a block knows every number of the divergence test of the
-sequences it is the first to hold; their sums meet in buckets by the hash of
-the context, which decide the states, deepest level first, and answer in the
-same way. Then the block has all it needs to score its rows. Two sequences
-whose hashes collide would be counted as one (about n^2 / 2^63 pairs among n
-distinct sequences).
+counted, at any corpus size. A context is a state of the tree if its next-word
+distribution diverges from that of the context without its oldest word
+(Kullback-Leibler, in bits, of the counts) by at least ``min_bits``.
+Distributions are smoothed by interpolation: a state takes ``discount`` off each
+counted continuation and gives that mass, and that of all others, to the next
+shorter state, down to the root, (c + 1) / (N + V + 1) for every word. A token is
+scored in the state of the longest suffix of the words before it.
+
+The tree grows level by level. A sequence is no commoner than its parts, so one
+of d + 1 words is looked at only where both its parts of d words were counted.
+And a context that is always followed by the same word has no descendant that
+differs from it: a longer one is followed by that word as often as it occurs, so
+nothing is sent. Both rules are exact; they drop most sequences after two words
+and leave little after four, copied passages included. Nothing that grows with the corpus is collected or broadcast.
+
+Documents are dealt by a hash into blocks of a few MB, tokenised once. In each
+round a block sends its distinct candidate sequences as 64-bit hashes with their
+counts to buckets (ranges of the hash), and the sums of the divergence test of
+each context one level up. A bucket adds up and answers each block in the block's
+own order, so answers are bare arrays. Blocks and buckets depend on the bytes of
+the corpus alone, not on the shuffle width; messages are packed, so there are at
+most (blocks x buckets of a round) of them and never more than sequences. A
+round's tables are deleted once the next one is written. Two sequences whose
+hashes collide would be counted as one (about n^2 / 2^63 pairs among n).
 
 Defined cases: null or empty text is the end token alone; the end token is a
 symbol but never a context; without training rows N = V = 0 and every score
 is 0; repeated rows count and score each; a null doc_id has the crc32 of the
-empty text; an empty table gives an empty result. Only doc_id and text are
-read.
+empty text; a very long text is a block of its own; an empty table gives an
+empty result. Only doc_id, text (and held) are read.
 """
 
 from __future__ import annotations
@@ -39,19 +44,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_crc, materialise, shuffle_width, words
+from vitrine.llm.common import id_crc, materialise, shared_path, words
 from vitrine.llm.linear import mix, word_hashes
+from vitrine.session import remove_path
 
-BLOCK_BYTES = 6 << 20
-BUCKETS = 4               # buckets a block
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20   # of text a bucket
 LEAST = 2
 MIN_BITS = 0.01
-DEPTH = 2
+DEPTH = 5                 # words of the longest context: the order of the model
 DISCOUNT = 0.5
-END = ""            # no word is empty
 _END = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
-_LEVEL = np.uint64(3)     # low bits of a hash: words of the sequence less one
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -65,124 +69,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, out, dictionary
 
 
-# ----------------------------------------------- the tree of a text in memory
-
-def _level_ids(alpha: np.ndarray, rows: np.ndarray, keys: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """Entry of every level ending at each token, or -1: ids[0] are alphabet
-    codes, ids[d] index ``keys[d - 1]`` (entry of the words before * width + word)."""
-    ids = [alpha]
-    same = np.zeros(len(rows), dtype=bool)
-    same[1:] = rows[1:] == rows[:-1]
-    for level in keys:
-        before = np.concatenate([[-1], ids[-1][:-1]]) if len(alpha) else alpha
-        key = np.where(same & (before >= 0) & (alpha >= 0), before * width + alpha, -1)
-        at = np.searchsorted(level, key)
-        at[at == len(level)] = 0
-        ok = (key >= 0) & (len(level) > 0)
-        if len(level):
-            ok &= level[at] == key
-        ids.append(np.where(ok, at, -1))
-    return ids
-
-
-def _alphabet(dictionary: pa.Array, symbols: pa.Array, code: np.ndarray) -> np.ndarray:
-    """Alphabet code of each token; the end token's is the last symbol's."""
-    at = pc.fill_null(pc.index_in(dictionary, value_set=symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    end = pc.fill_null(pc.index_in(pa.array([END], symbols.type), value_set=symbols), -1)[0].as_py()
-    return np.append(at, end)[code]
-
-
-def prune(model: dict, n_train: int, vocabulary: int, min_bits: float, discount: float = DISCOUNT) -> dict:
-    """States by the divergence test, and their smoothed distributions; the plain
-    form of what the blocks and buckets do."""
-    width, levels = len(model["symbols"]), len(model["counts"])
-    root = (model["counts"][0] + 1) / (n_train + vocabulary + 1)
-    suffix: list[np.ndarray] = [np.zeros(width, dtype=np.int64)]     # entry of the sequence without its oldest symbol
-    for d in range(1, levels):
-        key = model["keys"][d - 1]
-        if d == 1:
-            suffix.append(key % width)
-        else:
-            shorter = suffix[d - 1][key // width] * width + key % width
-            suffix.append(np.searchsorted(model["keys"][d - 2], shorter))
-    keep = [np.zeros(len(c), dtype=bool) for c in model["counts"]]
-    for d in range(1, levels):                                      # contexts are the entries of level d - 1
-        ctx = model["keys"][d - 1] // width
-        total = model["counts"][d - 1].astype(float)
-        p = model["counts"][d] / total[ctx]
-        if d == 1:
-            q = root[suffix[1]]
-        else:
-            parent = suffix[d - 1][ctx]
-            q = model["counts"][d - 1][suffix[d]] / model["counts"][d - 2][parent]
-        size = len(total)
-        rest_p = np.clip(1 - np.bincount(ctx, p, size), 0, 1)
-        rest_q = np.clip(1 - np.bincount(ctx, q, size), 1e-12, 1)
-        bits = np.bincount(ctx, p * np.log2(p / q), size) + np.where(rest_p > 0, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
-        keep[d - 1] = (bits >= min_bits) & (np.bincount(ctx, minlength=size) > 0)
-    for d in range(levels - 1, 1, -1):                              # a state's suffixes are states
-        keep[d - 2][suffix[d - 1][keep[d - 1]]] = True
-    prob, back = [root], []
-    for d in range(1, levels):
-        ctx = model["keys"][d - 1] // width
-        total = model["counts"][d - 1].astype(float)
-        lower = prob[d - 1][suffix[d]]
-        direct = (model["counts"][d] - discount) / total[ctx]
-        prob.append(np.where(keep[d - 1][ctx], direct, lower))
-        left = 1 - np.bincount(ctx, direct, len(total))
-        left_lower = 1 - np.bincount(ctx, lower, len(total))
-        back.append(np.maximum(left, 1e-12) / np.maximum(left_lower, 1e-12))
-    return {**model, "keep": keep, "log_prob": [np.log10(p) for p in prob], "log_back": [np.log10(b) for b in back]}
-
-
-# ------------------------------------------------------------ blocks and buckets
-
-class Grams:
-    """Word sequences of a block. Of level d (d + 1 words): ``keys[d]``, the
-    distinct hashes, sorted; ``at[d]``, per token the index of the sequence that
-    ends there, or -1; ``pos[d]``, a token where each ends; ``n[d]``, the
-    occurrences in training rows."""
-
-    def __init__(self, block: pa.Table, depth: int):
-        self.rows, code, dictionary = tokens(block.column("text").combine_chunks())
-        word = np.append(word_hashes(dictionary), _END)[code]
-        train = ~block.column("held").to_numpy()[self.rows]
-        same = np.zeros(len(word), dtype=bool)
-        same[1:] = self.rows[1:] == self.rows[:-1]
-        h, ok = mix(word), np.ones(len(word), dtype=bool)
-        self.keys, self.at, self.pos, self.n = [], [], [], []
-        for d in range(depth + 1):
-            if d:
-                h = np.concatenate([word[:1], mix(h[:-1] * _STEP + word[1:])])
-                ok = same & np.concatenate([ok[:1], ok[:-1]])
-            where = np.flatnonzero(ok)
-            keys, index = np.unique((h[where] & ~_LEVEL) | np.uint64(d), return_inverse=True)
-            at = np.full(len(word), -1, dtype=np.int32)
-            at[where] = index
-            pos = np.zeros(len(keys), dtype=np.int64)
-            pos[index] = where
-            self.keys.append(keys)
-            self.at.append(at)
-            self.pos.append(pos)
-            self.n.append(np.bincount(index[train[where]], minlength=len(keys)))
-
-    def contexts(self, d: int) -> np.ndarray:
-        """Per sequence of level d its context, an index of level d - 1."""
-        return self.at[d - 1][self.pos[d] - 1]
-
-    def suffixes(self, d: int) -> np.ndarray:
-        """Per sequence of level d the one without its oldest word."""
-        return self.at[d - 1][self.pos[d]]
-
-
-def _deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by key, the buckets with keys, where each starts and the end);
-    a bucket is a range of keys."""
-    order = np.argsort(keys, kind="stable")
-    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    names, start = np.unique(bucket, return_index=True)
-    return order, names, np.append(start, len(keys))
-
+# ------------------------------------------------------------------- packing
 
 def _pack(values: np.ndarray) -> bytes:
     """Compressed bytes of an array of 8-byte numbers: all their first bytes,
@@ -191,271 +78,329 @@ def _pack(values: np.ndarray) -> bytes:
     return planes.size.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def _unpack(blob: bytes, dtype) -> np.ndarray:
+def _unpack(blob: bytes, dtype=np.int64) -> np.ndarray:
     size = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size), dtype=np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def _blobs(values: np.ndarray, cuts: np.ndarray, columns: bool = False) -> pa.Array:
-    """A packed array per bucket or block; of the matrix ``values`` if ``columns``."""
-    parts = [values[..., a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.array([_pack(np.ascontiguousarray(x).reshape(-1) if columns else x) for x in parts], pa.binary())
+def _cut(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The packed runs of an array (or of the columns of a matrix)."""
+    return [_pack(np.ascontiguousarray(values[..., a:b]).reshape(-1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _keys(keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Packed sorted keys of each bucket, as steps from one to the next."""
-    return pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+def _cut_keys(keys: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Packed runs of sorted keys, as steps from one to the next."""
+    return [_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def _collect(table: pa.Table, column: str, dtype, width: int, order: np.ndarray) -> np.ndarray:
-    """Answers of all buckets, put back into the block's order."""
-    table = table.sort_by("bucket")
-    parts = [_unpack(x, dtype).reshape(width, -1) for x in table.column(column).to_pylist()]
-    out = np.zeros((width, len(order)), dtype=dtype)
-    if parts:
-        out[:, order] = np.concatenate(parts, axis=1)
-    return out
-
+#: Kinds of mail. To buckets: sequences with their counts, contexts with the
+#: sums of their test. To blocks: the counts of each token, which a block keeps
+#: for itself, and the answers of the buckets.
+GRAMS, CONTEXTS, KEPT, COUNTED, JUDGED = range(5)
+_MAIL = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("blk", pa.int64()), ("bucket", pa.int64()),
+                   ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+MAIL = "kind int, level int, blk long, bucket long, keys binary, a binary, b binary, tokens long, types long"
 
-def _long(n: int, value: int) -> pa.Array:
-    return pa.array(np.full(n, value, dtype=np.int64))
 
+def _mail(kind: int, level: int, blk, bucket, a: list, keys: list | None = None, b: list | None = None,
+          tokens_=None, types=None) -> pa.Table:
+    n = len(a)
+    column = lambda v: pa.array(v if v is not None else [None] * n, pa.binary())
+    whole = lambda v: pa.array(np.broadcast_to(np.asarray(v, dtype=np.int64), n))
+    return pa.table([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.full(n, level, dtype=np.int32)), whole(blk), whole(bucket),
+                     column(keys), column(a), column(b), whole(0 if tokens_ is None else tokens_), whole(0 if types is None else types)],
+                    schema=_MAIL)
 
-COUNTS = "bucket long, blk long, keys binary, n binary"
-TOTALS = "bucket long, blk long, n binary, tokens long, types long"
 
-
-def _send_counts(block: pa.Table, depth: int, buckets: int) -> pa.Table:
-    g = Grams(block, depth)
-    keys, n = np.concatenate(g.keys), np.concatenate(g.n)
-    order, names, cuts = _deal(keys, buckets)
-    return pa.table({"bucket": pa.array(names), "blk": _long(len(names), block.column("blk")[0].as_py()),
-                     "keys": _keys(keys[order], cuts), "n": _blobs(n[order], cuts)})
-
-
-def _add_counts(table: pa.Table) -> pa.Table:
-    """Per block 2 * (corpus count) + (this block is the first to hold it) of
-    each key it sent, and the training tokens and words of the bucket."""
-    table = table.sort_by("blk")
-    sent = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
-    n = np.concatenate([_unpack(x, np.int64) for x in table.column("n").to_pylist()])
-    keys, index = np.unique(np.concatenate(sent), return_inverse=True)
-    first = np.zeros(len(keys), dtype=np.int64)
-    first[index[::-1]] = np.arange(len(index))[::-1]                # the last one written stays
-    total = np.bincount(index, n, len(keys)).astype(np.int64)
-    word = (keys & _LEVEL) == 0
-    answer = 2 * total[index]
-    answer[first] += 1
-    tokens_, types = np.zeros(len(sent), dtype=np.int64), np.zeros(len(sent), dtype=np.int64)
-    tokens_[0], types[0] = total[word].sum(), np.count_nonzero(total[word])
-    return pa.table({"bucket": table.column("bucket"), "blk": table.column("blk"),
-                     "n": _blobs(answer, np.cumsum([0, *map(len, sent)])), "tokens": pa.array(tokens_), "types": pa.array(types)})
-
-
-class Counted(Grams):
-    """``c[d]``: corpus counts; ``first[d]``: sequences no earlier block holds."""
-
-    def __init__(self, block: pa.Table, answers: pa.Table, depth: int, buckets: int):
-        super().__init__(block, depth)
-        value = _collect(answers, "n", np.int64, 1, _deal(np.concatenate(self.keys), buckets)[0])[0]
-        cuts = np.cumsum([len(k) for k in self.keys])[:-1]
-        self.c = np.split(value >> 1, cuts)
-        self.first = [x == 1 for x in np.split(value & 1, cuts)]
-
-    def open_contexts(self, d: int, least: int) -> np.ndarray:
-        """Entries of level d - 1 that are a context in this block and counted."""
-        used = np.zeros(len(self.keys[d - 1]), dtype=bool)
-        used[self.contexts(d)] = True
-        return np.flatnonzero(used & (self.c[d - 1] >= least))
-
-
-#: Columns of a context's sums: continuations, their counts, the counts of the
-#: continuations in the parent, divergence in bits of the counted continuations.
-SUMS = 4
-CONTEXTS = "level int, bucket long, blk long, keys binary, sums binary, parents binary"
-STATES = "level int, bucket long, blk long, sums binary, marks binary"
-
-
-def _send_contexts(block: pa.Table, answers: pa.Table, depth: int, buckets: int, least: int, n_train: int, vocabulary: int) -> pa.Table:
-    """Per context of the block the sums over the continuations this block is
-    the first to hold, its count and its parent's, and its parent."""
-    g, out = Counted(block, answers, depth, buckets), []
-    for d in range(1, depth + 1):
-        ctx, suffix = g.contexts(d), g.suffixes(d)
-        use = np.flatnonzero(g.first[d] & (g.c[d] >= least))
-        at, c, lower, total = ctx[use], g.c[d][use], g.c[d - 1][suffix[use]], g.c[d - 1]
+def _deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets with keys, where each starts and the end) of sorted keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    names, start = np.unique(bucket, return_index=True)
+    return names, np.append(start, len(keys))
+
+
+# -------------------------------------------------------------------- blocks
+
+CODED = "blk long, doc_id array<long>, held array<boolean>, size binary, code binary, word binary"
+_CODED = pa.schema([("blk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                    ("size", pa.binary()), ("code", pa.binary()), ("word", pa.binary())])
+
+
+def _code_block(block: pa.Table) -> pa.Table:
+    """A block as one row: its documents, tokens and the hashes of its words."""
+    rows, code, dictionary = tokens(block.column("text").combine_chunks())
+    return pa.table([[block.column("blk")[0].as_py()], [block.column("doc_id").to_pylist()], [block.column("held").to_pylist()],
+                     [_pack(np.bincount(rows, minlength=block.num_rows))], [_pack(code)],
+                     [_pack(np.append(word_hashes(dictionary), _END))]], schema=_CODED)
+
+
+class Block:
+    """The tokens of a block: ``code`` and ``hash`` of the word, ``place`` in the
+    document; ``count[d]``: training occurrences of the sequence of d + 1 words
+    that ends at each token (from d = 1 on 0 if not counted)."""
+
+    def __init__(self, coded: pa.Table, mail: pa.Table, least: int):
+        self.least = least
+        self.blk = coded.column("blk")[0].as_py()
+        self.docs, self.held = coded.column("doc_id")[0].as_py(), np.array(coded.column("held")[0].as_py(), dtype=bool)
+        size = _unpack(coded.column("size")[0].as_py())
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
+        self.code, self.word = _unpack(coded.column("code")[0].as_py()), _unpack(coded.column("word")[0].as_py(), np.uint64)
+        self.hash = self.word[self.code]
+        self.train = ~self.held[self.row]
+        self.mail = mail
+        self.count = {r["level"]: _unpack(r["a"]) for r in self._of(KEPT).select(["level", "a"]).to_pylist()}
+
+    def _of(self, kind: int, level: int | None = None) -> pa.Table:
+        keep = pc.equal(self.mail.column("kind"), kind)
+        if level is not None:
+            keep = pc.and_(keep, pc.equal(self.mail.column("level"), level))
+        return self.mail.filter(keep)
+
+    def answer(self, kind: int, level: int, dtype=np.int64) -> np.ndarray:
+        """The buckets' answers, in the order of the sorted keys."""
+        parts = [_unpack(x, dtype) for x in self._of(kind, level).sort_by("bucket").column("a").to_pylist()]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+    def sequences(self, d: int) -> np.ndarray:
+        """Hash of the sequence of d + 1 words that ends at each token with
+        so many words before it."""
+        h = mix(self.hash)
+        for _ in range(d):
+            h = np.concatenate([self.hash[:1], mix(h[:-1] * _STEP + self.hash[1:])])
+        return h
+
+    def candidates(self, d: int) -> np.ndarray:
+        """Tokens that end a sequence of d + 1 words worth counting: both its
+        parts are counted, and the shorter context has other continuations."""
+        part, ok = self.count[d - 1], self.place >= d
+        ok[1:] &= (part[:-1] >= self.least) & (part[1:] >= self.least)
+        if d > 1:
+            ok[1:] &= part[1:] < self.count[d - 2][:-1]
+        return np.flatnonzero(ok)
+
+    def in_context(self, d: int) -> np.ndarray:
+        """Tokens after a counted context of d words that may be a state."""
+        part, ok = self.count[d - 1], self.place >= d
+        ok[1:] &= part[:-1] >= self.least
+        if d > 1:
+            ok[1:] &= part[1:] != self.count[d - 2][:-1]
+        return np.flatnonzero(ok)
+
+    def grams(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, their sequences' index, sorted distinct hashes) of level d."""
+        if d == 0:
+            keys, index = np.unique(mix(self.word), return_inverse=True)
+            return np.arange(len(self.code)), index[self.code], keys
+        at = self.candidates(d)
+        keys, index = np.unique(self.sequences(d)[at], return_inverse=True)
+        return at, index, keys
+
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, their contexts' index, sorted distinct hashes) of contexts
+        of d words."""
+        at = self.in_context(d)
         if d == 1:
-            own_parent = np.full(len(total), n_train + vocabulary + 1, dtype=np.int64)
-            parent_key = np.zeros(len(total), dtype=np.uint64)
-            q = (lower + 1) / own_parent[at]
-        else:
-            parent = g.suffixes(d - 1)
-            own_parent, parent_key = g.c[d - 2][parent], g.keys[d - 2][parent]
-            q = lower / own_parent[at]
-        p, size = c / total[at], len(total)
-        sums = np.stack([np.bincount(at, minlength=size).astype(float), np.bincount(at, c, size), np.bincount(at, lower + (d == 1), size),
-                         np.bincount(at, p * np.log2(p / q), size), total, own_parent])
-        entry = g.open_contexts(d, least)
-        order, names, cuts = _deal(g.keys[d - 1][entry], buckets)
-        entry = entry[order]
-        known = ~g.first[d - 1]                                     # its first block sends a context's own numbers
-        sums[SUMS:, known], parent_key[known] = 0, 0
-        out.append(pa.table({
-            "level": pa.array(np.full(len(names), d, dtype=np.int32)), "bucket": pa.array(names),
-            "blk": _long(len(names), block.column("blk")[0].as_py()), "keys": _keys(g.keys[d - 1][entry], cuts),
-            "sums": _blobs(sums[:, entry], cuts, columns=True), "parents": _blobs(parent_key[entry], cuts) if d > 1 else pa.nulls(len(names), pa.binary())}))
+            own, index = np.unique(self.code[at - 1], return_inverse=True)
+            keys = mix(self.word)[own]
+            order = np.argsort(keys)
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.arange(len(order))
+            return at, back[index], keys[order]
+        keys, index = np.unique(self.sequences(d - 1)[at - 1], return_inverse=True)
+        return at, index, keys
+
+    def send_grams(self, d: int, buckets: int) -> pa.Table:
+        at, index, keys = self.grams(d)
+        n = np.bincount(index[self.train[at]], minlength=len(keys))
+        names, cuts = _deal(keys, buckets)
+        return _mail(GRAMS, d, self.blk, names, _cut(n, cuts), _cut_keys(keys, cuts))
+
+    def take_counts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fill ``count[d]`` from the answers; returns a token of each sequence
+        that no earlier block holds, and is counted."""
+        at, index, keys = self.grams(d)
+        answer = self.answer(COUNTED, d)
+        total = answer >> 1
+        if d:
+            total[total < self.least] = 0
+        count = np.zeros(len(self.code), dtype=np.int64)
+        count[at] = total[index]
+        if d > 1:                           # after a context always followed by this word: as often as the context
+            part = self.count[d - 1]
+            sure = np.flatnonzero((self.place[1:] >= d) & (part[:-1] >= self.least) & (part[1:] >= self.least)
+                                  & (part[1:] == self.count[d - 2][:-1]))
+            count[sure + 1] = part[sure]
+        self.count[d] = count
+        token = np.zeros(len(keys), dtype=np.int64)
+        token[index] = at
+        return token[(answer & 1 == 1) & (total >= self.least)]
+
+    def send_contexts(self, d: int, new: np.ndarray, n_train: int, vocabulary: int, buckets: int) -> pa.Table:
+        """Per context of the block its count, and over the continuations
+        this block is the first to hold: their number, counts, shares in the
+        parent and divergence in bits."""
+        at, index, keys = self.contexts(d)
+        where = np.zeros(len(self.code), dtype=np.int64)
+        where[at] = index
+        n = np.zeros(len(keys), dtype=np.int64)
+        n[index] = self.count[d - 1][at - 1]
+        ctx, c, short = where[new], self.count[d][new], self.count[d - 1][new]
+        q = (short + 1) / (n_train + vocabulary + 1) if d == 1 else short / self.count[d - 2][new - 1]
+        p = c / n[ctx]
+        sums = np.stack([np.bincount(ctx, x, len(keys)) for x in (np.ones(len(new)), c, q, p * np.log2(p / q))])
+        names, cuts = _deal(keys, buckets)
+        return _mail(CONTEXTS, d, self.blk, names, _cut(sums, cuts), _cut_keys(keys, cuts), _cut(n, cuts))
+
+    def scores(self, depth: int, n_train: int, vocabulary: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token in the root and in the tree."""
+        p = (self.count[0] + 1) / (n_train + vocabulary + 1)
+        base = np.log10(p)
+        for d in range(1, depth + 1):                               # from the root to the longest suffix state
+            if d not in self.count:
+                break
+            at, index, _ = self.contexts(d)
+            left = self.answer(JUDGED, d, np.float64)[index]
+            at, left = at[left > 0], left[left > 0]
+            c = self.count[d][at]
+            p[at] = np.where(c >= self.least, c - discount, 0) / self.count[d - 1][at - 1] + left * p[at]
+        return base, np.log10(p)
+
+
+def _start(coded: pa.Table, buckets: int, least: int) -> pa.Table:
+    return Block(coded, _MAIL.empty_table(), least).send_grams(0, buckets)
+
+
+def _round(coded: pa.Table, mail: pa.Table, d: int, depth: int, n_train: int, vocabulary: int, buckets: int, least: int) -> pa.Table:
+    """A block takes the counts of level d, sends the contexts of d words and
+    the sequences of the next level."""
+    if coded.num_rows == 0:
+        return _MAIL.empty_table()
+    block = Block(coded, mail, least)
+    new = block.take_counts(d)
+    out = [_mail(KEPT, d, block.blk, -1, [_pack(block.count[d])])]
+    if d:
+        out.append(block.send_contexts(d, new, n_train, vocabulary, buckets))
+    if d < depth:
+        out.append(block.send_grams(d + 1, buckets))
     return pa.concat_tables(out)
 
 
-def _add_contexts(table: pa.Table, min_bits: float, buckets: int) -> pa.Table:
-    """Per block (continuations, their counts, their counts in the parent,
-    state or not) of each context it sent; and, dealt by their own bucket
-    (blk -1), the parents of the states."""
-    marks = [_unpack_keys(x) for x, b in zip(
-        table.column("keys").to_pylist(), table.column("blk").to_pylist(), strict=True) if b < 0]
-    table = table.filter(pc.greater_equal(table.column("blk"), 0)).sort_by("blk")
-    if table.num_rows == 0:
-        return _STATES.empty_table()
-    level = table.column("level")[0].as_py()
+# ------------------------------------------------------------------- buckets
+
+def _sum_bucket(table: pa.Table, min_bits: float, discount: float) -> pa.Table:
+    kind, level = table.column("kind")[0].as_py(), table.column("level")[0].as_py()
+    table = table.sort_by("blk")
     sent = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
     cuts = np.cumsum([0, *map(len, sent)])
     keys, index = np.unique(np.concatenate(sent), return_inverse=True)
-    parts = np.concatenate([_unpack(x, np.float64).reshape(SUMS + 2, -1) for x in table.column("sums").to_pylist()], axis=1)
-    m, own, lower, bits, total, parent = (np.bincount(index, x, len(keys)) for x in parts)
-    rest_p = np.clip(1 - own / np.maximum(total, 1), 0, 1)
-    rest_q = np.clip(1 - lower / np.maximum(parent, 1), 1e-12, 1)
-    bits += np.where(rest_p > 0, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
-    keep = (m > 0) & (bits >= min_bits)
-    if marks:
-        keep |= np.isin(keys, np.concatenate(marks))
-    state = np.stack([m, own, lower, keep])[:, index]
-    out = pa.table([
-        pa.array(np.full(len(sent), level, dtype=np.int32)), table.column("bucket"), table.column("blk"),
-        _blobs(state, cuts, columns=True),
-        pa.nulls(len(sent), pa.binary())], schema=_STATES)
-    if level == 1:
-        return out
-    up = np.concatenate([_unpack(x, np.uint64) for x in table.column("parents").to_pylist()])
-    up = np.unique(up[keep[index] & (up > 0)])
-    order, names, cuts = _deal(up, buckets)
-    return pa.concat_tables([out, pa.table([
-        pa.array(np.full(len(names), level, dtype=np.int32)), pa.array(names), _long(len(names), -1),
-        pa.nulls(len(names), pa.binary()), _keys(up[order], cuts)], schema=_STATES)])
-
-
-_STATES = pa.schema([("level", pa.int32()), ("bucket", pa.int64()), ("blk", pa.int64()), ("sums", pa.binary()), ("marks", pa.binary())])
-
-
-def states(contexts: DataFrame, depth: int, min_bits: float, buckets: int) -> DataFrame:
-    """The buckets' answers of all levels, deepest first: a state's suffixes
-    are states, so each level hands the parents of its states to the next."""
-    add = partial(_add_contexts, min_bits=min_bits, buckets=buckets)
-    answers, marks = [], None
-    for d in range(depth, 0, -1):
-        sent = contexts.filter(F.col("level") == d)
-        if marks is not None:
-            sent = sent.unionByName(marks)
-        done = _written(sent.groupBy("bucket").applyInArrow(lambda t: add(t), STATES), f"states-{d}")
-        answers.append(done.filter("blk >= 0"))
-        none = F.lit(None).cast("binary")
-        marks = done.filter("blk < 0").select(F.lit(d - 1).alias("level"), "bucket", "blk", F.col("marks").alias("keys"),
-                                              none.alias("sums"), none.alias("parents"))
-    out = answers[0]
-    for a in answers[1:]:
-        out = out.unionByName(a)
-    return out
-
-
-# -------------------------------------------------------------------- scoring
-
-_RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _score_block(block: pa.Table, answers: pa.Table, depth: int, buckets: int, least: int, n_train: int, vocabulary: int,
-                 discount: float = DISCOUNT) -> pa.Table:
-    n = block.num_rows
-    if n == 0:
-        return _RESULT.empty_table()
-    g = Counted(block, answers.filter(pc.equal(answers.column("level"), 0)), depth, buckets)
-    count = g.c[0][g.at[0]]
-    base = np.log10((count + 1) / (n_train + vocabulary + 1))
-    score = base.copy()
-    for d in range(1, depth + 1):                                   # from the root to the longest suffix state
-        entry, size = g.open_contexts(d, least), len(g.keys[d - 1])
-        order = _deal(g.keys[d - 1][entry], buckets)[0]
-        m, own, lower, keep = _collect(answers.filter(pc.equal(answers.column("level"), d)), "sums", np.float64, 4, order)
-        parent = n_train + vocabulary + 1 if d == 1 else g.c[d - 2][g.suffixes(d - 1)[entry]]
-        left = 1 - (own - discount * m) / g.c[d - 1][entry]
-        left_lower = 1 - (lower if d == 1 else lower - discount * m) / np.maximum(parent, 1)
-        back, state = np.zeros(size), np.zeros(size, dtype=bool)
-        back[entry] = np.log10(np.maximum(left, 1e-12) / np.maximum(left_lower, 1e-12))
-        state[entry] = keep == 1
-        token = np.flatnonzero(g.at[d] >= 0)
-        ctx, c = g.at[d - 1][token - 1], g.c[d][g.at[d][token]]
-        inside = state[ctx]
-        token, ctx, c = token[inside], ctx[inside], c[inside]
-        direct = np.log10(np.maximum(c - discount, discount) / g.c[d - 1][ctx])
-        score[token] = np.where(c >= least, direct, back[ctx] + score[token])
-    total = np.bincount(g.rows, minlength=n)
-    return pa.table([
-        block.column("doc_id"), block.column("held"), pa.array(total), pa.array(np.bincount(g.rows, count > 0, n).astype(np.int64)),
-        pa.array(np.full(n, n_train, dtype=np.int64)), pa.array(np.bincount(g.rows, base, n)),
-        pa.array(np.bincount(g.rows, score, n))], schema=_RESULT)
+    blk, bucket = table.column("blk").to_numpy(), table.column("bucket").to_numpy()
+    if kind == GRAMS:
+        total = np.bincount(index, np.concatenate([_unpack(x) for x in table.column("a").to_pylist()]), len(keys)).astype(np.int64)
+        first = np.zeros(len(keys), dtype=np.int64)
+        first[index[::-1]] = np.arange(len(index))[::-1]            # the last one written stays
+        answer = 2 * total[index]
+        answer[first] += 1
+        tokens_, types = np.zeros(len(sent), dtype=np.int64), np.zeros(len(sent), dtype=np.int64)
+        if level == 0:
+            tokens_[0], types[0] = total.sum(), np.count_nonzero(total)
+        return _mail(COUNTED, level, blk, bucket, _cut(answer, cuts), tokens_=tokens_, types=types)
+    parts = np.concatenate([_unpack(x, np.float64).reshape(4, -1) for x in table.column("a").to_pylist()], axis=1)
+    m, own, q, bits = (np.bincount(index, x, len(keys)) for x in parts)
+    n = np.zeros(len(keys))
+    n[index] = np.concatenate([_unpack(x) for x in table.column("b").to_pylist()])
+    rest_p, rest_q = np.clip(1 - own / n, 0, 1), np.clip(1 - q, 1e-12, 1)
+    bits += np.where(rest_p > 1e-15, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
+    left = np.where((m > 0) & (bits >= min_bits), 1 - (own - discount * m) / n, 0.0)
+    return _mail(JUDGED, level, blk, bucket, _cut(left[index], cuts))
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` materialised; its shuffle files, which nobody reads again, go at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN, None)
-    conf.set(_CLEAN, "true")
-    try:
-        return materialise(df, name)
-    finally:
-        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+class _Post:
+    """Mail written by kind in the shared folder, read again by kind."""
 
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)
+        conf = self.spark.conf
+        before = conf.get(_CLEAN, None)
+        conf.set(_CLEAN, "true")            # shuffle files that nobody reads again go at once
+        try:
+            df.write.partitionBy("kind").parquet(self.path)
+        finally:
+            conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
 
-def _drop(df: DataFrame) -> None:
-    """Delete the files of a table of ``materialise`` that nobody reads again."""
-    files = df.inputFiles()
-    if files:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    def of(self, *kinds: int) -> DataFrame:
+        return self.spark.read.schema(MAIL).parquet(self.path).filter(F.col("kind").isin(*kinds)).select(_MAIL.names)
+
+    def drop(self, *kinds: int) -> None:
+        for kind in kinds:
+            remove_path(self.spark, f"{self.path}/kind={kind}")
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bits: float = MIN_BITS,
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, discount: float = DISCOUNT) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text, boolean held); learns
     from the rows not held."""
-    assert 1 <= depth <= int(_LEVEL)
+    assert depth >= 0 and least >= 2
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(shuffle_width(docs.sparkSession), size // block_bytes + 1)
-    buckets = BUCKETS * blocks
+    blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
     src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    send = partial(_send_counts, depth=depth, buckets=buckets)
-    sent = src.groupBy("blk").applyInArrow(lambda t: send(t), COUNTS)
-    totals = _written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t), TOTALS), "sequence-counts")
-    n_train, vocabulary = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    ask = partial(_send_contexts, depth=depth, buckets=buckets, least=least, n_train=n_train, vocabulary=vocabulary)
-    contexts = _written(src.groupBy("blk").cogroup(totals.select("blk", "bucket", "n").groupBy("blk")).applyInArrow(
-        lambda t, a: ask(t, a), CONTEXTS), "contexts")
-    found = states(contexts, depth, min_bits, buckets)
-    _drop(contexts)
-    answers = totals.select("blk", F.lit(0).alias("level"), "bucket", "n", F.lit(None).cast("binary").alias("sums")) \
-        .unionByName(found.select("blk", "level", "bucket", F.lit(None).cast("binary").alias("n"), "sums"))
-    score = partial(_score_block, depth=depth, buckets=buckets, least=least, n_train=n_train, vocabulary=vocabulary)
-    return src.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda t, a: score(t, a), RESULT)
+    coded = materialise(src.groupBy("blk").applyInArrow(_code_block, CODED), "coded-blocks")
+
+    def answers(sent: _Post, name: str) -> _Post:
+        add = partial(_sum_bucket, min_bits=min_bits, discount=discount)
+        out = _Post(sent.of(GRAMS, CONTEXTS).groupBy("kind", "bucket").applyInArrow(lambda t: add(t), MAIL), name)
+        sent.drop(GRAMS, CONTEXTS)
+        return out
+
+    start = partial(_start, buckets=buckets, least=least)
+    got = answers(_Post(coded.groupBy("blk").applyInArrow(lambda t: start(t), MAIL), "sent"), "answers")
+    n_train, vocabulary = got.of(COUNTED).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    rounds: list[_Post] = []                # each holds the counts of its level
+    judged: list[_Post] = []
+    for d in range(depth + 1):
+        step = partial(_round, d=d, depth=depth, n_train=n_train, vocabulary=vocabulary, buckets=buckets, least=least)
+        inbox = got.of(COUNTED)
+        for back in rounds[-2:]:
+            inbox = inbox.unionByName(back.of(KEPT))
+        sent = _Post(coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: step(t, m), MAIL), f"sent-{d}")
+        got.drop(COUNTED)
+        rounds.append(sent)
+        got = answers(sent, f"answers-{d}")
+        judged.append(got)
+        if d < depth and got.of(COUNTED).isEmpty():                 # no sequence is left
+            break
+    inbox = got.of(JUDGED)
+    for post, kind in [*((r, KEPT) for r in rounds), *((j, JUDGED) for j in judged[:-1])]:
+        inbox = inbox.unionByName(post.of(kind))
+    score = partial(_score_block, depth=depth, n_train=n_train, vocabulary=vocabulary, least=least, discount=discount)
+    return coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: score(t, m), RESULT)
+
+
+_RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_block(coded: pa.Table, mail: pa.Table, depth: int, n_train: int, vocabulary: int, least: int, discount: float) -> pa.Table:
+    if coded.num_rows == 0:
+        return _RESULT.empty_table()
+    block = Block(coded, mail, least)
+    base, score = block.scores(depth, n_train, vocabulary, discount)
+    n = len(block.docs)
+    return pa.table([
+        pa.array(block.docs, pa.int64()), pa.array(block.held), pa.array(np.bincount(block.row, minlength=n)),
+        pa.array(np.bincount(block.row, block.count[0] > 0, n).astype(np.int64)), pa.array(np.full(n, n_train, dtype=np.int64)),
+        pa.array(np.bincount(block.row, base, n)), pa.array(np.bincount(block.row, score, n))], schema=_RESULT)
 
 
 def op1_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
