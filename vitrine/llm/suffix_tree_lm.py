@@ -23,8 +23,9 @@ counts to buckets (ranges of the hash), and the sums of the divergence test of
 each context one level up. A bucket adds up and answers each block in the block's
 own order, so answers are bare arrays. Blocks and buckets depend on the bytes of
 the corpus alone, not on the shuffle width; messages are packed, so there are at
-most (blocks x buckets of a round) of them and never more than sequences. A
-round's tables are deleted once the next one is written. Two sequences whose
+most (blocks x buckets) of them a round and never more than sequences. The blocks
+are a bucketed table, which a round joins its mail to without a shuffle; answers
+are deleted once they are used. Two sequences whose
 hashes collide would be counted as one (about n^2 / 2^63 pairs among n).
 
 Defined cases: null or empty text is the end token alone; the end token is a
@@ -36,20 +37,23 @@ empty result. Only doc_id, text (and held) are read.
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_crc, materialise, shared_path, words
+from vitrine.llm.common import id_crc, shared_path, shuffle_width, words
 from vitrine.llm.linear import mix, word_hashes
 from vitrine.session import remove_path
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20   # of text a bucket
+BLOCKS_A_TASK = 4
 LEAST = 2
 MIN_BITS = 0.01
 DEPTH = 5                 # words of the longest context: the order of the model
@@ -99,8 +103,8 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
 
 
 #: Kinds of mail. To buckets: sequences with their counts, contexts with the
-#: sums of their test. To blocks: the counts of each token, which a block keeps
-#: for itself, and the answers of the buckets.
+#: sums of their test. To blocks: the counts of each token (level 0: of each
+#: word), which a block keeps for itself, and the answers of the buckets.
 GRAMS, CONTEXTS, KEPT, COUNTED, JUDGED = range(5)
 _MAIL = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("blk", pa.int64()), ("bucket", pa.int64()),
                    ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
@@ -117,6 +121,15 @@ def _mail(kind: int, level: int, blk, bucket, a: list, keys: list | None = None,
                     schema=_MAIL)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, the index of each)."""
+    code, own = pd.factorize(h)
+    order = np.argsort(own)
+    rank = np.empty(len(own), dtype=np.int64)
+    rank[order] = np.arange(len(own))
+    return own[order], rank[code]
+
+
 def _deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets with keys, where each starts and the end) of sorted keys."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -156,6 +169,8 @@ class Block:
         self.train = ~self.held[self.row]
         self.mail = mail
         self.count = {r["level"]: _unpack(r["a"]) for r in self._of(KEPT).select(["level", "a"]).to_pylist()}
+        if 0 in self.count:                 # kept per word
+            self.count[0] = self.count[0][self.code]
 
     def _of(self, kind: int, level: int | None = None) -> pa.Table:
         keep = pc.equal(self.mail.column("kind"), kind)
@@ -186,9 +201,11 @@ class Block:
         return np.flatnonzero(ok)
 
     def in_context(self, d: int) -> np.ndarray:
-        """Tokens after a counted context of d words that may be a state."""
+        """Tokens after a counted context of d words that may be a state: some
+        continuation may be counted, and the shorter context has others."""
         part, ok = self.count[d - 1], self.place >= d
         ok[1:] &= part[:-1] >= self.least
+        ok[1:] &= (self.count[d][1:] >= self.least) | (part[:-1] > self.least) | ~self.train[1:]
         if d > 1:
             ok[1:] &= part[1:] != self.count[d - 2][:-1]
         return np.flatnonzero(ok)
@@ -196,24 +213,17 @@ class Block:
     def grams(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, their sequences' index, sorted distinct hashes) of level d."""
         if d == 0:
-            keys, index = np.unique(mix(self.word), return_inverse=True)
+            keys, index = _distinct(mix(self.word))
             return np.arange(len(self.code)), index[self.code], keys
         at = self.candidates(d)
-        keys, index = np.unique(self.sequences(d)[at], return_inverse=True)
+        keys, index = _distinct(self.sequences(d)[at])
         return at, index, keys
 
     def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, their contexts' index, sorted distinct hashes) of contexts
         of d words."""
         at = self.in_context(d)
-        if d == 1:
-            own, index = np.unique(self.code[at - 1], return_inverse=True)
-            keys = mix(self.word)[own]
-            order = np.argsort(keys)
-            back = np.empty(len(order), dtype=np.int64)
-            back[order] = np.arange(len(order))
-            return at, back[index], keys[order]
-        keys, index = np.unique(self.sequences(d - 1)[at - 1], return_inverse=True)
+        keys, index = _distinct(self.sequences(d - 1)[at - 1])
         return at, index, keys
 
     def send_grams(self, d: int, buckets: int) -> pa.Table:
@@ -284,7 +294,11 @@ def _round(coded: pa.Table, mail: pa.Table, d: int, depth: int, n_train: int, vo
         return _MAIL.empty_table()
     block = Block(coded, mail, least)
     new = block.take_counts(d)
-    out = [_mail(KEPT, d, block.blk, -1, [_pack(block.count[d])])]
+    kept = block.count[d]
+    if d == 0:                              # a count per word says it all
+        kept = np.zeros(len(block.word), dtype=np.int64)
+        kept[block.code] = block.count[0]
+    out = [_mail(KEPT, d, block.blk, block.blk, [_pack(kept)])]
     if d:
         out.append(block.send_contexts(d, new, n_train, vocabulary, buckets))
     if d < depth:
@@ -296,10 +310,12 @@ def _round(coded: pa.Table, mail: pa.Table, d: int, depth: int, n_train: int, vo
 
 def _sum_bucket(table: pa.Table, min_bits: float, discount: float) -> pa.Table:
     kind, level = table.column("kind")[0].as_py(), table.column("level")[0].as_py()
+    if kind == KEPT:                        # what a block keeps passes through
+        return table
     table = table.sort_by("blk")
     sent = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
     cuts = np.cumsum([0, *map(len, sent)])
-    keys, index = np.unique(np.concatenate(sent), return_inverse=True)
+    keys, index = _distinct(np.concatenate(sent))
     blk, bucket = table.column("blk").to_numpy(), table.column("bucket").to_numpy()
     if kind == GRAMS:
         total = np.bincount(index, np.concatenate([_unpack(x) for x in table.column("a").to_pylist()]), len(keys)).astype(np.int64)
@@ -325,10 +341,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class _Post:
-    """Mail written by kind in the shared folder, read again by kind."""
+    """The buckets' answers to mail, written by kind in the shared folder."""
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)
+    def __init__(self, mail: DataFrame, name: str, min_bits: float, discount: float):
+        self.spark, self.path = mail.sparkSession, shared_path(mail.sparkSession, name)
+        add = partial(_sum_bucket, min_bits=min_bits, discount=discount)
+        df = mail.groupBy("kind", "bucket").applyInArrow(lambda t: add(t), MAIL)
         conf = self.spark.conf
         before = conf.get(_CLEAN, None)
         conf.set(_CLEAN, "true")            # shuffle files that nobody reads again go at once
@@ -337,12 +355,20 @@ class _Post:
         finally:
             conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
 
-    def of(self, *kinds: int) -> DataFrame:
-        return self.spark.read.schema(MAIL).parquet(self.path).filter(F.col("kind").isin(*kinds)).select(_MAIL.names)
+    def of(self, kind: int) -> DataFrame:
+        return self.spark.read.schema(MAIL).parquet(self.path).filter(F.col("kind") == kind).select(_MAIL.names)
+
+    def drop(self, kind: int) -> None:
+        remove_path(self.spark, f"{self.path}/kind={kind}")
 
-    def drop(self, *kinds: int) -> None:
-        for kind in kinds:
-            remove_path(self.spark, f"{self.path}/kind={kind}")
+
+def _bucketed(df: DataFrame, blocks: int) -> tuple[DataFrame, str]:
+    """The blocks as a table bucketed by block: the rounds join their mail to
+    it without moving it again. Returns it with its name in the catalog."""
+    spark, name = df.sparkSession, f"coded_blocks_{uuid.uuid4().hex}"
+    n = max(shuffle_width(spark), blocks // BLOCKS_A_TASK + 1)
+    df.repartition(n, "blk").write.option("path", shared_path(spark, "coded-blocks")).bucketBy(n, "blk").saveAsTable(name)
+    return spark.table(name), name
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bits: float = MIN_BITS,
@@ -354,36 +380,28 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bit
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
     src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    coded = materialise(src.groupBy("blk").applyInArrow(_code_block, CODED), "coded-blocks")
-
-    def answers(sent: _Post, name: str) -> _Post:
-        add = partial(_sum_bucket, min_bits=min_bits, discount=discount)
-        out = _Post(sent.of(GRAMS, CONTEXTS).groupBy("kind", "bucket").applyInArrow(lambda t: add(t), MAIL), name)
-        sent.drop(GRAMS, CONTEXTS)
-        return out
-
+    coded, table = _bucketed(src.groupBy("blk").applyInArrow(_code_block, CODED), blocks)
+    post = partial(_Post, min_bits=min_bits, discount=discount)
     start = partial(_start, buckets=buckets, least=least)
-    got = answers(_Post(coded.groupBy("blk").applyInArrow(lambda t: start(t), MAIL), "sent"), "answers")
-    n_train, vocabulary = got.of(COUNTED).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    rounds: list[_Post] = []                # each holds the counts of its level
-    judged: list[_Post] = []
+    got = [post(coded.groupBy("blk").applyInArrow(lambda t: start(t), MAIL), "words")]
+    n_train, vocabulary = got[0].of(COUNTED).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     for d in range(depth + 1):
         step = partial(_round, d=d, depth=depth, n_train=n_train, vocabulary=vocabulary, buckets=buckets, least=least)
-        inbox = got.of(COUNTED)
-        for back in rounds[-2:]:
+        inbox = got[-1].of(COUNTED)
+        for back in got[-2:]:
             inbox = inbox.unionByName(back.of(KEPT))
-        sent = _Post(coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: step(t, m), MAIL), f"sent-{d}")
-        got.drop(COUNTED)
-        rounds.append(sent)
-        got = answers(sent, f"answers-{d}")
-        judged.append(got)
-        if d < depth and got.of(COUNTED).isEmpty():                 # no sequence is left
+        sent = coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: step(t, m), MAIL)
+        got.append(post(sent, f"round-{d}"))
+        got[-2].drop(COUNTED)
+        if d < depth and got[-1].of(COUNTED).isEmpty():             # no sequence is left
             break
-    inbox = got.of(JUDGED)
-    for post, kind in [*((r, KEPT) for r in rounds), *((j, JUDGED) for j in judged[:-1])]:
-        inbox = inbox.unionByName(post.of(kind))
+    inbox = got[-1].of(KEPT).unionByName(got[-1].of(JUDGED))
+    for back in got[1:-1]:
+        inbox = inbox.unionByName(back.of(KEPT)).unionByName(back.of(JUDGED))
     score = partial(_score_block, depth=depth, n_train=n_train, vocabulary=vocabulary, least=least, discount=discount)
-    return coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: score(t, m), RESULT)
+    out = coded.groupBy("blk").cogroup(inbox.groupBy("blk")).applyInArrow(lambda t, m: score(t, m), RESULT)
+    docs.sparkSession.sql(f"DROP TABLE {table}")                    # the name; the files stay for the result
+    return out
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
