@@ -38,6 +38,7 @@ empty result. Only doc_id, text (and held) are read.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -77,15 +78,24 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def _pack(values: np.ndarray) -> bytes:
     """Compressed bytes of an array of 8-byte numbers: all their first bytes,
-    then all their second bytes and so on."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
-    return planes.size.to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    then all their second bytes and so on; of whole numbers (none negative) only
+    the bytes in use."""
+    used = 8
+    if values.dtype == np.int64:
+        used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :used].T)
+    return used.to_bytes(1, "little") + len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
 def _unpack(blob: bytes, dtype=np.int64) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    used, n = blob[0], int.from_bytes(blob[1:9], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[9:], used * n), dtype=np.uint8).reshape(used, n)
+    if used == 8:
+        return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    out = planes[0].astype(np.int64)
+    for k in range(1, used):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
 
 
 def _cut(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
@@ -166,6 +176,7 @@ class Block:
         self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
         self.code, self.word = _unpack(coded.column("code")[0].as_py()), _unpack(coded.column("word")[0].as_py(), np.uint64)
         self.hash = self.word[self.code]
+        self.runs = [mix(self.word)[self.code]]
         self.train = ~self.held[self.row]
         self.mail = mail
         self.count = {r["level"]: _unpack(r["a"]) for r in self._of(KEPT).select(["level", "a"]).to_pylist()}
@@ -185,30 +196,29 @@ class Block:
 
     def sequences(self, d: int) -> np.ndarray:
         """Hash of the sequence of d + 1 words that ends at each token with
-        so many words before it."""
-        h = mix(self.hash)
-        for _ in range(d):
-            h = np.concatenate([self.hash[:1], mix(h[:-1] * _STEP + self.hash[1:])])
-        return h
+        so many words before it (longer ones from shorter ones)."""
+        while len(self.runs) <= d:
+            self.runs.append(np.concatenate([self.hash[:1], mix(self.runs[-1][:-1] * _STEP + self.hash[1:])]))
+        return self.runs[d]
 
     def candidates(self, d: int) -> np.ndarray:
         """Tokens that end a sequence of d + 1 words worth counting: both its
         parts are counted, and the shorter context has other continuations."""
-        part, ok = self.count[d - 1], self.place >= d
-        ok[1:] &= (part[:-1] >= self.least) & (part[1:] >= self.least)
+        part = self.count[d - 1]
+        ok = (self.place[1:] >= d) & (part[:-1] >= self.least) & (part[1:] >= self.least)
         if d > 1:
-            ok[1:] &= part[1:] < self.count[d - 2][:-1]
-        return np.flatnonzero(ok)
+            ok &= part[1:] < self.count[d - 2][:-1]
+        return np.flatnonzero(ok) + 1
 
     def in_context(self, d: int) -> np.ndarray:
         """Tokens after a counted context of d words that may be a state: some
         continuation may be counted, and the shorter context has others."""
-        part, ok = self.count[d - 1], self.place >= d
-        ok[1:] &= part[:-1] >= self.least
-        ok[1:] &= (self.count[d][1:] >= self.least) | (part[:-1] > self.least) | ~self.train[1:]
+        part = self.count[d - 1]
+        ok = (self.place[1:] >= d) & (part[:-1] >= self.least)
+        ok &= (self.count[d][1:] >= self.least) | (part[:-1] > self.least) | ~self.train[1:]
         if d > 1:
-            ok[1:] &= part[1:] != self.count[d - 2][:-1]
-        return np.flatnonzero(ok)
+            ok &= part[1:] != self.count[d - 2][:-1]
+        return np.flatnonzero(ok) + 1
 
     def grams(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, their sequences' index, sorted distinct hashes) of level d."""
@@ -340,6 +350,17 @@ def _sum_bucket(table: pa.Table, min_bits: float, discount: float) -> pa.Table:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _shuffles_cleared(spark):
+    """Shuffle files of the writes inside, which nobody reads again, go at once."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 class _Post:
     """The buckets' answers to mail, written by kind in the shared folder."""
 
@@ -347,13 +368,8 @@ class _Post:
         self.spark, self.path = mail.sparkSession, shared_path(mail.sparkSession, name)
         add = partial(_sum_bucket, min_bits=min_bits, discount=discount)
         df = mail.groupBy("kind", "bucket").applyInArrow(lambda t: add(t), MAIL)
-        conf = self.spark.conf
-        before = conf.get(_CLEAN, None)
-        conf.set(_CLEAN, "true")            # shuffle files that nobody reads again go at once
-        try:
+        with _shuffles_cleared(self.spark):
             df.write.partitionBy("kind").parquet(self.path)
-        finally:
-            conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
 
     def of(self, kind: int) -> DataFrame:
         return self.spark.read.schema(MAIL).parquet(self.path).filter(F.col("kind") == kind).select(_MAIL.names)
@@ -362,12 +378,14 @@ class _Post:
         remove_path(self.spark, f"{self.path}/kind={kind}")
 
 
-def _bucketed(df: DataFrame, blocks: int) -> tuple[DataFrame, str]:
+def _code_blocks(src: DataFrame, blocks: int) -> tuple[DataFrame, str]:
     """The blocks as a table bucketed by block: the rounds join their mail to
     it without moving it again. Returns it with its name in the catalog."""
-    spark, name = df.sparkSession, f"coded_blocks_{uuid.uuid4().hex}"
+    spark, name = src.sparkSession, f"coded_blocks_{uuid.uuid4().hex}"
     n = max(shuffle_width(spark), blocks // BLOCKS_A_TASK + 1)
-    df.repartition(n, "blk").write.option("path", shared_path(spark, "coded-blocks")).bucketBy(n, "blk").saveAsTable(name)
+    coded = src.repartition(n, "blk").groupBy("blk").applyInArrow(_code_block, CODED)   # a task writes one bucket
+    with _shuffles_cleared(spark):
+        coded.write.option("path", shared_path(spark, "coded-blocks")).bucketBy(n, "blk").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -380,7 +398,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bit
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
     src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    coded, table = _bucketed(src.groupBy("blk").applyInArrow(_code_block, CODED), blocks)
+    coded, table = _code_blocks(src, blocks)
     post = partial(_Post, min_bits=min_bits, discount=discount)
     start = partial(_start, buckets=buckets, least=least)
     got = [post(coded.groupBy("blk").applyInArrow(lambda t: start(t), MAIL), "words")]
