@@ -189,10 +189,10 @@ class Block:
             keep = pc.and_(keep, pc.equal(self.mail.column("level"), level))
         return self.mail.filter(keep)
 
-    def answer(self, kind: int, level: int, dtype=np.int64) -> np.ndarray:
+    def answer(self, kind: int, level: int, column: str = "a") -> np.ndarray:
         """The buckets' answers, in the order of the sorted keys."""
-        parts = [_unpack(x, dtype) for x in self._of(kind, level).sort_by("bucket").column("a").to_pylist()]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+        parts = [_unpack(x) for x in self._of(kind, level).sort_by("bucket").column(column).to_pylist()]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
     def sequences(self, d: int) -> np.ndarray:
         """Hash of the sequence of d + 1 words that ends at each token with
@@ -286,10 +286,11 @@ class Block:
             if d not in self.count:
                 break
             at, index, _ = self.contexts(d)
-            left = self.answer(JUDGED, d, np.float64)[index]
-            at, left = at[left > 0], left[left > 0]
-            c = self.count[d][at]
-            p[at] = np.where(c >= self.least, c - discount, 0) / self.count[d - 1][at - 1] + left * p[at]
+            own = self.answer(JUDGED, d)[index]
+            at, index, own = at[own > 0], index[own > 0], own[own > 0]
+            free = discount * self.answer(JUDGED, d, "b")[index]
+            c, n = self.count[d][at], self.count[d - 1][at - 1]
+            p[at] = (np.where(c >= self.least, c - discount, 0) + (n - own + free) * p[at]) / n
         return base, np.log10(p)
 
 
@@ -318,7 +319,10 @@ def _round(coded: pa.Table, mail: pa.Table, d: int, depth: int, n_train: int, vo
 
 # ------------------------------------------------------------------- buckets
 
-def _sum_bucket(table: pa.Table, min_bits: float, discount: float) -> pa.Table:
+def _sum_bucket(table: pa.Table, min_bits: float) -> pa.Table:
+    """Per block, of each sequence it sent 2 * (its count) + (this block is the
+    first to hold it); of each context, if it is a state, the sum and number of its
+    counted continuations, else 0."""
     kind, level = table.column("kind")[0].as_py(), table.column("level")[0].as_py()
     if kind == KEPT:                        # what a block keeps passes through
         return table
@@ -343,8 +347,9 @@ def _sum_bucket(table: pa.Table, min_bits: float, discount: float) -> pa.Table:
     n[index] = np.concatenate([_unpack(x) for x in table.column("b").to_pylist()])
     rest_p, rest_q = np.clip(1 - own / n, 0, 1), np.clip(1 - q, 1e-12, 1)
     bits += np.where(rest_p > 1e-15, rest_p * np.log2(np.maximum(rest_p, 1e-300) / rest_q), 0)
-    left = np.where((m > 0) & (bits >= min_bits), 1 - (own - discount * m) / n, 0.0)
-    return _mail(JUDGED, level, blk, bucket, _cut(left[index], cuts))
+    state = (m > 0) & (bits >= min_bits)
+    return _mail(JUDGED, level, blk, bucket, _cut((own * state).astype(np.int64)[index], cuts),
+                 b=_cut((m * state).astype(np.int64)[index], cuts))
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -364,9 +369,9 @@ def _shuffles_cleared(spark):
 class _Post:
     """The buckets' answers to mail, written by kind in the shared folder."""
 
-    def __init__(self, mail: DataFrame, name: str, min_bits: float, discount: float):
+    def __init__(self, mail: DataFrame, name: str, min_bits: float):
         self.spark, self.path = mail.sparkSession, shared_path(mail.sparkSession, name)
-        add = partial(_sum_bucket, min_bits=min_bits, discount=discount)
+        add = partial(_sum_bucket, min_bits=min_bits)
         df = mail.groupBy("kind", "bucket").applyInArrow(lambda t: add(t), MAIL)
         with _shuffles_cleared(self.spark):
             df.write.partitionBy("kind").parquet(self.path)
@@ -399,7 +404,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, min_bit
     blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
     src = src.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
     coded, table = _code_blocks(src, blocks)
-    post = partial(_Post, min_bits=min_bits, discount=discount)
+    post = partial(_Post, min_bits=min_bits)
     start = partial(_start, buckets=buckets, least=least)
     got = [post(coded.groupBy("blk").applyInArrow(lambda t: start(t), MAIL), "words")]
     n_train, vocabulary = got[0].of(COUNTED).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
