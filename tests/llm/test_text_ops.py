@@ -201,6 +201,32 @@ def test_leaks_empty_and_short(spark, docs, empty_docs):
     assert template_decontam.clean_documents(docs, items).count() == docs.count() - 1
 
 
+def test_leaks_name_their_documents_in_any_plan(spark):
+    """Grouped, shuffled and repeated documents, null ids."""
+    filler = [" ".join(random.Random(k).choices("stone river lamp window garden table letter north".split(), k=30)) for k in range(60)]
+    rows = [(i, f"{t} {ITEM if i % 9 == 0 else ''} {t}") for i, t in enumerate(filler)]
+    rows += [(None, ITEM), (None, "other"), (3, ITEM), (9, rows[9][1]), (9, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, filler[5])], "item_id long, text string")
+    distinct = docs.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    for df, kept in ((docs, rows), (docs.repartition(13, "text"), rows), (distinct, list(set(rows)))):
+        want = Counter((i, 1) for i, t in kept if ITEM in t) + Counter((i, 2) for i, t in kept if filler[5] in t)
+        assert Counter((r["doc_id"], r["item_id"]) for r in template_decontam.leaks(df, items).collect()) == want
+        left = [r["text"] for r in template_decontam.clean_documents(df, items).collect()]
+        assert sorted(left) == sorted(t for _, t in kept if ITEM not in t and filler[5] not in t)
+
+
+def test_shared_frame_is_not_multiplied(spark):
+    """Items and documents that share a frame: only those with an item's own
+    words are candidates."""
+    frame = "please answer the following question about the old harbour town with one short sentence"
+    own = [f"why did keeper{k} of lamp{k} leave harbour{k} before winter{k} came" for k in range(40)]
+    items = spark.createDataFrame([(k, f"{frame} {q}") for k, q in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{frame} {own[k]}" if k < 20 else f"{frame} and tell no more about {k}") for k in range(300)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontam.leaks(docs, items).collect()}
+    assert got == {(k, k) for k in range(20)}
+
+
 RIVER = "What river flows through Paris and Rouen before it reaches the Channel near Le Havre?"
 CLIPS = ("Natalia sold clips to 48 of her friends in April. Then she met Weng. Natalia sold half as many clips in May. "
          "How many clips did Natalia sell altogether in April and May?")
@@ -235,7 +261,6 @@ def check_pieces(rows, out):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
@@ -255,6 +280,17 @@ def check_pieces(rows, out):
     return len(windows)
 
 
+def test_special_tokens_of_the_vocabulary(spark):
+    e = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", e, e + e, f"x  {e}  y", f"x\n {e}\n\n y", "<|endof text|>", "<|endof", "text|>", f"é{e}é", f" {e} ", f"{e[:-1]} {e}{e[1:]}",
+             f"w {e}" * 900]
+    rows = list(enumerate(texts))
+    check_pieces(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+                 .withColumn("ids_crc32", F.crc32("ids")).collect())
+    ids, size = packing.encode([texts[0].encode()], *packing.default_vocabulary())
+    assert ids.tolist() == [64, 220, 50256, 275] and size.tolist() == [4]
+
+
 def test_packing_round_trip(spark, table, repeated_docs, empty_docs, write_docs):
     out = QUERIES["op3_packing"](spark, SF).collect()
     n = check_pieces(list(table("sf0.001", "documents")[["doc_id", "text"]].itertuples(index=False, name=None)), out)

@@ -8,14 +8,15 @@ remaining capacity finds the tightest open window that still holds the piece,
 or a new window is opened. Memory of a packer: one small integer per open
 window.
 
-A batch's text is cut before single blanks and every distinct piece is
-encoded once; a blank before a non-blank always starts a new pre-token, so
-the ids are those of the whole text. The ids of ``byte_bpe_50k.json`` are
+A batch's text is cut around its special-token strings and before single
+blanks, and every distinct piece is encoded once; a blank before a non-blank always
+starts a new pre-token and a special token stands alone, so the ids are those of
+the whole text. The ids of ``byte_bpe_50k.json`` are
 produced with its rank file, ``byte_bpe_50k.tiktoken``, the same vocabulary
 for the faster library.
 
-Defined cases: null or empty text is the separator alone; special-token
-strings in a text are ordinary text; rows with equal ids are packed each; an
+Defined cases: null or empty text is the separator alone; the string
+``<|endoftext|>`` in a text is that token's one id, as the vocabulary has it; rows with equal ids are packed each; an
 empty table gives no pieces. ``sequence_id`` is unique, not consecutive. Only
 doc_id and text are read.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import slices
 
 WINDOW = 2048
+#: Fixed value: the special token of the vocabulary and its id.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
@@ -43,7 +46,7 @@ def encoder(vocabulary: str, pattern: str):
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -53,13 +56,30 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _pieces(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _specials(whole: bytes, offset: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the special tokens inside concatenated texts."""
+    out = []
+    for name in map(str.encode, SPECIAL):
+        at = whole.find(name)
+        while at >= 0:
+            inside = at + len(name) <= offset[np.searchsorted(offset, at, side="right")]
+            if inside:
+                out.append((at, at + len(name)))
+            at = whole.find(name, at + (len(name) if inside else 1))
+    return out
+
+
+def _pieces(whole: bytes, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start of each piece, row of each piece) of concatenated texts."""
+    data = np.frombuffer(whole, dtype=np.uint8)
     plain = (data > 32) & (data < 127)
-    cut = np.zeros(len(data), dtype=bool)
-    cut[1:-1] = (data[1:-1] == 32) & plain[2:]          # a blank before a visible ASCII byte
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    special = np.array(_specials(whole, offset), dtype=np.int64).reshape(-1, 2)
+    plain[special[:, 0]] = False                        # blanks before a special token stay together
+    cut[1:-2] = (data[1:-1] == 32) & plain[2:]          # a blank before a visible ASCII byte
+    cut[special] = True
     cut[offset[:-1][np.diff(offset) > 0]] = True
-    start = np.flatnonzero(cut)
+    start = np.flatnonzero(cut[:-1])
     return start, np.searchsorted(offset, start, side="right") - 1
 
 
@@ -67,13 +87,14 @@ def encode(texts: list[bytes], vocabulary: str, pattern: str) -> tuple[np.ndarra
     """(ids of all texts, number of ids of each text)."""
     offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     whole = b"".join(texts)
-    start, row = _pieces(np.frombuffer(whole, dtype=np.uint8), offset)
+    start, row = _pieces(whole, offset)
     if len(start) == 0:
         return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
     bounds = np.append(start, len(whole)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(whole)]).dictionary_encode()
     enc = encoder(vocabulary, pattern)
-    ids = [enc.encode_ordinary(w.decode("utf-8", "replace")) for w in coded.dictionary.to_pylist()]
+    ids = [[SPECIAL[w]] if w in SPECIAL else enc.encode_ordinary(w)
+           for w in (x.decode("utf-8", "replace") for x in coded.dictionary.to_pylist())]
     size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
     flat = np.fromiter((i for w in ids for i in w), dtype=np.uint32, count=int(size.sum()))
     first = np.cumsum(size) - size

@@ -30,12 +30,18 @@ typed as names elsewhere in the same text as names where they open a sentence
 too; and untyped, all tokens lower-cased and without slots (a match stands for
 equal values). An alignment is judged on the plain typing alone and on all
 forms together; windows of either, if consistent, count. The benchmark's names
-(8 bytes a distinct word) are broadcast.
+are a bitmap of fixed size too; a word that shares a bit with a name is typed as
+a name in that form, on both sides alike.
+
+An item's rarest windows, a fifth and one more, find its candidate documents
+(one of them must match), and only those are held against all its windows.
 
 Defined cases: null or empty texts have no windows; an item without a counting
 window never matches; repeated documents and items are matched each (equal
-item_ids are one item per row); empty tables give an empty result. Only
-doc_id, text and item_id, text are read.
+item_ids are one item per row), a null doc_id as an id of its own; very long
+texts are a slice of their own; empty tables give an empty result. Documents may
+come from any plan: a row is known by a hash of its id and text, not by its
+place. Only doc_id, text and item_id, text are read.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import materialise, slices, words
@@ -56,7 +62,7 @@ WINDOW = 5
 SIMILARITY = 0.8
 BITS = 22
 PLAIN = 2
-#: Number words, units and a few given names that may open a sentence.
+#: Number words and units.
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
                 "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
                 "million billion dozen").split()
@@ -65,7 +71,6 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr
          "kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram "
          "kilograms ton tons liter liters litre litres gallon gallons second seconds minute minutes hour hours day days "
          "week weeks month months year years percent degree degrees").split()
-NAMES = "alice anna bob carol charlie dave david emma eve frank james jane john lisa maria mary paul peter sam tom".split()
 NUMBER = r"^[+\-$€£]*\d[\d.,:/\-]*(%|st|nd|rd|th)?$"
 QUANTITY = r"^[+\-$€£]*\d[\d.,]*(mm|cm|m|km|mg|g|kg|ml|l|s|h|w|kw|v|mb|gb|tb)$"
 _EDGE = ".,;:!?()[]{}\"'`*#%&$<>|"
@@ -77,13 +82,32 @@ def _flag(mask) -> np.ndarray:
     return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
 
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = _place(h)
+    return (bitmap[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of 2^22 bits over a column of hashes; the set bits come to the
+    driver, a fixed number at most."""
+    place = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - BITS).cast("int")
+    at = np.asarray(hashes.select(place.alias("b")).distinct().toPandas()["b"], dtype=np.int64)
+    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
 def template(texts: pa.Array, name_start: bool = False, names: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Per token: document row, template token, slot type flag, value hash, and
     whether it is a name.
 
     ``name_start``: a capitalised word at the very start is taken as a name.
-    ``names``: value hashes that are names in any case and place; then also
-    words that are names elsewhere in the same text where they open a sentence."""
+    ``names``: bitmap of the words that are names in any case and place; then
+    also words that are names elsewhere in the same text where they open a sentence."""
     doc, code, dictionary = words(texts)
     lower = pc.utf8_lower(dictionary)
     core = pc.utf8_trim(lower, _EDGE)
@@ -92,7 +116,6 @@ def template(texts: pa.Array, name_start: bool = False, names: np.ndarray | None
     kind[_flag(pc.is_in(core, value_set=pa.array(UNITS)))] = 2
     kind[_flag(pc.or_(pc.match_substring_regex(core, NUMBER), pc.or_(
         pc.match_substring_regex(core, QUANTITY), pc.is_in(core, value_set=pa.array(NUMBER_WORDS)))))] = 1
-    kind[_flag(pc.is_in(core, value_set=pa.array(NAMES))) & (kind == 0)] = 3
     capital = _flag(pc.match_substring_regex(dictionary, r"^[(\[\"'`]*\p{Lu}[\p{Ll}'-]")) & (kind == 0)
     ends = _flag(pc.match_substring_regex(dictionary, r"[.!?][)\]\"'`]*$"))
     value = word_hashes(core)
@@ -104,7 +127,7 @@ def template(texts: pa.Array, name_start: bool = False, names: np.ndarray | None
     own[capital[code] & (~opens | (first & name_start))] = 3
     v = value[code]
     if names is not None:
-        own[(own == 0) & np.isin(v, names)] = 3
+        own[(own == 0) & _held(names, v)] = 3
         here = mix(v + doc.astype(np.uint64) * _STEP)
         own[(own == 0) & capital[code] & np.isin(here, here[own == 3])] = 3
     token = np.where(own == 1, _NUM, np.where(own == 2, _UNIT, np.where(own == 3, _NAME, v)))
@@ -203,8 +226,7 @@ def _doc_windows(batches, lengths: list[int], bitmap, names, window: int, simila
                 t = plain if form == TYPED else template(part.column("text"), names=names.value) if form == NAMED else untyped(plain)
                 for length in lengths:
                     at, h = windows(t, length)
-                    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+                    hit = _held(bits, h)
                     if length < window:
                         hit &= length >= similarity * size[t["doc"][at]]
                     if form == NAMED:
@@ -212,7 +234,7 @@ def _doc_windows(batches, lengths: list[int], bitmap, names, window: int, simila
                     yield _rows(part.column("row"), t, at[hit], h[hit], length, start, form)
 
 
-WINDOW_SCHEMA = "row long, pos long, hash long, slots array<long>, form int"
+WINDOW_SCHEMA = "row {}, pos long, hash long, slots array<long>, form int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,29 +245,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
     items = materialise(
         benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
         .withColumn("row", F.monotonically_increasing_id()), "items")
-    found_names = items.select("text").mapInArrow(_item_names, "name long").distinct().toPandas()["name"]
-    names = spark.sparkContext.broadcast(np.asarray(found_names, dtype=np.int64).view(np.uint64))
+    names = spark.sparkContext.broadcast(_bitmap(items.select("text").mapInArrow(_item_names, "name long")))
     own = materialise(items.select("row", "text").mapInArrow(
-        partial(_item_windows, window=window, names=names), f"{WINDOW_SCHEMA}, length int"), "item-windows")
+        partial(_item_windows, window=window, names=names), f"{WINDOW_SCHEMA.format('long')}, length int"), "item-windows")
     size = own.groupBy("row").agg(F.countDistinct("pos").alias("item_windows"))
     named = materialise(items.select("row", "item_id").join(size, "row"), "item-sizes")
     # both at most of a fixed size: the distinct window lengths, the set bits
     lengths = sorted(r[0] for r in own.select("length").distinct().collect())
-    place = F.shiftrightunsigned("hash", 64 - BITS).cast("int")
-    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    at = np.asarray(own.select(place.alias("b")).distinct().toPandas()["b"], dtype=np.int64)
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    bitmap = spark.sparkContext.broadcast(bits)
-
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = keyed.select("row", "text").mapInArrow(
-        partial(_doc_windows, lengths=lengths, bitmap=bitmap, names=names, window=window, similarity=similarity), WINDOW_SCHEMA)
+    bitmap = spark.sparkContext.broadcast(_bitmap(own.select("hash")))
+
+    # a document is known by its own hash, whatever plan brings it: equal rows are one until the end
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.concat_ws("-", F.xxhash64("doc_id", text), F.xxhash64(F.lit(1), "doc_id", text))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), row.alias("row"))
+    found = materialise(keyed.select("row", "text").mapInArrow(
+        partial(_doc_windows, lengths=lengths, bitmap=bitmap, names=names, window=window, similarity=similarity),
+        WINDOW_SCHEMA.format("string")).distinct(), "document-windows")
     item = own.select(F.col("row").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"),
                       F.col("form").alias("item_form"))
+    pairs = materialise(candidates(found, item, similarity), "candidates")
+    found = found.join(pairs, "row")
     values = F.when(F.col("form") == UNTYPED, F.col("item_slots")).otherwise(F.col("slots"))
     # plain typing is judged alone (0) and with the other forms (1)
     judged = F.when((F.col("form") == TYPED) & (F.col("item_form") == TYPED), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    hit = found.join(item, "hash").select(
+    hit = found.join(item, ["item", "hash"]).select(
         "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos",
         F.arrays_zip(F.col("item_slots").alias("i"), values.alias("d")).alias("pairs"), F.explode(judged).alias("judged"))
     # one alignment holds each window of the item once, so its sets are bounded by the item
@@ -262,6 +285,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
         "doc_id", "item_id", F.col("matched_windows").cast("long"), "item_windows", "coverage", "same_values", "text_mark")
 
 
+def candidates(found: DataFrame, item: DataFrame, similarity: float) -> DataFrame:
+    """(row, item) of the documents that may hold an item.
+
+    An item that leaked misses at most a share of 1 - similarity of its
+    positions, so of any more of them one matches: the rarest ones are taken,
+    by the document windows all their forms meet. A frame that many items and
+    many documents share is joined only where an item has nothing rarer."""
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    met = item.join(often, "hash", "left").groupBy("item", "item_pos").agg(F.sum(F.coalesce("often", F.lit(0))).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "item_pos"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("item"))
+    few = met.withColumns({"rank": rank, "n": n}).filter(F.col("rank") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1)
+    keys = item.join(few.filter("often > 0").select("item", "item_pos"), ["item", "item_pos"]).select("item", "hash").distinct()
+    return found.select("row", "hash").distinct().join(keys, "hash").select("row", "item").distinct()
+
+
 def text_mark():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
