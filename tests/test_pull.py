@@ -1,0 +1,118 @@
+"""Incremental pull: only changed rows are read, the stored tables equal the
+source afterwards, a broken run is completed."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from conftest import SF_SMALL
+from pyspark.sql import functions as F
+
+from vitrine.plans import run
+from vitrine.schemas import curated_schema
+from vitrine.sources import from_frames, from_parquet, from_testdata, pull
+from vitrine.sources.pull import FrameChanges, complete, pull_sales, read_mark
+
+PAIR = ("sales", "sale_items")
+
+
+@pytest.fixture()
+def source(spark):
+    raw = from_testdata(spark, SF_SMALL)
+    some = raw["sales"].where("synced_at_text >= '2000-09'")         # few months, so few folders to write
+    return {"sales": some.drop("sale_date"), "sale_items": raw["sale_items"].join(some.select("sale_id"), "sale_id", "left_semi")}
+
+
+def stamped(df, changed, when="2002-03-04 05:06:07"):
+    return df.withColumn("synced_at_text", F.when(changed, F.lit(when)).otherwise(F.col("synced_at_text")))
+
+
+def check(spark, root, frames):
+    """Stored rows equal the source's, in the right months, lines with their sale."""
+    t = from_frames(frames)
+    got = from_parquet(spark, root)
+    cols = [c for c in t["sales"].columns if c != "sale_date"]
+    as_rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
+    assert as_rows(got["sales"].select(*cols, "sale_date")) == as_rows(t["sales"].select(*cols, "sale_date"))
+    lines = t["sale_items"].join(t["sales"].select("sale_id", "sale_date", F.col("status").alias("sale_status")), "sale_id", "left")
+    want = ["sale_id", "sku", "quantity", "line_total", "sale_date", "sale_status"]
+    assert as_rows(got["sale_items"].select(want)) == as_rows(lines.select(want))
+    for n in PAIR:
+        assert got[n].where(~F.col("sale_month").eqNullSafe(F.trunc("sale_date", "month"))).count() == 0
+    for name in ("q05_monthly_compare", "o12_dormant_null_aware"):
+        assert as_rows(run(name, got)) == as_rows(run(name, t)), name
+
+
+def test_only_changed_rows_are_read(spark, source, tmp_dir):
+    first = pull_sales(spark, FrameChanges(from_frames(source)), tmp_dir)
+    assert first["sales_read"] == source["sales"].count()
+    check(spark, tmp_dir, source)
+    assert read_mark(spark, tmp_dir) == source["sales"].agg(F.max(F.expr("try_cast(synced_at_text as timestamp_ntz)"))).first()[0]
+    k = F.col("sale_id")
+    now = {"sales": stamped(source["sales"].withColumn("total", F.when(k % 90 == 5, F.lit(7).cast("decimal(18,2)")).otherwise(F.col("total"))),
+                            k % 90 == 5), "sale_items": source["sale_items"]}
+    n = source["sales"].where(k % 90 == 5).count()
+    got = pull_sales(spark, FrameChanges(from_frames(now)), tmp_dir)
+    assert n <= got["sales_read"] < n + 20 < first["sales_read"] and got["changed"] == n and got["deleted"] == 0      # and the overlap
+    check(spark, tmp_dir, now)
+    again = pull_sales(spark, FrameChanges(from_frames(now)), tmp_dir)      # the overlap alone
+    assert again["sales_read"] >= n and again["changed"] == again["months"] == 0
+    check(spark, tmp_dir, now)
+
+
+def test_every_kind_of_change(spark, source, tmp_dir):
+    k = F.col("sale_id")
+    late = k % 40 == 7
+    pull_sales(spark, FrameChanges(from_frames({n: source[n].where(~late) for n in PAIR})), tmp_dir)
+    text = F.when(k % 40 == 2, F.lit("2001-12-24")).when(k % 40 == 4, F.lit("")).otherwise(F.col("sale_date_text"))
+    sales = source["sales"].where(k % 40 != 1).withColumn("sale_date_text", text) \
+        .withColumn("status", F.when(k % 40 == 5, F.lit("Cancelado")).otherwise(F.col("status")))
+    sales = stamped(sales, (k % 40).isin(2, 4, 5, 6, 7, 8))
+    lines = source["sale_items"].where(~((k % 40 == 6) & (F.col("quantity") > 10))).unionByName(
+        source["sale_items"].where(k % 40 == 8))                             # lines gone, lines doubled
+    now = {"sales": sales, "sale_items": lines.where(k % 40 != 1)}
+    got = pull_sales(spark, FrameChanges(from_frames(now)), tmp_dir)
+    assert got["deleted"] == source["sales"].where(k % 40 == 1).count()
+    check(spark, tmp_dir, now)
+    # rows without a readable stamp are read each time
+    odd = {"sales": now["sales"].withColumn("synced_at_text", F.when(k % 40 == 9, F.lit("?")).otherwise(F.col("synced_at_text")))
+           .withColumn("total", F.when(k % 40 == 9, F.lit(3).cast("decimal(18,2)")).otherwise(F.col("total"))), "sale_items": now["sale_items"]}
+    assert pull_sales(spark, FrameChanges(from_frames(odd)), tmp_dir)["changed"] == source["sales"].where(k % 40 == 9).count()
+    check(spark, tmp_dir, odd)
+    # nothing is left in the source
+    none = {n: source[n].limit(0) for n in PAIR}
+    pull_sales(spark, FrameChanges(from_frames(none)), tmp_dir)
+    assert from_parquet(spark, tmp_dir)["sales"].count() == 0
+
+
+@pytest.mark.parametrize("broken_after", ["journal", "sales"])
+def test_a_broken_swap_is_completed(spark, source, tmp_dir, monkeypatch, broken_after):
+    pull_sales(spark, FrameChanges(from_frames(source)), tmp_dir)
+    k = F.col("sale_id")
+    now = {"sales": stamped(source["sales"].withColumn("sale_date_text", F.when(k % 50 == 3, F.lit("2001-11-11")).otherwise(F.col("sale_date_text"))),
+                            k % 50 == 3), "sale_items": source["sale_items"]}
+    real, done = pull.replace_partitions, []
+
+    def lost(staged, root, name, values, n):
+        if broken_after == "journal" or done:
+            raise OSError("lost")
+        done.append(name)
+        real(staged, root, name, values, n)
+
+    with monkeypatch.context() as m:
+        m.setattr(pull, "replace_partitions", lost)
+        with pytest.raises(OSError):
+            pull_sales(spark, FrameChanges(from_frames(now)), tmp_dir)
+    assert "sales_days" not in from_parquet(spark, tmp_dir)                 # no summary of half a swap
+    assert complete(spark, tmp_dir) and not complete(spark, tmp_dir)
+    check(spark, tmp_dir, now)
+    assert pull_sales(spark, FrameChanges(from_frames(now)), tmp_dir)["changed"] == 0
+    check(spark, tmp_dir, now)
+
+
+def test_mark_and_schema(spark, tmp_dir):
+    assert read_mark(spark, tmp_dir) is None
+    pull._write_mark(spark, tmp_dir, dt.datetime(2024, 1, 2, 3, 4, 5, 678901))
+    assert read_mark(spark, tmp_dir) == dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    assert curated_schema("shipments").names[-1] == "sale_total"

@@ -53,13 +53,18 @@ def dormant_count(df: DataFrame, entity: str, day: str, cutoff, null_aware: bool
     ``null_aware=True`` the SQL NOT IN rule applies as well: a recent row
     with a NULL entity makes every comparison unknown, so the count is 0.
     """
-    cut = F.lit(cutoff)
     latest = (df.where(F.col(day).isNotNull())
                 .groupBy(entity).agg(F.max(day).alias("_latest")))
-    e = F.col(entity)
-    counts = latest.agg(
-        F.count_if(e.isNotNull() & (F.col("_latest") < cut)).alias("_n"),
-        F.max(F.when(e.isNull() & (F.col("_latest") >= cut), F.lit(1)).otherwise(F.lit(0))).alias("_null_recent"))
+    return dormant_in_state(latest, entity, "_latest", cutoff, null_aware, alias)
+
+
+def dormant_in_state(state: DataFrame, entity: str, latest: str, cutoff, null_aware: bool = False,
+                     alias: str = "dormant") -> DataFrame:
+    """O12 from one row per entity (NULL is one) with its latest date."""
+    e, last, cut = F.col(entity), F.col(latest), F.lit(cutoff)
+    counts = state.agg(
+        F.count_if(e.isNotNull() & (last < cut)).alias("_n"),
+        F.max(F.when(e.isNull() & (last >= cut), F.lit(1)).otherwise(F.lit(0))).alias("_null_recent"))
     value = F.col("_n")
     if null_aware:
         value = F.when(F.col("_null_recent") == 1, F.lit(0)).otherwise(value)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import (first_label, mean, minus_days, minus_months, money_sum, month_text,
                          not_cancelled)
-from ..operators import activity_summary, bundle, dormant_count, frequency_bands, in_period, top_k
+from ..operators import (activity_summary, bundle, dormant_count, dormant_in_state, frequency_bands, in_period,
+                         repeat_count, top_k)
 from ..sources.tables import Tables
 from .common import asc, desc, resolve, rows, sales_in
 
@@ -29,7 +30,8 @@ def customer_kpis(t: Tables, as_of: dt.date, period=None, dormant_days: int = 90
     """Q12: customers in total and new in the period (one scan of the
     customers), repeat buyers in the period and customers dormant for
     ``dormant_days`` (cancelled sales included, period ignored) from one
-    aggregation per customer over the sales.
+    aggregation per customer over the sales; where the load step keeps each
+    customer's last date, from that and the period's sales alone.
 
     ``null_aware=True`` reproduces SQL ``NOT IN``: one recent sale without a
     customer makes the dormant count 0."""
@@ -37,6 +39,11 @@ def customer_kpis(t: Tables, as_of: dt.date, period=None, dormant_days: int = 90
     cust = t["customers"].agg(
         rows().alias("total_customers"),
         F.count_if(in_period("created_date", p)).cast("bigint").alias("new_customers"))
+    if "customer_state" in t:           # kept last dates: only the period's sales are read
+        repeat = repeat_count(sales_in(t, p).where(not_cancelled()), "customer_id").withColumnRenamed("repeat", "repeat_customers")
+        dormant = dormant_in_state(t["customer_state"], "customer_id", "last_date", minus_days(as_of, dormant_days),
+                                   null_aware, "dormant_customers")
+        return bundle(cust, repeat, dormant)
     activity = activity_summary(
         t["sales"], "customer_id", "sale_date", minus_days(as_of, dormant_days),
         counted=in_period("sale_date", p) & not_cancelled(), null_aware=null_aware,
@@ -47,6 +54,9 @@ def customer_kpis(t: Tables, as_of: dt.date, period=None, dormant_days: int = 90
 def dormant_customers(t: Tables, as_of: dt.date, dormant_days: int = 90,
                       null_aware: bool = True) -> DataFrame:
     """O12 alone, with the SQL NOT IN rule by default."""
+    if "customer_state" in t:
+        return dormant_in_state(t["customer_state"], "customer_id", "last_date", minus_days(as_of, dormant_days),
+                                null_aware, "dormant_customers")
     return dormant_count(t["sales"], "customer_id", "sale_date", minus_days(as_of, dormant_days),
                          null_aware=null_aware, alias="dormant_customers")
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import count_where, first_label, money_sum, month_start, not_cancelled
+from ..functions.columns import MONEY_SUM
 from ..functions.dates import first_of_month
 from ..operators import bundle, in_period, top_k
 from ..sources.tables import Tables
-from .common import asc, desc, resolve, rows, sales_in
+from .common import asc, dated_between, desc, resolve, rows, sales_in
 from .customers import NO_STATE
 
 ACTIVE_SUB, CANCELLED_SUB = "active", "canceled"   # fixed values: subscription states
@@ -46,6 +47,10 @@ def finance_daily(t: Tables, as_of: dt.date, period=None) -> DataFrame:
     """Q30: per day, not-cancelled revenue and discounts."""
     p = resolve(as_of, period)
     nc = not_cancelled()
+    if "sales_days" in t:
+        return dated_between(t["sales_days"], p.start, p.end).select(
+            F.col("sale_date").alias("day"), *(F.coalesce(c, F.lit(0)).cast(MONEY_SUM).alias(c) for c in ("revenue", "discount"))) \
+            .orderBy("day")
     return (sales_in(t, p).groupBy(F.col("sale_date").alias("day"))
             .agg(money_sum("total", nc, zero_if_empty=True).alias("revenue"),
                  money_sum("discount", nc, zero_if_empty=True).alias("discount"))

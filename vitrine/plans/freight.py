@@ -64,8 +64,14 @@ def open_shipments(t: Tables, as_of: dt.date | None = None, limit: int | None =
     joined row, so the first ``limit`` joined rows all come from the first
     ``limit`` parcels: those are picked first (TakeOrderedAndProject). The
     sales are semi-joined to their ids, which Spark broadcasts if their
-    measured size allows, and only then joined: one lazy plan at any limit."""
+    measured size allows, and only then joined: one lazy plan at any limit.
+    Curated parcels carry their sale's columns, so no sale is read."""
     order = [desc("last_checked"), asc("tracking_code")]
+    if "sale_total" in t["shipments"].columns:      # curated parcels carry their sale's columns
+        parcels = t["shipments"].where(F.col("delivered") == 0).select(
+            "tracking_code", "status_text", "last_checked", "due_date", "ship_form", F.col("sale_customer_name").alias("customer_name"),
+            F.col("sale_state").alias("state"), F.col("sale_total").alias("total"))
+        return top_k(parcels, order + [asc("customer_name"), asc("state"), asc("total")], limit)
     parcels = top_k(t["shipments"].where(F.col("delivered") == 0)
                     .select("tracking_code", "status_text", "last_checked", "due_date",
                             "ship_form", "sale_id"), order + [asc("sale_id")], limit)

@@ -74,6 +74,13 @@ QUERIES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "j2_upsert_pages": (ingest.upsert_pages, _SEARCH_DAY),
     "o02_default_period": (sales.sales_kpis, {"as_of": dt.date(2000, 6, 15), "period": None}),
     "s4_curated_refresh": (ingest.curated_refresh, _SALES_DAY),
+    "s1_incremental_pull": (ingest.incremental_pull, _SALES_DAY),
+    "s5_kept_summaries": (ingest.summaries_after_changes, _SALES_DAY),
+    "s2_landing_pages": (ingest.landing_pages, _SEARCH_DAY),
+    "j1_sync_files": (ingest.sync_files, {**_SEARCH_DAY, "table": "search_queries"}),
+    "j2_sync_files": (ingest.sync_files, {**_SEARCH_DAY, "table": "search_pages"}),
+    "j3_sync_windows": (ingest.sync_windows, _SEARCH_DAY),
+    "j4_ensure_tables": (ingest.tables_with_keys, _SEARCH_DAY),
     "o20_upsert_into_target": (ingest.upsert_into_target, _SEARCH_DAY),
 }
 

@@ -11,7 +11,7 @@ from ..functions import (cancelled, count_where, first_label, mean, money_sum, m
                          not_cancelled, safe_pct)
 from ..operators import top_k
 from ..sources.tables import Tables
-from .common import asc, desc, resolve, rows, sales_in
+from .common import asc, dated_between, desc, resolve, rows, sales_in
 
 # Default labels of empty channels and payment methods.
 DIRECT = "Direto"
@@ -57,6 +57,10 @@ def sales_monthly(t: Tables, as_of: dt.date, period=None) -> DataFrame:
     """Q10: 'YYYY-MM' -> not-cancelled orders and revenue."""
     p = resolve(as_of, period)
     nc = not_cancelled()
+    if "sales_days" in t:
+        return (dated_between(t["sales_days"], p.start, p.end).groupBy(month_text("sale_date").alias("month"))
+                .agg(F.sum("orders").alias("orders"), money_sum("revenue", zero_if_empty=True).alias("revenue"))
+                .orderBy("month"))
     return (sales_in(t, p).groupBy(month_text("sale_date").alias("month"))
             .agg(count_where(nc).alias("orders"),
                  money_sum("total", nc, zero_if_empty=True).alias("revenue"))

@@ -75,15 +75,19 @@ def dead_stock_report(t: Tables, as_of: dt.date, days: int = 60, limit: int | No
 
     Neither the condition nor the order needs the history: products without a
     sku sold since the cutoff (a month-pruned scan) are ranked first, and only
-    the skus of the first ``limit`` get their last sale date."""
-    recent = _live_lines(t, minus_days(as_of, days)).select("sku")
-    products = _active(t).where(F.col("stock") > 0).select("name", "sku", "stock", "cost").distinct()
-    idle = not_sold_since(products, recent, "sku").withColumn(
-        "idle_cost", F.coalesce(F.col("stock") * F.col("cost"), F.lit(0)).cast(MONEY_SUM))
+    the skus of the first ``limit`` get their last sale date. Where the load
+    step keeps each sku's last live sale, no line is read at all."""
+    cutoff = minus_days(as_of, days)
+    products = _active(t).where(F.col("stock") > 0).select("name", "sku", "stock", "cost").distinct() \
+        .withColumn("idle_cost", F.coalesce(F.col("stock") * F.col("cost"), F.lit(0)).cast(MONEY_SUM))
     order = [desc("idle_cost"), asc("sku"), asc("name"), asc("stock"), asc("cost")]
-    top = top_k(idle, order, limit)
-    last = last_sale_of(top.select("sku"), _live_lines(t), "sku", "sale_date")
-    report = top.join(last, "sku", "left").select(
+    if "sku_state" in t:
+        sold = t["sku_state"].select("sku", F.col("last_date").alias("last_sale"))
+        found = products.join(sold, "sku", "left").where(F.col("last_sale").isNull() | (F.col("last_sale") < F.lit(cutoff)))
+    else:
+        top = top_k(not_sold_since(products, _live_lines(t, cutoff).select("sku"), "sku"), order, limit)
+        found = top.join(last_sale_of(top.select("sku"), _live_lines(t), "sku", "sale_date"), "sku", "left")
+    report = found.select(
         "name", "sku", "stock", "cost", "idle_cost", "last_sale",
         F.datediff(F.lit(as_of), F.col("last_sale")).alias("days_idle"))
     return top_k(report, order, limit)

@@ -87,3 +87,20 @@ LANDING = _schema(
     ("keys", T.ArrayType(S), True), ("clicks", T.DoubleType(), True),
     ("impressions", T.DoubleType(), True), ("ctr", T.DoubleType(), True),
     ("position", T.DoubleType(), True))
+
+
+def curated_schema(name: str) -> T.StructType:
+    """Explicit schema of a curated table: the table's own schema plus its
+    parsed DATE column, the month partition of sales and order lines, the sale's
+    date and status carried by each order line, and the sale's customer, state
+    and total carried by each parcel."""
+    fields = list(TABLES[name].fields)
+    if name in PARSED_DATES:
+        fields.append(T.StructField(PARSED_DATES[name][0], T.DateType()))
+    if name == "sale_items":
+        fields += [T.StructField("sale_date", T.DateType()), T.StructField("sale_status", S)]
+    if name == "shipments":
+        fields += [T.StructField("sale_customer_name", S), T.StructField("sale_state", S), T.StructField("sale_total", M)]
+    if name in ("sales", "sale_items"):
+        fields.append(T.StructField("sale_month", T.DateType()))
+    return T.StructType(fields)

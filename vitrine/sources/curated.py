@@ -17,13 +17,13 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.period import Period
-from ..schemas import PARSED_DATES, TABLES
-from ..session import remove_path, scratch_dir
+from ..schemas import PARSED_DATES, TABLES, curated_schema
+from ..session import path_exists, remove_path, scratch_dir
+from . import kept
 from .tables import Tables
 
 # table -> (clustering columns, partition column or None). The clustering
@@ -46,20 +46,6 @@ LAYOUT = {
 TARGET_ROWS_PER_FILE = 2_000_000
 
 
-def curated_schema(name: str) -> T.StructType:
-    """Explicit schema of a curated table: the table's own schema plus its
-    parsed DATE column, the month partition of sales and order lines, and the
-    sale's date and status carried by each order line."""
-    fields = list(TABLES[name].fields)
-    if name in PARSED_DATES:
-        fields.append(T.StructField(PARSED_DATES[name][0], T.DateType()))
-    if name == "sale_items":
-        fields += [T.StructField("sale_date", T.DateType()), T.StructField("sale_status", T.StringType())]
-    if name in ("sales", "sale_items"):
-        fields.append(T.StructField("sale_month", T.DateType()))
-    return T.StructType(fields)
-
-
 def curated_frame(tables: Tables, name: str) -> DataFrame:
     """The table with its parsed date (and, for sales, the month it falls in).
 
@@ -69,7 +55,8 @@ def curated_frame(tables: Tables, name: str) -> DataFrame:
     then prunes the lines by month folder and row group. ``sale_id`` is the
     sales key, so the left join adds at most one match per line; a line
     whose sale is missing keeps NULLs and drops out of every period filter,
-    as the inner join would drop it."""
+    as the inner join would drop it. Parcels carry their sale's customer, state
+    and total in the same way."""
     df = tables[name]
     if name == "sales":
         df = df.withColumn("sale_month", F.trunc("sale_date", "month"))
@@ -77,6 +64,10 @@ def curated_frame(tables: Tables, name: str) -> DataFrame:
         sales = tables["sales"].select("sale_id", "sale_date", F.col("status").alias("sale_status"))
         df = (df.select(*[f.name for f in TABLES[name].fields]).join(sales, "sale_id", "left")
                 .withColumn("sale_month", F.trunc("sale_date", "month")))
+    elif name == "shipments":
+        sales = tables["sales"].select("sale_id", F.col("customer_name").alias("sale_customer_name"),
+                                       F.col("state").alias("sale_state"), F.col("total").alias("sale_total"))
+        df = df.select(*[f.name for f in TABLES[name].fields]).join(sales, "sale_id", "left")
     return df
 
 
@@ -88,23 +79,45 @@ def _window_values(part: str, lo: dt.date, hi: dt.date) -> list[dt.date]:
     return [dt.date(m // 12, m % 12 + 1, 1) for m in range(first, last + 1)]
 
 
-def _changed_months(old: DataFrame, new: DataFrame) -> set:
-    """Months (None: undated) in which a row of any sale was added, changed,
-    moved or deleted: per sale and month an order-free digest of its rows,
-    old against new. At most one value per month of the history."""
-    cols = sorted(c for c in old.columns if c not in ("sale_id", "sale_month"))
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a curated table; what the source lacks is NULL."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in curated_schema(name).fields])
+
+
+def month_digests(df: DataFrame) -> dict:
+    """Per month (None: undated) an order-free digest of its rows: their
+    number and two sums of hashes. One row a month comes to the driver."""
+    cols = sorted(c for c in df.columns if c != "sale_month")
+    rows = df.groupBy("sale_month").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("x"),
+        F.sum(F.shiftright(F.xxhash64(F.lit(1), *cols), 24)).alias("s"))
+    return {r["sale_month"]: (r["n"], r["x"], r["s"]) for r in rows.collect()}
+
+
+_DIGESTS = "sale_month date, n long, x long, s long"
+
+
+def _digest_path(root: str, name: str) -> str:
+    return f"{root}/_digests/{name}"
+
+
+def _stored_digests(spark, root: str, name: str) -> dict:
+    """Digests of the stored table: as kept by its last refresh, else computed."""
+    path = _digest_path(root, name)
+    if path_exists(spark, path):
+        return {r[0]: tuple(r[1:]) for r in spark.read.schema(_DIGESTS).parquet(path).collect()}
+    return month_digests(spark.read.schema(curated_schema(name)).parquet(f"{root}/{name}"))
+
+
+def _keep_digests(spark, root: str, name: str, digests: dict) -> None:
+    spark.createDataFrame([(m, *d) for m, d in digests.items()], _DIGESTS).coalesce(1) \
+        .write.mode("overwrite").parquet(_digest_path(root, name))
 
-    def digest(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy("sale_id", "sale_month").agg(
-            F.count(F.lit(1)).alias(f"n_{side}"), F.bit_xor(F.xxhash64(*cols)).alias(f"x_{side}"),
-            F.sum(F.shiftright(F.xxhash64(F.lit(1), *cols), 24)).alias(f"s_{side}"))
 
-    a, b = digest(old, "old"), digest(new, "new")
-    same = a["sale_id"].eqNullSafe(b["sale_id"]) & a["sale_month"].eqNullSafe(b["sale_month"])
-    differ = ~(F.col("n_old").eqNullSafe(F.col("n_new")) & F.col("x_old").eqNullSafe(F.col("x_new"))
-               & F.col("s_old").eqNullSafe(F.col("s_new")))
-    rows = a.join(b, same, "full").where(differ).select(F.coalesce(a["sale_month"], b["sale_month"]).alias("m"))
-    return {r["m"] for r in rows.distinct().collect()}
+def forget_digests(spark, root: str, name: str) -> None:
+    """After a change of the stored rows by other means."""
+    remove_path(spark, _digest_path(root, name))
 
 
 def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic: bool = False) -> None:
@@ -119,64 +132,104 @@ def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic:
     writer.parquet(path)
 
 
+def among(part: str, values) -> Column:
+    """Rows of the partitions ``values`` (None among them: those without one)."""
+    dated = sorted(v for v in values if v is not None)
+    wanted = F.col(part).isin(dated) if dated else F.lit(False)
+    return wanted | F.col(part).isNull() if None in values else wanted
+
+
+def replace_partitions(staged: DataFrame, root: str, name: str, values: set, n: int) -> None:
+    """Overwrite the partitions ``values`` of a stored table by staged rows; a
+    partition left without rows is deleted. Running it again changes nothing."""
+    spark, (cluster, part) = staged.sparkSession, LAYOUT[name]
+    # partition values present: at most those asked for
+    present = {r[0] for r in staged.select(part).distinct().collect()}
+    if present:
+        _write(staged, f"{root}/{name}", cluster, part, n, dynamic=True)
+    for value in values - present:
+        remove_path(spark, f"{root}/{name}/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value.isoformat()}")
+
+
+def _with_stored(tables: Tables, root: str, spark, needed: set) -> Tables:
+    """The source's tables; of those it lacks the stored ones."""
+    absent = {n for n in needed if n not in tables}
+    if not absent:
+        return tables
+    stored = {n: (lambda n=n: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}")) for n in absent}
+    return Tables({**{n: (lambda n=n: tables[n]) for n in tables}, **stored})
+
+
 def write_curated(tables: Tables, root: str, names=None, files_per_table: int | None = None,
-                  refresh: Period | None = None) -> None:
+                  refresh: Period | None = None, summaries: bool = True) -> None:
     """Write each table to ``<root>/<name>`` in the layout above.
 
-    Order lines carry copies of their sale's date and status, so sales are
-    never written without their lines.
+    Order lines and parcels carry copies of their sale's columns, so sales are
+    never written without their lines (nor lines without their sales in a
+    refresh) and the parcels the source has.
 
     With ``refresh`` (a date window) only some partitions are rewritten. Sales
     and lines: the window's months and every month in which a sale or a line
     was added, changed, moved, cancelled or deleted since the last write,
     wherever it lies, the undated rows included; both tables get the same
-    months. Search tables: the window's days. The other tables are rewritten
-    whole. New rows are first staged in the checkpoint folder (the target is
-    untouched until they are complete), then overwrite their partitions
-    (dynamic partition overwrite); a partition left without rows is deleted."""
+    months. Months are compared by a digest of their rows, the source's against
+    the stored table's, which the last refresh has kept: the stored history is
+    not read, and only months that differ are opened. Search tables: the
+    window's days. The other tables are rewritten whole. New rows are first
+    staged in the checkpoint folder (the target is untouched until they are
+    complete), then overwrite their partitions (dynamic partition overwrite); a
+    partition left without rows is deleted.
+
+    ``summaries``: write the kept summaries (``kept.py``) of sales, lines and
+    search queries as well, in a refresh those of the changed partitions."""
     names = list(names or LAYOUT)
-    if "sales" in names and "sale_items" not in names:
+    pair = {"sales", "sale_items"}
+    if "sales" in names and "sale_items" not in names and (refresh is not None or "sale_items" in tables):
         names.append("sale_items")
-    if "sale_items" in names and "sale_items" not in tables:
-        if refresh is None:
-            names.remove("sale_items")
-        else:       # a source without lines: the stored ones get their sale's new date and status
-            spark = tables["sales"].sparkSession
-            stored = spark.read.schema(curated_schema("sale_items")).parquet(f"{root}/sale_items")
-            given = tables
-            tables = Tables({n: (lambda n=n: stored if n == "sale_items" else given[n]) for n in {*given, "sale_items"}})
+    if refresh is not None and "sale_items" in names and "sales" not in names:
+        names.append("sales")
+    if refresh is not None and "sales" in names and "shipments" in tables and "shipments" not in names:
+        names.append("shipments")
+    if refresh is None and "sale_items" not in tables:
+        names = [n for n in names if n != "sale_items"]
+    spark = next(iter(tables[n] for n in tables)).sparkSession
+    n = files_per_table or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    needed = set(names) | ({"sales"} if {"sale_items", "shipments"} & set(names) else set())
+    source = _with_stored(tables, root, spark, needed)
     months: set = set()
-    if refresh is not None and {"sales", "sale_items"} & set(names):
+    digests: dict = {}
+    if refresh is not None and pair & set(names):
         months = set(_window_values("sale_month", refresh.start, refresh.end))
-        for name in ("sales", "sale_items"):
-            new = curated_frame(tables, name)
-            schema = curated_schema(name)
-            old = new.sparkSession.read.schema(schema).parquet(f"{root}/{name}")
-            months |= _changed_months(old, new.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+        for name in pair:
+            digests[name] = month_digests(typed(curated_frame(source, name), name))
+            old = _stored_digests(spark, root, name)
+            months |= {m for m in {*old, *digests[name]} if old.get(m) != digests[name].get(m)}
+    staged = {}
+    values = {}
     for name in names:
-        cluster, part = LAYOUT[name]
-        df = curated_frame(tables, name)
-        spark = df.sparkSession
-        n = files_per_table or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        target = f"{root}/{name}"
+        part = LAYOUT[name][1]
         if refresh is None or part not in ("sale_month", "day"):
-            _write(df, target, cluster, part, n)
             continue
-        values = months if part == "sale_month" else set(_window_values(part, refresh.start, refresh.end))
-        dated = sorted(v for v in values if v is not None)
-        wanted = F.col(part).isin(dated) if dated else F.lit(False)
-        if None in values:
-            wanted = wanted | F.col(part).isNull()
-        window = df.where(wanted)
-        staging = scratch_dir(spark, f"curate-{name}-{uuid.uuid4().hex}")
-        _write(window, staging, cluster, part, n)
-        staged = spark.read.schema(window.schema).parquet(staging)
-        # partition values present: at most those asked for
-        present = {r[0] for r in staged.select(part).distinct().collect()}
-        if present:
-            _write(staged, target, cluster, part, n, dynamic=True)
-        for value in values - present:
-            remove_path(spark, f"{target}/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value.isoformat()}")
+        values[name] = months if part == "sale_month" else set(_window_values(part, refresh.start, refresh.end))
+        staged[name] = scratch_dir(spark, f"curate-{name}-{uuid.uuid4().hex}")
+        _write(typed(curated_frame(source, name), name).where(among(part, values[name])), staged[name], *LAYOUT[name], n)
+    in_use = {g: kept.suspend(spark, root, g) for g in kept.GROUPS if g in names}
+    for name in names:
+        cluster, part = LAYOUT[name]
+        if name not in staged:
+            _write(curated_frame(source, name), f"{root}/{name}", cluster, part, n)
+            forget_digests(spark, root, name)
+            continue
+        rows = spark.read.schema(curated_schema(name)).parquet(staged[name])
+        replace_partitions(rows, root, name, values[name], n)
+        if name in digests:
+            # of the rewritten months as they were staged
+            now = {m: d for m, d in digests[name].items() if m not in months} | month_digests(rows)
+            _keep_digests(spark, root, name, now)
+        remove_path(spark, staged[name])
+    for group, was in in_use.items():
+        if summaries:
+            kept.update(spark, root, group, values[group] if was and group in values else None)
 
 
 # Tables stored bucketed by sku in the catalog layout (the dead-stock join).

@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dates import parse_date
-from ..schemas import PARSED_DATES, TABLES
+from ..schemas import PARSED_DATES, TABLES, curated_schema
 from . import testdata
 
 
@@ -43,14 +43,18 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables({name: (lambda f=fn: f(spark, sf_dir)) for name, fn in testdata.VIEWS.items()})
 
 
-def from_parquet(spark: SparkSession, root: str) -> Tables:
+def from_parquet(spark: SparkSession, root: str, summaries: bool = True) -> Tables:
     """Tables stored as parquet folders ``<root>/<name>`` (curated copies),
     read with their explicit schemas (nothing inferred; a column a copy does
-    not hold reads as NULL)."""
-    from .curated import curated_schema
+    not hold reads as NULL), and (with ``summaries``) the kept
+    summaries in use there."""
+    from . import kept
     root = root.rstrip("/")
-    return Tables({name: (lambda n=name: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}"))
-                   for name in TABLES})
+    out = {name: (lambda n=name: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}")) for name in TABLES}
+    for group, names in kept.GROUPS.items():
+        if summaries and kept.in_use(spark, root, group):
+            out |= {name: (lambda n=name: kept.read_summary(spark, root, n)) for name in names}
+    return Tables(out)
 
 
 def from_catalog(spark: SparkSession, database: str | None = None) -> Tables:
