@@ -272,6 +272,52 @@ def test_jdbc_reads_are_split_without_bounds():
     assert seen["tiny_produtos"][1] == {"fetchsize": "10000", "user": "u"}
 
 
+def test_jdbc_parts_are_disjoint_and_complete():
+    """Each row lies in exactly one part; keys decide, so an update moves none."""
+    import duckdb
+    from vitrine.sources.jdbc import key_hash_predicates, page_predicates
+    con = duckdb.connect()
+    con.execute("CREATE MACRO hashtext(x) AS CASE WHEN x IS NOT NULL THEN CAST(hash(x) % 4294967296 AS BIGINT) - 2147483648 END")
+    con.execute("CREATE TABLE t AS SELECT CASE WHEN i % 10 = 0 THEN NULL ELSE i END AS k, i FROM range(1000) r(i)")
+    parts = [con.execute(f"SELECT i FROM t WHERE {p}").fetchall() for p in key_hash_predicates("k", 7)]
+    assert sorted(i for rows in parts for (i,) in rows) == list(range(1000)) and min(map(len, parts)) > 50
+    assert page_predicates(100, 4) == ["ctid < '(25,0)'::tid", "ctid >= '(25,0)'::tid AND ctid < '(50,0)'::tid",
+                                       "ctid >= '(50,0)'::tid AND ctid < '(75,0)'::tid", "ctid >= '(75,0)'::tid"]
+    assert page_predicates(0, 4) == ["true"] and len(page_predicates(2, 64)) == 2
+
+
+def test_jdbc_snapshot_and_changes():
+    import datetime as dt
+
+    import duckdb
+    from vitrine.sources.jdbc import JdbcChanges, from_jdbc, snapshot_options
+    assert snapshot_options(None) == {}
+    with pytest.raises(ValueError):
+        snapshot_options("x'; DROP TABLE t; --")
+    seen = []
+
+    class Reader:
+        def jdbc(self, url, table, predicates=None, properties=None):
+            seen.append((table, predicates, properties))
+            raise LookupError
+
+    session = type("Session", (), {"read": Reader()})()
+    for read in (lambda: from_jdbc(session, "u", {}, snapshot="00000003-0000001B-1")["sales"],
+                 lambda: JdbcChanges(session, "u", {}, 8, "00000003-0000001B-1").keys()):
+        with pytest.raises(LookupError):
+            read()
+        assert "SNAPSHOT '00000003-0000001B-1'" in seen[-1][2]["sessionInitStatement"]
+    assert seen[0][1][0] == "abs(hashtext(id_tiny::text)::bigint) % 64 = 0 OR id_tiny IS NULL" and len(seen[1][1]) == 8
+    # the SQL that leaves the database
+    con = duckdb.connect()
+    con.execute("CREATE TABLE tiny_vendas AS SELECT * FROM (VALUES (1, '2024-01-01 10:00:00'), (2, '2024-01-02 10:00:00'), (3, NULL)) v(id_tiny, synced_at)")
+    con.execute("CREATE TABLE tiny_vendas_itens AS SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (2, 'c'), (3, 'd'), (9, 'e')) v(id_pedido, codigo_produto)")
+    changes, since = JdbcChanges(None, "u", {}), dt.datetime(2024, 1, 2, 9, 0, 0)
+    ask = lambda what, t=None: con.execute(f"SELECT * FROM {changes.query(what, t)}").fetchall()
+    assert sorted(r[0] for r in ask("sales", since)) == [2, 3] and len(ask("sales")) == 3 and sorted(ask("keys")) == [(1,), (2,), (3,)]
+    assert sorted(r[1] for r in ask("sale_items", since)) == ["b", "c", "d"] and len(ask("sale_items")) == 4
+
+
 def test_bad_date_counts(both):
     from vitrine.sources.curated import bad_date_counts
     raw, _ = both

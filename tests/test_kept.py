@@ -41,9 +41,9 @@ def same_answers(spark, root, names=READERS):
 
 
 def from_testdata(spark, sf):
-    """The test views; of the sales those of 19 months, so few folders are written."""
+    """The test views; of the sales those of a year, so few folders are written."""
     raw = views(spark, sf)
-    some = raw["sales"].where("synced_at_text >= '2000-01'")
+    some = raw["sales"].where("synced_at_text >= '2000-08'")
     lines = raw["sale_items"].join(some.select("sale_id"), "sale_id", "left_semi")
     return from_frames({**{n: raw[n] for n in raw}, "sales": some, "sale_items": lines})
 
@@ -80,7 +80,7 @@ def test_summaries_follow_a_refresh(spark, root):
     queries = raw["search_queries"].where("query <> 'term 8'").withColumn("query", F.when(
         F.col("day") > "2024-01-12", F.concat(F.lit("new "), "query")).otherwise(F.col("query")))
     source = from_frames({**{n: raw[n] for n in raw if n not in ("sales", "search_queries")}, "sales": changed, "search_queries": queries})
-    window = Period(dt.date(2023, 1, 1), dt.date(2024, 1, 31))
+    window = Period(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
     before = from_parquet(spark, root)["search_keys"].count()
     write_curated(source, root, files_per_table=2, refresh=window)
     assert from_parquet(spark, root)["search_keys"].count() > before        # numbers are added, none changes
@@ -107,10 +107,10 @@ def test_refresh_opens_only_the_months_that_differ(spark, tmp_path):
     first = files()
     write_curated(from_frames(pair), root, names=list(pair), files_per_table=2, refresh=calm)
     assert files() == first                                                 # nothing differs, nothing is opened
-    one = raw["sales"].where("sale_date BETWEEN '2000-03-01' AND '2000-03-31'").agg(F.min("sale_id")).first()[0]
+    one = raw["sales"].where("sale_date BETWEEN '2000-10-01' AND '2000-10-31'").agg(F.min("sale_id")).first()[0]
     moved = {**pair, "sales": raw["sales"].withColumn("total", F.when(F.col("sale_id") == one, F.lit(1).cast("decimal(18,2)")).otherwise(F.col("total")))}
     write_curated(from_frames(moved), root, names=list(pair), files_per_table=2, refresh=calm)
-    assert {d for d, _ in files() ^ first} == {f"{root}/sales/sale_month=2000-03-01", f"{root}/sale_items/sale_month=2000-03-01"}
+    assert {d for d, _ in files() ^ first} == {f"{root}/sales/sale_month=2000-10-01", f"{root}/sale_items/sale_month=2000-10-01"}
     lines = {**pair, "sale_items": raw["sale_items"].where(F.col("sale_id") != one)}
     write_curated(from_frames({"sale_items": lines["sale_items"], "sales": raw["sales"]}), root, names=["sale_items"], files_per_table=2, refresh=calm)
     back = spark.read.schema(curated_schema("sales")).parquet(f"{root}/sales")      # lines take their sales along

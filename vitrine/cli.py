@@ -6,6 +6,7 @@
     python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop [--refresh-start D --refresh-end D]
     python -m vitrine curate --sf /root/testdata/sf0.1 --root /data/shop --catalog shop   (bucketed layout)
     python -m vitrine curate --jdbc jdbc:postgresql://HOST/DB --jdbc-option user=U --jdbc-bounds sales=1:900000 --root /data/shop
+    python -m vitrine pull --jdbc jdbc:postgresql://HOST/DB --jdbc-option user=U --root /data/shop   (changed sales since the last pull)
     python -m vitrine sync --landing-queries L1 --landing-pages L2 --root /data/shop --as-of D [--days 7]
 
 The parameters are the dashboard's: a period (--start/--end, month to date
@@ -43,7 +44,7 @@ def _jdbc_source(spark, args):
     from .sources.jdbc import from_jdbc
     properties = dict(item.split("=", 1) for item in args.jdbc_option)
     bounds = {name: tuple(span.split(":", 1)) for name, span in (item.split("=", 1) for item in args.jdbc_bounds)}
-    return from_jdbc(spark, args.jdbc, properties, bounds, args.jdbc_partitions)
+    return from_jdbc(spark, args.jdbc, properties, bounds, args.jdbc_partitions, snapshot=args.snapshot)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -80,16 +81,31 @@ def main(argv: list[str] | None = None) -> int:
     cur_p.add_argument("--refresh-start")
     cur_p.add_argument("--refresh-end")
     cur_p.add_argument("--master")
+    cur_p.add_argument("--snapshot", help="id of an exported snapshot that all reads share")
+    pull_p = sub.add_parser("pull", help="bring the curated sales and lines up to date")
+    pull_src = pull_p.add_mutually_exclusive_group(required=True)
+    pull_src.add_argument("--sf", help="TPC-H-like parquet folder")
+    pull_src.add_argument("--jdbc", help="JDBC URL of the operational database")
+    pull_p.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
+    pull_p.add_argument("--jdbc-partitions", type=int, default=64)
+    pull_p.add_argument("--snapshot", help="id of an exported snapshot that all reads share")
+    pull_p.add_argument("--overlap-minutes", type=int, default=60)
+    pull_p.add_argument("--keep-deleted", action="store_true", help="do not look for deleted sales")
+    pull_p.add_argument("--root", required=True)
+    pull_p.add_argument("--master")
     sync_p = sub.add_parser("sync", help="upsert landed search statistics (J1-J3)")
     sync_p.add_argument("--landing-queries", required=True)
     sync_p.add_argument("--landing-pages", required=True)
     sync_p.add_argument("--root", required=True)
+    sync_p.add_argument("--quarantine", help="folder for broken landing rows (else one fails the run)")
     sync_p.add_argument("--as-of", dest="as_of", default=dt.date.today().isoformat())
     sync_p.add_argument("--days", type=int, default=7)
     sync_p.add_argument("--start")
     sync_p.add_argument("--end")
     sync_p.add_argument("--master")
     args = parser.parse_args(argv)
+    if args.command == "curate" and args.catalog and (args.refresh_start or args.refresh_end):
+        parser.error("the catalog layout is written whole: no --refresh-start or --refresh-end with --catalog")
 
     if args.command == "list":
         for name, (fn, defaults) in QUERIES.items():
@@ -113,10 +129,22 @@ def main(argv: list[str] | None = None) -> int:
         else:
             write_curated(source, args.root, refresh=refresh)
         return 0
+    if args.command == "pull":
+        from .sources.jdbc import JdbcChanges
+        from .sources.pull import FrameChanges, pull_sales
+        if args.jdbc:
+            properties = dict(item.split("=", 1) for item in args.jdbc_option)
+            source = JdbcChanges(spark, args.jdbc, properties, args.jdbc_partitions, args.snapshot)
+        else:
+            source = FrameChanges(from_testdata(spark, args.sf))
+        out = pull_sales(spark, source, args.root, dt.timedelta(minutes=args.overlap_minutes), not args.keep_deleted)
+        sys.stdout.write(json.dumps(out) + "\n")
+        return 0
     if args.command == "sync":
         from .streaming.upsert import sync_search
         out = sync_search(spark, args.landing_queries, args.landing_pages, args.root,
-                          dt.date.fromisoformat(args.as_of), args.days, args.start, args.end)
+                          dt.date.fromisoformat(args.as_of), args.days, args.start, args.end,
+                          quarantine_root=args.quarantine)
         sys.stdout.write(json.dumps(out) + "\n")
         return 0
     if args.catalog:

@@ -259,3 +259,10 @@ def incremental_pull(t: Tables, as_of: dt.date | None = None) -> DataFrame:
     lines = t["sale_items"].where(~((k % 90 == 6) & (F.col("quantity") > 25)))
     pull_sales(spark, FrameChanges(Tables({"sales": lambda: changed, "sale_items": lambda: lines})), root)
     return _sales_with_lines(spark, root)
+
+
+def bad_dates(t: Tables, as_of: dt.date | None = None) -> DataFrame:
+    """O1: per table the rows with a date text, and those of them that are no
+    valid date in either layout."""
+    from ..sources.curated import bad_date_counts
+    return bad_date_counts(t)

@@ -74,6 +74,7 @@ QUERIES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "j2_upsert_pages": (ingest.upsert_pages, _SEARCH_DAY),
     "o02_default_period": (sales.sales_kpis, {"as_of": dt.date(2000, 6, 15), "period": None}),
     "s4_curated_refresh": (ingest.curated_refresh, _SALES_DAY),
+    "o01_bad_dates": (ingest.bad_dates, _SALES_DAY),
     "s1_incremental_pull": (ingest.incremental_pull, _SALES_DAY),
     "s5_kept_summaries": (ingest.summaries_after_changes, _SALES_DAY),
     "s2_landing_pages": (ingest.landing_pages, _SEARCH_DAY),
