@@ -85,6 +85,11 @@ QUERIES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "o20_upsert_into_target": (ingest.upsert_into_target, _SEARCH_DAY),
 }
 
+#: Queries that run load or sync jobs when they are built: they write tables of
+#: their own and take as long as those jobs do.
+JOBS = frozenset({"s1_incremental_pull", "s2_landing_pages", "s4_curated_refresh", "s5_kept_summaries", "o20_upsert_into_target",
+                  "j1_sync_files", "j2_sync_files", "j3_sync_windows", "j4_ensure_tables"})
+
 
 def run(name: str, tables: Tables, **overrides) -> DataFrame:
     fn, params = QUERIES[name]
