@@ -8,7 +8,7 @@ gather and one sum over the whole text.
 
 Training uses a bounded sample: at most ``sample`` labelled documents chosen
 by a hash of the id, cut into ``shards``; each shard runs per-coordinate
-FTRL-proximal over its documents in its own task, and the weights (2^18 per shard) are
+FTRL-proximal over its documents on its own, and the weights (2^18 per shard) are
 averaged.
 
 Defined cases: null or empty text has no features and gets the score of the
@@ -76,20 +76,29 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / self.alpha * w
 
 
+def _fit_shard(rows: list, epochs: int) -> pa.RecordBatch:
+    model = Ftrl()
+    for _ in range(epochs):
+        for at, x, y in rows:
+            model.update(at, x, y)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([model.weights().astype("<f4").tobytes()]), pa.array([len(rows)])], ["weights", "rows"])
+
+
 def _fit(batches, epochs: int) -> Iterator[pa.RecordBatch]:
-    rows = []
+    """One model per shard; several shards may fall into one task."""
+    rows, now = [], None
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            _, feature, tokens = token_features(pa.array([text]))
+        for shard, text, y in zip(*(batch.column(c).to_pylist() for c in ("shard", "text", "y")), strict=True):
+            if rows and shard != now:
+                yield _fit_shard(rows, epochs)
+                rows = []
+            now = shard
+            _, feature, tokens = token_features(pa.array([text], pa.string()))
             names, count = np.unique(feature, return_counts=True)
             rows.append((np.append(names, 1 << BITS), np.append(SCALE * count / max(int(tokens[0]), 1), 1.0), y))
     if rows:
-        model = Ftrl()
-        for _ in range(epochs):
-            for at, x, y in rows:
-                model.update(at, x, y)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([model.weights().astype("<f4").tobytes()]), pa.array([len(rows)])], ["weights", "rows"])
+        yield _fit_shard(rows, epochs)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int = 3) -> np.ndarray:
@@ -101,8 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
         .orderBy("mark", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")     # at most ``sample`` small rows
     shard = rows.select("text", "y", "mark", "doc_id", F.pmod("mark", F.lit(shards)).alias("shard")) \
-        .repartition(shards, "shard").sortWithinPartitions("mark", "doc_id")
-    parts = shard.select("text", "y").mapInArrow(partial(_fit, epochs=epochs), "weights binary, rows long").collect()
+        .repartition(shards, "shard").sortWithinPartitions("shard", "mark", "doc_id")
+    parts = shard.select("shard", "text", "y").mapInArrow(partial(_fit, epochs=epochs), "weights binary, rows long").collect()
     total = np.zeros((1 << BITS) + 1)
     for r in parts:                                                              # one row of 1 MB per shard
         total += r["rows"] * np.frombuffer(r["weights"], dtype="<f4")
