@@ -79,8 +79,8 @@ def word_grams(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     three = (two[:-1] << np.uint32(8)) | text[2:]
     inner = ~blank[1:-1]                                             # a 3-gram over a blank joins two words
     hashed = (mix(three[inner].astype(np.uint64) + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % TRIGRAMS
-    return (np.concatenate([owner[:-2], owner[:-2][inner]]),
-            np.concatenate([two[:-1].astype(np.int64), hashed + (1 << 16)]))
+    return (np.concatenate([owner[:-1], owner[:-2][inner]]),
+            np.concatenate([two.astype(np.int64), hashed + (1 << 16)]))
 
 
 def _documents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
