@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import connected_components, groups, materialise, shuffle_width, slices, spanning, tiles
+from vitrine.llm.common import connected_components, groups, materialise, shuffle_width, slices, spanning, tiles, unused
 
 TILE = 1024
 #: Block length and number of blocks by the largest distance they serve.
@@ -178,11 +178,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 4
     kept = simhash_components(docs, shingle, distance, seed).filter("kept").select(
         F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark")).distinct()
     kept = materialise(kept, "kept")
-    marked = docs.withColumn("_own_mark", text_mark())
-    same = marked["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (marked["_own_mark"] == kept["_kept_mark"])
+    (own,) = unused(docs, "_own_mark")
+    marked = docs.withColumn(own, text_mark())
+    same = marked["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (marked[own] == kept["_kept_mark"])
     rows = marked.join(kept, same, "left_semi")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():     # fully equal rows: one stays
-        rows = rows.dropDuplicates(["doc_id", "_own_mark"])
+        rows = rows.dropDuplicates(["doc_id", own])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import materialise
+from vitrine.llm.common import materialise, unused
 from vitrine.llm.linear import mix
 
 LENGTH = 100
@@ -403,10 +403,10 @@ def _cut(batches, length: int) -> Iterator[pa.RecordBatch]:
             ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def _cut_rows(batches, length: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut_rows(batches, length: int, columns: list[str], places_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, texts, sizes = columns.index("text"), [], []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("_sd_places").to_pylist(), strict=True):
+        for text, places in zip(batch.column("text").to_pylist(), batch.column(places_name).to_pylist(), strict=True):
             if places:       # a cut may fall inside a character, whose rest goes too
                 text = cut_out(text.encode(), places, length)[0].decode("utf-8", "ignore")
             texts.append(text)
@@ -427,11 +427,12 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk
     and n_chars, if there, set to the new length."""
     key, repeat = order_key(docs)
     _, texts = keyed(docs, key, repeat)
+    doc, tie, places = unused(docs, "_sd_doc", "_sd_tie", "_sd_places")
     found = _places(texts, length, gram, chunk).select(
-        F.col("doc").alias("_sd_doc"), F.col("tie").alias("_sd_tie"), F.col("places").alias("_sd_places"))
-    rows = docs.withColumns({"_sd_doc": key["doc"], "_sd_tie": key["tie"]})
-    rows = rows.join(found, ["_sd_doc", "_sd_tie"], "left").drop("_sd_doc", "_sd_tie")
-    return rows.mapInArrow(partial(_cut_rows, length=length, columns=docs.columns), docs.schema)
+        F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("places").alias(places))
+    rows = docs.withColumns({doc: key["doc"], tie: key["tie"]})
+    rows = rows.join(found, [doc, tie], "left").drop(doc, tie)
+    return rows.mapInArrow(partial(_cut_rows, length=length, columns=docs.columns, places_name=places), docs.schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
