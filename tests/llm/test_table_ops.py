@@ -172,6 +172,28 @@ def test_vectors_edges_and_clusters(spark, tile, write_docs):
     assert QUERIES["op9_sphere_caps"](spark, write_docs(embeddings=df.limit(0))).count() == 0
 
 
+def test_vectors_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a), (None, a), (7, a), (7, b), (None, c), (None, None), (3, None)]
+    out = sphere_caps.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(map(tuple, out)) == Counter([(7, 2, 7), (None, 2, 7), (7, 2, 7), (7, 0, 7), (None, 0, None), (None, 0, None), (3, 0, 3)])
+
+
+def test_filters_do_not_depend_on_the_batch():
+    """A vector alone, among others and in another order gets the same filters."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    book = sphere_caps.codebook(64, 2, 90, 17)
+    row, key = sphere_caps.directions(x, book, 0.3, 8)
+    want = [set(key[row == k].tolist()) for k in range(len(x))]
+    assert min(map(len, want)) >= 8
+    order = rng.permutation(len(x))
+    row, key = sphere_caps.directions(x[order], book, 0.3, 8)
+    assert [set(key[row == k].tolist()) for k in np.argsort(order)] == want
+    assert all(set(sphere_caps.directions(x[k:k + 1], book, 0.3, 8)[1].tolist()) == want[k] for k in range(0, 300, 7))
+
+
 def test_list_decode_is_complete():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((50, 12))

@@ -16,11 +16,13 @@ more). A vector that exceeds the threshold in fewer directions than that
 calls for (its weight lies in few dimensions) gets a lower one. Equal vectors are one class first. A crowded filter is split into
 tiles of bounded size; a tile returns the number of links of each class and
 a spanning forest, never all pairs. A pair counts only in the smallest filter
-that both vectors lie in.
+that both vectors lie in; a tile decodes the vectors that have a partner in it
+once more to know it, so no filter list is sent along.
 
 Defined cases: null, empty or zero vectors and those with null or non-finite
 components link with nothing (n_links 0, component is their own id); vectors
-of different lengths never link; repeated rows are vectors of their own;
+of different lengths never link; repeated rows and equal ids are vectors of
+their own; a null id takes the smallest id of its component, null if there is none;
 an empty table gives an empty result. Only vec_id and embedding are read.
 """
 
@@ -40,6 +42,7 @@ from vitrine.llm.common import connected_components, groups, materialise, spanni
 
 CAP_ROWS = 32
 TILE = 1024
+GRID = 22
 
 
 def design(n: int, cosine: float, expected_common: float) -> tuple[int, int, float, int]:
@@ -63,10 +66,16 @@ def codebook(dim: int, blocks: int, codes: int, seed: int) -> list[np.ndarray]:
     out = []
     for cols in np.array_split(np.arange(dim), min(blocks, dim)):
         c = rng.standard_normal((codes, len(cols)))
-        out.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(min(blocks, dim)))
+        out.append(on_grid(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(min(blocks, dim))))
     return out
 
 
+def on_grid(x: np.ndarray) -> np.ndarray:
+    """Rounded to multiples of 2^-GRID: products of two such numbers and their
+    sums are exact in double precision, whatever the order of addition."""
+    return np.round(x * (1 << GRID)) / (1 << GRID)
+
+
 def list_decode(x: np.ndarray, book: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every direction whose inner product reaches ``threshold``."""
     scores, at = [], 0
@@ -84,7 +93,9 @@ def list_decode(x: np.ndarray, book: list[np.ndarray], threshold: float) -> tupl
 
 def directions(x: np.ndarray, book: list[np.ndarray], threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``list_decode``, with the threshold lowered step by step for the
-    vectors that exceed it in fewer than ``least`` directions."""
+    vectors that exceed it in fewer than ``least`` directions. A vector gets the
+    same filters wherever it is decoded (both sides lie on the grid)."""
+    x = on_grid(x)
     least = min(least, math.prod(len(c) for c in book))
     rows, keys, left = [], [], np.arange(len(x))
     while len(left):
@@ -125,43 +136,57 @@ def _filters(batches, blocks: int, codes: int, a: float, least: int, seed: int)
                 sel = own[at:at + 512]
                 x = np.frombuffer(b"".join(units[i] for i in sel), dtype=np.float64).reshape(-1, dim)
                 row, key = directions(x, books[dim], a / math.sqrt(dim), least)
-                key += dim << 40                     # filters of different lengths are different
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                cuts = np.searchsorted(row, np.arange(len(sel) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(key))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[sel]), lists], ["cid", "filters"])
+                # filters of different lengths are different
+                yield pa.RecordBatch.from_arrays([pa.array(cid[sel][row]), pa.array(key + (dim << 40))], ["cid", "filter"])
+
 
+def _met_before(x: np.ndarray, f: int, book: list[np.ndarray], a: float, least: int) -> np.ndarray:
+    """0/1 matrix: rows of ``x`` by the filters below ``f`` that hold them."""
+    dim, rows, keys = x.shape[1], [], []
+    for at in range(0, len(x), 512):
+        row, key = directions(x[at:at + 512], book, a / math.sqrt(dim), least)
+        below = key + (dim << 40) < f
+        rows.append(row[below] + at)
+        keys.append(key[below])
+    names, code = np.unique(np.concatenate(keys), return_inverse=True)
+    met = np.zeros((len(x), len(names)), dtype=np.float32)
+    met[np.concatenate(rows), code] = 1
+    return met
 
-def _verify(batches, cosine: float) -> Iterator[pa.RecordBatch]:
+
+def _verify(batches, cosine: float, blocks: int, codes: int, a: float, least: int, seed: int) -> Iterator[pa.RecordBatch]:
+    books: dict[int, list[np.ndarray]] = {}
     for g in groups(batches, ["filter", "tile_i", "tile_j"]):
         f, n = int(g["filter"][0]), len(g["cid"])
         x = np.frombuffer(b"".join(g["unit"]), dtype=np.float64).reshape(n, -1)
-        # filters below this one that a pair may already have met in
-        lists = [np.asarray(v, dtype=np.int64) for v in g["filters"]]
-        owner = np.repeat(np.arange(n), [len(v) for v in lists])
-        every = np.concatenate(lists)
-        names, code = np.unique(every[every < f], return_inverse=True)
-        met = np.zeros((n, len(names)), dtype=np.float32)
-        met[owner[every < f], code] = 1
         one = two = np.arange(n)
         cross = g["tile_i"][0] != g["tile_j"][0]
         if cross:
             one, two = np.flatnonzero(g["chunk"] == g["tile_i"][0]), np.flatnonzero(g["chunk"] == g["tile_j"][0])
-        links, left, right = np.zeros(n, dtype=np.int64), [], []
+        ok = np.zeros((len(one), len(two)), dtype=bool)      # a tile is of bounded size
         for at in range(0, len(one), 256):
-            rows = one[at:at + 256]
-            ok = (x[rows] @ x[two].T >= cosine) & (met[rows] @ met[two].T < 0.5)
-            if not cross:
-                ok &= rows[:, None] < two[None, :]
-            i, j = np.nonzero(ok)
-            i, j = rows[i], two[j]
-            links += np.bincount(i, g["n"][j], n).astype(np.int64) + np.bincount(j, g["n"][i], n).astype(np.int64)
-            left.append(i)
-            right.append(j)
-        if not left:
+            ok[at:at + 256] = x[one[at:at + 256]] @ x[two].T >= cosine
+        if not cross:
+            ok = np.triu(ok, 1)
+        i, j = np.nonzero(ok.any(axis=1))[0], np.nonzero(ok.any(axis=0))[0]
+        if not len(i):
             continue
-        root = spanning(n, np.concatenate(left), np.concatenate(right))
+        # a pair counts in its smallest filter: those of the vectors with a partner here are decoded again
+        dim = x.shape[1]
+        if dim not in books:
+            books[dim] = codebook(dim, blocks, codes, seed)
+        near = np.union1d(one[i], two[j])
+        met = _met_before(x[near], f, books[dim], a, least)
+        left, right = np.searchsorted(near, one[i]), np.searchsorted(near, two[j])
+        links, pairs_a, pairs_b = np.zeros(n, dtype=np.int64), [], []
+        for at in range(0, len(i), 256):
+            new = ok[np.ix_(i[at:at + 256], j)] & (met[left[at:at + 256]] @ met[right].T < 0.5)
+            p, q = np.nonzero(new)
+            p, q = one[i[at + p]], two[j[q]]
+            links += np.bincount(p, g["n"][q], n).astype(np.int64) + np.bincount(q, g["n"][p], n).astype(np.int64)
+            pairs_a.append(p)
+            pairs_b.append(q)
+        root = spanning(n, np.concatenate(pairs_a), np.concatenate(pairs_b))
         own = np.flatnonzero(links)
         if len(own):
             yield pa.RecordBatch.from_arrays(
@@ -178,14 +203,12 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, expected_common: float
         own.filter("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
     blocks, codes, a, least = design(classes.count(), cosine, expected_common)
-    lists = materialise(
-        classes.select("cid", "unit").mapInArrow(
-            partial(_filters, blocks=blocks, codes=codes, a=a, least=least, seed=seed), "cid long, filters array<long>"), "filters")
-    split = tiles(lists.select("cid", F.explode("filters").alias("filter")), "filter", "cid", tile)
-    rows = split.join(classes.select("cid", "unit", "n"), "cid").join(lists, "cid")
-    dealt = rows.select("filter", "tile_i", "tile_j", "chunk", "cid", "n", "unit", "filters") \
+    code = {"blocks": blocks, "codes": codes, "a": a, "least": least, "seed": seed}
+    members = materialise(classes.select("cid", "unit").mapInArrow(partial(_filters, **code), "cid long, filter long"), "filters")
+    rows = tiles(members, "filter", "cid", tile).join(classes.select("cid", "unit", "n"), "cid")
+    dealt = rows.select("filter", "tile_i", "tile_j", "chunk", "cid", "n", "unit") \
         .repartition("filter", "tile_i", "tile_j").sortWithinPartitions("filter", "tile_i", "tile_j")
-    found = materialise(dealt.mapInArrow(partial(_verify, cosine=cosine), "a long, b long, links long"), "found")
+    found = materialise(dealt.mapInArrow(partial(_verify, cosine=cosine, **code), "a long, b long, links long"), "found")
     comp = connected_components(found.select("a", "b"))
     number = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     named = materialise(
