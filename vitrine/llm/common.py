@@ -7,8 +7,10 @@ is cut there.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,35 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.Reco
         yield batch.slice(a, b - a)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc alone
+
+
+def frees(work: Callable) -> Callable:
+    """A task function over batches that gives freed memory back to the system
+    after each input batch and at its end: Spark keeps its Python workers, and
+    what they hold back would count in every later stage."""
+    def free() -> None:
+        pa.default_memory_pool().release_unused()
+        if _trim() is not None:
+            _trim()(0)
+
+    def fed(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            free()
+
+    @wraps(work)
+    def run(batches, *args, **kwargs):
+        try:
+            yield from work(fed(batches), *args, **kwargs)
+        finally:
+            free()
+    return run
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column (null: no words).
 

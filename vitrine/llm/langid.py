@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_crc, slices, words
+from vitrine.llm.common import frees, id_crc, slices, words
 from vitrine.llm.linear import buffers, mix
 
 #: Language families by ISO 639-1 code.
@@ -221,6 +221,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         partial(_predict, model=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+@frees
 def _accept(batches, model, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 8 << 20):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import slices
+from vitrine.llm.common import frees, slices
 
 WINDOW = 2048
 #: Fixed value: the special token of the vocabulary and its id.
@@ -104,6 +104,7 @@ def encode(texts: list[bytes], vocabulary: str, pattern: str) -> tuple[np.ndarra
     return flat[at], np.bincount(row, n, len(texts)).astype(np.int64)
 
 
+@frees
 def _tokenise(batches, vocabulary: str, pattern: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
@@ -187,6 +188,7 @@ class Windows:
         return number, self.window - room
 
 
+@frees
 def _pack(batches, window: int) -> Iterator[pa.RecordBatch]:
     tree, base = Windows(window), TaskContext.get().partitionId() << 40
     for batch in batches:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import connected_components, groups, materialise, shuffle_width, slices, spanning, tiles, unused
+from vitrine.llm.common import connected_components, frees, groups, materialise, shuffle_width, slices, spanning, tiles, unused
 
 TILE = 1024
 #: Block length and number of blocks by the largest distance they serve.
@@ -57,6 +57,7 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+@frees
 def _fingerprints(batches, shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 8 << 20):
@@ -103,6 +104,7 @@ def anchors(fp: np.ndarray, n: int, blocks: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(own), np.concatenate(key), np.concatenate(home)
 
 
+@frees
 def _replicate(batches, n: int, blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         signed = batch.column("fp").to_numpy(zero_copy_only=False)
@@ -111,6 +113,7 @@ def _replicate(batches, n: int, blocks: int) -> Iterator[pa.RecordBatch]:
             [pa.array(key.view(np.int64)), pa.array(signed[own]), pa.array(home)], ["anchor", "fp", "home"])
 
 
+@frees
 def _compare(batches, distance: int) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     for g in groups(batches, ["anchor", "tile_i", "tile_j"]):

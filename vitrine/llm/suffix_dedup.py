@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import materialise, unused
+from vitrine.llm.common import frees, materialise, slices, unused
 from vitrine.llm.linear import mix
 
 LENGTH = 100
 GRAM = 24
 SEGMENT = 1 << 20          # bytes hashed at once
 BUFFER = 1 << 20           # bytes sorted at once
+SLICE = 4 << 20            # bytes of a batch turned into Python objects at once
 CHUNK = 4096               # classes of an anchor in one buffer
 NULL_ID = -(1 << 63)
 
@@ -104,7 +105,7 @@ def _segments(batches, length: int) -> Iterator[tuple[list, np.ndarray, np.ndarr
     """Buffers of about SEGMENT bytes: ([(doc, tie, offset in text)], text,
     (begin, end) of window starts); long texts are cut with an overlap."""
     parts, meta, valid, size = [], [], [], 0
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text", SLICE)):
         for doc, tie, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text")), strict=True):
             for at in range(0, len(text) - length + 1, SEGMENT // 2):
                 piece = text[at:at + SEGMENT // 2 + length - 1]
@@ -123,6 +124,7 @@ def _place(start, anchor, last, repeat) -> np.ndarray:
     return (start << _START) | (np.asarray(repeat, dtype=np.int64) << _REPEAT) | ((anchor - start) << _ANCHOR) | (last - start)
 
 
+@frees
 def _anchors(batches, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Rows (h, body, doc, tie, place); repeats inside a run of buffers are
     told apart here and leave their anchor's group."""
@@ -153,6 +155,7 @@ def _local(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (h, body, doc, tie, place)], ["h", "body", "doc", "tie", "place"])
 
 
+@frees
 def _classes(batches, chunk: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (h, body, doc, tie, place): repeats, and the first
     row of every class of anchors with several classes (with h and a chunk
@@ -282,11 +285,12 @@ def equal_windows(pieces: list[bytes], starts: np.ndarray, length: int) -> tuple
     return order, np.cumsum(~common_prefix_at_least(text, order, length)) - 1
 
 
+@frees
 def _sort_snippets(batches, length: int, chunk: int) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows; and the first window of every string, with
     its digest, where an anchor has several chunks."""
     rows, size = [], 0
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "snippet", SLICE)):
         cols = (batch.column(c).to_pylist() for c in ("h", "chunk", "doc", "tie", "place", "snippet"))
         for r in zip(*cols, strict=True):
             if size > BUFFER and (r[0], r[1]) != (rows[-1][0], rows[-1][1]):
@@ -392,8 +396,9 @@ def cut_out(text: bytes, places: list[int] | None, length: int) -> tuple[bytes,
     return b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)), len(begin)
 
 
+@frees
 def _cut(batches, length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text", SLICE)):
         texts = batch.column("text").to_pylist()
         done = [cut_out(t, p, length) for t, p in zip(texts, batch.column("places").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -403,8 +408,9 @@ def _cut(batches, length: int) -> Iterator[pa.RecordBatch]:
             ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
+@frees
 def _cut_rows(batches, length: int, columns: list[str], places_name: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text", SLICE)):
         at, texts, sizes = columns.index("text"), [], []
         for text, places in zip(batch.column("text").to_pylist(), batch.column(places_name).to_pylist(), strict=True):
             if places:       # a cut may fall inside a character, whose rest goes too

@@ -55,7 +55,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import materialise, slices, words
+from vitrine.llm.common import frees, materialise, slices, words
 from vitrine.llm.linear import mix, word_hashes
 
 WINDOW = 5
@@ -215,6 +215,7 @@ def _item_windows(batches, window: int, names) -> Iterator[pa.RecordBatch]:
                         [*out.columns, pa.array(np.full(out.num_rows, length, dtype=np.int32))], [*out.schema.names, "length"])
 
 
+@frees
 def _doc_windows(batches, lengths: list[int], bitmap, names, window: int, similarity: float) -> Iterator[pa.RecordBatch]:
     bits = bitmap.value
     for batch in batches:
