@@ -116,3 +116,41 @@ def test_mark_and_schema(spark, tmp_dir):
     pull._write_mark(spark, tmp_dir, dt.datetime(2024, 1, 2, 3, 4, 5, 678901))
     assert read_mark(spark, tmp_dir) == dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
     assert curated_schema("shipments").names[-1] == "sale_total"
+
+
+class Counted(FrameChanges):
+    """Counts how often the source is asked for its sales."""
+    asked = 0
+
+    def sales(self, since):
+        self.asked += 1
+        return super().sales(since)
+
+
+def test_the_source_is_read_once_and_stored_rows_keep_their_order(spark, source, tmp_dir, monkeypatch):
+    first = Counted(from_frames(source))
+    got = pull_sales(spark, first, tmp_dir)
+    assert first.asked == 1 and got["lines_read"] == source["sale_items"].count()
+    k = F.col("sale_id")
+    now = {"sales": stamped(source["sales"].withColumn("sale_date_text", F.when(k % 50 == 3, F.lit("2001-11-11")).otherwise(F.col("sale_date_text"))),
+                            k % 50 == 3), "sale_items": source["sale_items"].where(~((k % 50 == 3) & (F.col("quantity") > 25)))}
+    ranges, real = [], pull.replace_partitions
+    monkeypatch.setattr(pull, "replace_partitions", lambda staged, root, name, values, n: (ranges.append(n), real(staged, root, name, values, n)))
+    second = Counted(from_frames(now))
+    pull_sales(spark, second, tmp_dir)
+    assert second.asked == 1 and ranges == [None, None]     # staged rows are not dealt out again
+    check(spark, tmp_dir, now)
+    for n, keys in (("sales", ["sale_date", "sale_id"]), ("sale_items", ["sale_date", "sale_id", "sku"])):
+        for path in spark.read.parquet(f"{tmp_dir}/{n}").inputFiles():
+            rows = [tuple(r) for r in spark.read.parquet(path).select(keys).where("sale_date IS NOT NULL").coalesce(1).collect()]
+            assert rows == sorted(rows), path
+
+
+def test_lines_of_twice_stored_and_missing_sales(spark, source, tmp_dir):
+    k = F.col("sale_id")
+    twice = {"sales": source["sales"].unionByName(source["sales"].where(k % 30 == 1)),
+             "sale_items": source["sale_items"].unionByName(source["sale_items"].limit(5).withColumn("sale_id", -F.col("sale_id")))}
+    pull_sales(spark, FrameChanges(from_frames(twice)), tmp_dir)
+    stored = from_parquet(spark, tmp_dir)["sale_items"]
+    doubled = source["sale_items"].where(k % 30 == 1).count()
+    assert doubled and stored.count() == source["sale_items"].count() + doubled and stored.where(k < 0).count() == 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.period import Period
 from ..schemas import PARSED_DATES, TABLES, curated_schema
-from ..session import path_exists, remove_path, scratch_dir
+from ..session import COMPRESSION, path_exists, remove_path, scratch_dir
 from . import kept
 from .tables import Tables
 
@@ -120,11 +120,19 @@ def forget_digests(spark, root: str, name: str) -> None:
     remove_path(spark, _digest_path(root, name))
 
 
-def _write(df: DataFrame, path: str, cluster, part: str | None, n: int, dynamic: bool = False) -> None:
+def _write(df: DataFrame, path: str, cluster, part: str | None, n: int | None, dynamic: bool = False) -> None:
+    """Each task takes one range of the sort order, rows sorted inside it;
+    without ``n`` the rows stay in the tasks that read them."""
     keys = ([part] if part else []) + list(cluster)
-    # each task takes one range of the sort order; rows sorted inside it
-    out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    writer = out.write.mode("overwrite").option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
+    if n is None:
+        out = df
+    elif part == "sale_month":
+        # the order of the dates is that of their months: the month need not move
+        out = df.drop(part).repartitionByRange(n, *cluster).withColumn(part, F.trunc("sale_date", "month"))
+    else:
+        out = df.repartitionByRange(n, *keys)
+    writer = out.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", COMPRESSION) \
+        .option("maxRecordsPerFile", TARGET_ROWS_PER_FILE)
     if part:
         writer = writer.partitionBy(part)
         if dynamic:
@@ -139,9 +147,16 @@ def among(part: str, values) -> Column:
     return wanted | F.col(part).isNull() if None in values else wanted
 
 
-def replace_partitions(staged: DataFrame, root: str, name: str, values: set, n: int) -> None:
-    """Overwrite the partitions ``values`` of a stored table by staged rows; a
-    partition left without rows is deleted. Running it again changes nothing."""
+def stage(df: DataFrame, path: str) -> None:
+    """Keep rows in the checkpoint folder, as they come: what replaces stored
+    rows with them puts them in order."""
+    df.write.option("compression", COMPRESSION).parquet(path)
+
+
+def replace_partitions(staged: DataFrame, root: str, name: str, values: set, n: int | None) -> None:
+    """Overwrite the partitions ``values`` of a stored table by staged rows, in
+    ``n`` ranges (None: staged in order already); a partition left without rows is
+    deleted. Running it again changes nothing."""
     spark, (cluster, part) = staged.sparkSession, LAYOUT[name]
     # partition values present: at most those asked for
     present = {r[0] for r in staged.select(part).distinct().collect()}
@@ -153,11 +168,16 @@ def replace_partitions(staged: DataFrame, root: str, name: str, values: set, n:
 
 def _with_stored(tables: Tables, root: str, spark, needed: set) -> Tables:
     """The source's tables; of those it lacks the stored ones."""
-    absent = {n for n in needed if n not in tables}
-    if not absent:
-        return tables
-    stored = {n: (lambda n=n: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}")) for n in absent}
-    return Tables({**{n: (lambda n=n: tables[n]) for n in tables}, **stored})
+    for n in needed:
+        if n not in tables:
+            tables = _with_rows(tables, n, f"{root}/{n}", spark)
+    return tables
+
+
+def _with_rows(tables: Tables, name: str, path: str, spark) -> Tables:
+    """The tables, one of them read from its curated rows at ``path``."""
+    return Tables({**{n: (lambda n=n: tables[n]) for n in tables},
+                   name: lambda: spark.read.schema(curated_schema(name)).parquet(path)})
 
 
 def write_curated(tables: Tables, root: str, names=None, files_per_table: int | None = None,
@@ -174,11 +194,13 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
     wherever it lies, the undated rows included; both tables get the same
     months. Months are compared by a digest of their rows, the source's against
     the stored table's, which the last refresh has kept: the stored history is
-    not read, and only months that differ are opened. Search tables: the
-    window's days. The other tables are rewritten whole. New rows are first
-    staged in the checkpoint folder (the target is untouched until they are
+    not read, and only months that differ are opened. The source is read once:
+    its rows are staged, and digests and new months taken from there. Search
+    tables: the window's days. The other tables are rewritten whole. New rows are
+    first staged in the checkpoint folder (the target is untouched until they are
     complete), then overwrite their partitions (dynamic partition overwrite); a
-    partition left without rows is deleted.
+    partition left without rows is deleted. Lines and parcels take their sale's
+    columns from the sales just staged or written, not from the source again.
 
     ``summaries``: write the kept summaries (``kept.py``) of sales, lines and
     search queries as well, in a refresh those of the changed partitions."""
@@ -196,37 +218,45 @@ def write_curated(tables: Tables, root: str, names=None, files_per_table: int |
     n = files_per_table or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     needed = set(names) | ({"sales"} if {"sale_items", "shipments"} & set(names) else set())
     source = _with_stored(tables, root, spark, needed)
+    names.sort(key=lambda name: name != "sales")            # lines and parcels read the sales
     months: set = set()
     digests: dict = {}
-    if refresh is not None and pair & set(names):
+    staged: dict = {}
+    values: dict = {}
+    if refresh is not None:
         months = set(_window_values("sale_month", refresh.start, refresh.end))
-        for name in pair:
-            digests[name] = month_digests(typed(curated_frame(source, name), name))
-            old = _stored_digests(spark, root, name)
-            months |= {m for m in {*old, *digests[name]} if old.get(m) != digests[name].get(m)}
-    staged = {}
-    values = {}
     for name in names:
         part = LAYOUT[name][1]
         if refresh is None or part not in ("sale_month", "day"):
             continue
-        values[name] = months if part == "sale_month" else set(_window_values(part, refresh.start, refresh.end))
         staged[name] = scratch_dir(spark, f"curate-{name}-{uuid.uuid4().hex}")
-        _write(typed(curated_frame(source, name), name).where(among(part, values[name])), staged[name], *LAYOUT[name], n)
+        rows = typed(curated_frame(source, name), name)
+        if part == "day":
+            values[name] = set(_window_values(part, refresh.start, refresh.end))
+            rows = rows.where(among(part, values[name]))
+        stage(rows, staged[name])
+        if name == "sales":
+            source = _with_rows(source, name, staged[name], spark)
+        if name in pair:
+            values[name] = months
+            digests[name] = month_digests(spark.read.schema(curated_schema(name)).parquet(staged[name]))
+            old = _stored_digests(spark, root, name)
+            months |= {m for m in {*old, *digests[name]} if old.get(m) != digests[name].get(m)}
     in_use = {g: kept.suspend(spark, root, g) for g in kept.GROUPS if g in names}
     for name in names:
         cluster, part = LAYOUT[name]
         if name not in staged:
             _write(curated_frame(source, name), f"{root}/{name}", cluster, part, n)
             forget_digests(spark, root, name)
+            if name == "sales":
+                source = _with_rows(source, name, f"{root}/{name}", spark)
             continue
-        rows = spark.read.schema(curated_schema(name)).parquet(staged[name])
+        rows = spark.read.schema(curated_schema(name)).parquet(staged[name]).where(among(part, values[name]))
         replace_partitions(rows, root, name, values[name], n)
         if name in digests:
-            # of the rewritten months as they were staged
-            now = {m: d for m, d in digests[name].items() if m not in months} | month_digests(rows)
-            _keep_digests(spark, root, name, now)
-        remove_path(spark, staged[name])
+            _keep_digests(spark, root, name, digests[name])
+    for path in staged.values():
+        remove_path(spark, path)
     for group, was in in_use.items():
         if summaries:
             kept.update(spark, root, group, values[group] if was and group in values else None)

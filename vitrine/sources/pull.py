@@ -29,7 +29,7 @@ from ..functions.dates import parse_timestamp
 from ..schemas import TABLES, curated_schema
 from ..session import path_exists, remove_path, scratch_dir
 from . import kept
-from .curated import LAYOUT, among, curated_frame, forget_digests, replace_partitions, typed, write_curated
+from .curated import LAYOUT, among, curated_frame, forget_digests, replace_partitions, stage, typed, write_curated
 from .tables import Tables
 
 PAIR = ("sales", "sale_items")
@@ -53,8 +53,10 @@ class FrameChanges:
     def sales(self, since: dt.datetime | None) -> DataFrame:
         return self.tables["sales"].where(stamped_since(since))
 
-    def lines(self, since: dt.datetime | None) -> DataFrame:
-        return self.tables["sale_items"].join(self.sales(since).select("sale_id"), "sale_id", "left_semi")
+    def lines(self, since: dt.datetime | None, sales: DataFrame | None = None) -> DataFrame:
+        """Lines of the sales written since; ``sales``: those, if they were read already."""
+        ids = (self.sales(since) if sales is None else sales).select("sale_id")
+        return self.tables["sale_items"].join(ids, "sale_id", "left_semi")
 
     def keys(self) -> DataFrame:
         return self.tables["sales"].select("sale_id")
@@ -90,7 +92,7 @@ def complete(spark: SparkSession, root: str) -> bool:
         staging[r["name"]] = r["staging"]
     in_use = {name: kept.suspend(spark, root, name) for name in staging}
     for name, place in staging.items():
-        replace_partitions(spark.read.schema(curated_schema(name)).parquet(place), root, name, months[name], _width(spark))
+        replace_partitions(spark.read.schema(curated_schema(name)).parquet(place), root, name, months[name], None)
         forget_digests(spark, root, name)
     for name in staging:
         kept.update(spark, root, name, months[name] if in_use[name] else None)
@@ -111,6 +113,11 @@ def _digests(sales: DataFrame, lines: DataFrame, side: str) -> DataFrame:
         F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.shiftright("g", 24))).alias(side))
 
 
+def _lines(source, since: dt.datetime | None, sales: DataFrame) -> DataFrame:
+    """Lines of the sales just read; a database joins them itself."""
+    return source.lines(since, sales) if isinstance(source, FrameChanges) else source.lines(since)
+
+
 def pull_sales(spark: SparkSession, source, root: str, overlap: dt.timedelta = OVERLAP, compare_keys: bool = True) -> dict:
     """Bring the curated sales and lines at ``root`` up to date with ``source``
     (``sales(since)``, ``lines(since)``, ``keys()``).
@@ -128,17 +135,21 @@ def pull_sales(spark: SparkSession, source, root: str, overlap: dt.timedelta = O
     # what the source holds now, read once
     seen, seen_lines = Observation(), Observation()
     sales_cols, line_cols = ([f.name for f in TABLES[n].fields] for n in PAIR)
-    source.sales(since).select(*sales_cols).observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.max(parse_timestamp("synced_at_text")).alias("mark")).write.parquet(f"{run}/sales")
-    source.lines(since).select(*line_cols).observe(seen_lines, F.count(F.lit(1)).alias("rows")).write.parquet(f"{run}/sale_items")
+    stage(source.sales(since).select(*sales_cols).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.max(parse_timestamp("synced_at_text")).alias("mark")), f"{run}/sales")
     got = Tables({n: (lambda n=n: spark.read.schema(TABLES[n]).parquet(f"{run}/{n}")) for n in PAIR})
-    report = {"sales_read": seen.get["rows"], "lines_read": seen_lines.get["rows"], "changed": 0, "deleted": 0, "months": 0}
+    lines = _lines(source, since, got["sales"]).select(*line_cols)
+    report = {"sales_read": seen.get["rows"], "changed": 0, "deleted": 0, "months": 0}
     new_mark = max((m for m in (mark, seen.get["mark"]) if m is not None), default=None)
     if not stored_there:
-        write_curated(got, root, names=list(PAIR))
+        # all lines go from the source to their months, their sales' columns on the way
+        write_curated(Tables({"sales": lambda: got["sales"], "sale_items": lambda: lines}), root, names=list(PAIR))
         _write_mark(spark, root, new_mark)
         remove_path(spark, run)
-        return {**report, "changed": report["sales_read"]}
+        lines_stored = spark.read.schema(curated_schema("sale_items")).parquet(f"{root}/sale_items").count()
+        return {**report, "lines_read": lines_stored, "changed": report["sales_read"]}
+    stage(lines.observe(seen_lines, F.count(F.lit(1)).alias("rows")), f"{run}/sale_items")
+    report["lines_read"] = seen_lines.get["rows"]
 
     new = {n: typed(curated_frame(got, n), n) for n in PAIR}
     old = {n: spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}") for n in PAIR}
@@ -164,10 +175,10 @@ def pull_sales(spark: SparkSession, source, root: str, overlap: dt.timedelta = O
         journal = []
         for name in PAIR:
             staging = scratch_dir(spark, f"pull-{name}-{uuid.uuid4().hex}")
+            # stored rows are in order and stay in it; only the new ones are put in order
             rest = old[name].where(among("sale_month", months)).join(touched, "sale_id", "left_anti")
-            cluster, part = LAYOUT[name]
-            rest.unionByName(new[name].join(changed, "sale_id", "left_semi")) \
-                .repartitionByRange(_width(spark), part, *cluster).write.parquet(staging)
+            fresh = new[name].join(changed, "sale_id", "left_semi").repartitionByRange(_width(spark), *LAYOUT[name][0])
+            stage(rest.unionByName(fresh), staging)
             journal += [(name, staging, m) for m in months]
         spark.createDataFrame(journal, _JOURNAL).coalesce(1).write.parquet(_state(root, "journal"))
         complete(spark, root)
