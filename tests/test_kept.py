@@ -151,3 +151,18 @@ def test_numbers_are_dense_and_distinct(spark):
     assert sorted(r["id"] for r in got) == list(range(101, 5101))
     assert [r["k"] for r in sorted(got, key=lambda r: r["id"])] == sorted(r["k"] for r in got)
     assert kept.number_rows(df.limit(0), ["k"], F.lit(0)).count() == 0
+
+
+def test_most_months_changed_rebuilds_the_states_whole(spark, tmp_path, monkeypatch):
+    raw = from_testdata(spark, SF_SMALL)
+    root, k = str(tmp_path / "cur"), F.col("sale_id")
+    pair = {n: raw[n] for n in ("sales", "sale_items")}
+    write_curated(from_frames(pair), root, names=list(pair), files_per_table=2)
+    moved = pair["sales"].where(k % 9 != 1).withColumn("sale_date", F.when(k % 9 == 2, F.add_months("sale_date", -14)).otherwise(F.col("sale_date")))
+    now = from_frames({**pair, "sales": moved})
+    monkeypatch.setattr(kept, "_swap", lambda *a: (_ for _ in ()).throw(AssertionError("rows of the touched keys were moved")))
+    write_curated(now, root, names=list(pair), files_per_table=2, refresh=Period(dt.date(1990, 1, 1), dt.date(1990, 1, 1)))
+    live = pair["sale_items"].join(moved, "sale_id").where("sale_date IS NOT NULL AND status NOT IN ('Cancelado', 'Cancelada')")
+    dated = moved.where("sale_date IS NOT NULL")
+    for name, key, of in (("customer_state", "customer_id", dated), ("sku_state", "sku", live)):
+        assert rows(kept.read_summary(spark, root, name)) == rows(of.groupBy(key).agg(F.max("sale_date")))

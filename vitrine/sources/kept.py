@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import count_where, money_sum, not_cancelled
-from ..session import path_exists, remove_path, scratch_dir
+from ..session import COMPRESSION, path_exists, remove_path, scratch_dir
 from ..schemas import curated_schema
 
 _D, _L, _S, _M = T.DateType(), T.LongType(), T.StringType(), T.DecimalType(38, 2)
@@ -86,7 +86,7 @@ def _among(part: str, values) -> Column:
 def _parts(df: DataFrame, root: str, name: str, part: str, values) -> None:
     """Replace the partitions ``values`` of a summary (None: all of it)."""
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
-    out = df.select([f.name for f in SUMMARIES[name].fields]).repartition(part).write.mode("overwrite")
+    out = df.select([f.name for f in SUMMARIES[name].fields]).repartition(part).write.mode("overwrite").option("compression", COMPRESSION)
     if values is None:
         out.partitionBy(part).parquet(path)
         return
@@ -102,20 +102,28 @@ def _swap(df: DataFrame, root: str, name: str) -> None:
     """Replace a summary whole by rows that may be read from it."""
     spark = df.sparkSession
     staging = scratch_dir(spark, f"kept-{name}-{uuid.uuid4().hex}")
-    df.select([f.name for f in SUMMARIES[name].fields]).write.parquet(staging)
-    spark.read.schema(SUMMARIES[name]).parquet(staging).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    df.select([f.name for f in SUMMARIES[name].fields]).write.option("compression", COMPRESSION).parquet(staging)
+    spark.read.schema(SUMMARIES[name]).parquet(staging).write.mode("overwrite").option("compression", COMPRESSION) \
+        .parquet(f"{root.rstrip('/')}/{name}")
     remove_path(spark, staging)
 
 
+def _most(base: DataFrame, values) -> bool:
+    """Whether more than half of the table's months are among ``values``."""
+    there = {r[0] for r in base.select("sale_month").distinct().collect()} - {None}      # a row a month
+    return 2 * len(there & set(values)) > len(there)
+
+
 def _last_dates(base: DataFrame, root: str, key: str, months: str, state: str, values) -> None:
     """Monthly last dates of the changed months, and the state of the keys
-    that had or have a row there."""
+    that had or have a row there (of all keys, if most months changed)."""
     spark = base.sparkSession
     new = base.where(_among("sale_month", values)).groupBy(key, "sale_month").agg(F.max("sale_date").alias("last_date"))
-    if values is None:
-        _parts(new, root, months, "sale_month", None)
+    if values is None or _most(base, values):
+        _parts(new, root, months, "sale_month", values)
         rows = read_summary(spark, root, months)
-        _swap(rows.groupBy(key).agg(F.max("last_date").alias("last_date")), root, state)
+        state_rows = rows.groupBy(key).agg(F.max("last_date").alias("last_date")).select([f.name for f in SUMMARIES[state].fields])
+        state_rows.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{root.rstrip('/')}/{state}")
         return
     had = read_summary(spark, root, months).where(_among("sale_month", values)).select(key)
     staging = scratch_dir(spark, f"kept-touched-{uuid.uuid4().hex}")
