@@ -362,3 +362,39 @@ def test_bucketed_catalog_layout(spark, both, bare, tmp_path):
     for name in ("q23_dead_stock", "q18_top_products", "q17_product_kpis", "q07_sales_kpis",
                  "q35_search_clicks_daily", "o10_abc_full_curve"):
         assert _sorted(run(name, cat)) == _sorted(run(name, raw)), name
+
+
+def _counted(spark, df):
+    """The rows, and a count of how many were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(pass_on, df.schema), seen
+
+
+def test_refresh_reads_its_source_once(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import Period
+    from vitrine.sources import from_frames
+    raw, root = from_testdata(spark, SF_SMALL), str(tmp_path / "cur")
+    k = F.col("sale_id")
+    some = raw["sales"].where("synced_at_text >= '2001-01'").localCheckpoint()
+    items = raw["sale_items"].join(some.select("sale_id"), "sale_id", "left_semi").localCheckpoint()
+    write_curated(from_frames({"sales": some, "sale_items": items}), root, names=["sales", "sale_items"], files_per_table=2)
+    now = some.where(k % 9 != 1).withColumn("status", F.when(k % 9 == 2, F.lit("Cancelado")).otherwise(F.col("status")))
+    (sales, sales_seen), (lines, lines_seen) = _counted(spark, now), _counted(spark, items)
+    write_curated(from_frames({"sales": sales, "sale_items": lines}), root, names=["sales", "sale_items"], files_per_table=2,
+                  refresh=Period(dt.date(1990, 1, 1), dt.date(1990, 1, 1)))
+    assert sales_seen.value == now.count() and lines_seen.value == items.count()
+    cur = from_parquet(spark, root, summaries=False)
+    assert _sorted(cur["sales"].select("sale_id", "sale_date", "status")) == _sorted(now.select("sale_id", "sale_date", "status"))
+    want = items.join(now.select("sale_id", "sale_date", F.col("status").alias("sale_status")), "sale_id", "left")
+    cols = ["sale_id", "sku", "line_total", "sale_date", "sale_status"]
+    assert _sorted(cur["sale_items"].select(cols)) == _sorted(want.select(cols))

@@ -205,12 +205,12 @@ def _curated_after_changes(t: Tables, summaries: bool) -> str:
 def _sales_with_lines(spark, root: str) -> DataFrame:
     """The curated sales with the number and value of their lines."""
     sales, lines = (spark.read.schema(curated_schema(n)).parquet(f"{root}/{n}") for n in ("sales", "sale_items"))
-    per_sale = lines.groupBy(F.col("sale_id").alias("line_sale"), F.col("sale_date").alias("line_date"), "sale_status").agg(
+    # grouped and joined by the same columns, so a group does not move twice; NULLs inside a struct are equal
+    per_sale = lines.groupBy("sale_id", F.struct("sale_date", F.col("sale_status").alias("status")).alias("copied")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("line_total").cast("decimal(38,2)").alias("line_total"))
-    same = (F.col("sale_id") == F.col("line_sale")) & F.col("sale_date").eqNullSafe(F.col("line_date")) \
-        & F.col("status").eqNullSafe(F.col("sale_status"))
-    return sales.join(per_sale, same, "left").select(
-        "sale_id", "sale_date", "status", F.coalesce("lines", F.lit(0)).alias("lines"), "line_total")
+    own = sales.select("sale_id", F.struct("sale_date", "status").alias("copied"))
+    return own.join(per_sale, ["sale_id", "copied"], "left").select(
+        "sale_id", "copied.sale_date", "copied.status", F.coalesce("lines", F.lit(0)).alias("lines"), "line_total")
 
 
 def curated_refresh(t: Tables, as_of: dt.date | None = None) -> DataFrame:
